@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenlake.llm.common import table
 from lumenlake.llm.exact_dedup import exact_duplicates
+from lumenlake.llm.mixing import mix
+from lumenlake.llm.sharding import shard_documents
+from lumenlake.llm.url_filter import filter_captures, host
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +20,45 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op2_exact_dedup": op2_exact_dedup}
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list derived from the hosts of pages: additions, removals and additions anew."""
+    hosts = pages.select(host(F.col("url")).alias("h")).filter("h is not null").distinct()
+    draws = hosts.select("h", F.regexp_replace("h", r"^(www|blog|m)\.", "").alias("d"))
+    of = lambda c: F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("int")
+    doms = draws.select("d").distinct().withColumn("v", of(F.col("d")))
+    blogs = draws.filter("h like 'blog.%'").withColumn("v", of(F.col("h")))
+    at = lambda days: F.timestamp_add("DAY", F.expr(days), F.lit("2024-01-01").cast("timestamp"))
+    entry = lambda df, p, action, category, days: df.select(F.col(p).alias("pattern"), F.lit(action).alias("action"), F.lit(category).alias("category"), at(days).alias("at"))
+    return (
+        entry(doms.filter("v % 3 = 0"), "d", "add", "spam", "v % 300")
+        .unionByName(entry(doms.filter("v % 6 = 0"), "d", "remove", None, "v % 300 + 30 + v % 90"))
+        .unionByName(entry(doms.filter("v % 15 = 0"), "d", "add", "malware", "v % 300 + 200"))
+        .unionByName(entry(blogs.filter("v % 4 = 1"), "h", "add", "adult", "v % 200"))
+    )
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no fetch times and no list comes with it: both are derived from page_id and hosts."""
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.timestamp_add("HOUR", F.pmod(F.col("page_id") * 7919, F.lit(8760)).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    found = filter_captures(pages.select(F.col("page_id").alias("id"), "url", fetched.alias("fetched")), list_entries(pages))
+    return found.select(F.col("id").alias("page_id"), "url", F.date_format("fetched", "yyyy-MM-dd HH").alias("fetched"), "blocked", "pattern", "category")
+
+
+QUERIES: dict[str, Query] = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_shard": op5_shard,
+    "op9_url_filter": op9_url_filter,
+}
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -25,4 +67,22 @@ ORACLES: dict[str, str] = {
         k as (select norm, doc_id as keep_id, cp as keep_cp from r where rn = 1)
         select r.doc_id, k.keep_id, r.group_size, r.doc_id = k.keep_id and r.cp = k.keep_cp as kept, sha256(r.norm) as text_sha256
         from r join k using (norm)""",
+    "op9_url_filter": r"""
+        with p as (select page_id, url, timestamp '2024-01-01' + to_hours(cast((page_id * 7919) % 8760 as integer)) as fetched,
+                nullif(rtrim(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') as h from pages),
+        hosts as (select distinct h, regexp_replace(h, '^(www|blog|m)\.', '') as d from p where h is not null),
+        doms as (select distinct d, cast('0x' || substr(md5(d), 1, 6) as integer) as v from hosts),
+        blogs as (select h, cast('0x' || substr(md5(h), 1, 6) as integer) as v from hosts where h like 'blog.%'),
+        entries as (
+            select d as pattern, true as is_on, 'spam' as category, v % 300 as days from doms where v % 3 = 0
+            union all select d, false, null, v % 300 + 30 + v % 90 from doms where v % 6 = 0
+            union all select d, true, 'malware', v % 300 + 200 from doms where v % 15 = 0
+            union all select h, true, 'adult', v % 200 from blogs where v % 4 = 1),
+        one as (select pattern, days, max(is_on::int) as is_on, max(category) filter (where is_on) as category from entries group by pattern, days),
+        spans as (select pattern, category, is_on, timestamp '2024-01-01' + to_days(cast(days as integer)) as since,
+                timestamp '2024-01-01' + to_days(cast(lead(days) over (partition by pattern order by days) as integer)) as until from one),
+        hits as (select p.page_id, s.pattern, s.category, row_number() over (partition by p.page_id order by -len(string_split(s.pattern, '.')), s.pattern) as rn
+            from p join spans s on (p.h = s.pattern or ends_with(p.h, '.' || s.pattern)) and s.is_on = 1 and s.since <= p.fetched and (s.until is null or p.fetched < s.until))
+        select p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d %H') as fetched, hits.page_id is not null as blocked, hits.pattern, hits.category
+        from p left join hits on hits.page_id = p.page_id and hits.rn = 1""",
 }
