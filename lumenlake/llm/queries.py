@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import table
 from lumenlake.llm.exact_dedup import exact_duplicates
+from lumenlake.llm.language_id import identify
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.sharding import shard_documents
 from lumenlake.llm.url_filter import filter_captures, host
@@ -28,6 +29,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def list_entries(pages: DataFrame) -> DataFrame:
     """A dated list derived from the hosts of pages: additions, removals and additions anew."""
     hosts = pages.select(host(F.col("url")).alias("h")).filter("h is not null").distinct()
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_shard": op5_shard,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
 }
 
