@@ -12,6 +12,7 @@ from lumenlake.llm.bpe import encode
 from lumenlake.llm.common import table
 from lumenlake.llm.exact_dedup import exact_duplicates
 from lumenlake.llm.language_id import identify
+from lumenlake.llm.minhash import near_duplicates
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.sharding import shard_documents
 from lumenlake.llm.url_filter import filter_captures, host
@@ -36,6 +37,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_shard": op5_shard,
+    "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
 }
