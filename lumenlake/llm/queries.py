@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.bpe import encode
 from lumenlake.llm.common import table
+from lumenlake.llm.embedding_dedup import near_vectors
 from lumenlake.llm.exact_dedup import exact_duplicates
 from lumenlake.llm.language_id import identify
 from lumenlake.llm.minhash import near_duplicates
@@ -70,6 +71,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", F.date_format("fetched", "yyyy-MM-dd HH").alias("fetched"), "blocked", "pattern", "category")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
