@@ -15,12 +15,17 @@ from lumenlake.llm.exact_dedup import exact_duplicates
 from lumenlake.llm.language_id import identify
 from lumenlake.llm.minhash import near_duplicates
 from lumenlake.llm.mixing import mix
+from lumenlake.llm.pii import digests, personal_data
 from lumenlake.llm.sharding import shard_documents
 from lumenlake.llm.url_filter import filter_captures, host
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_byte_bpe": op4_byte_bpe,
