@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,7 +59,7 @@ def sainte_lague(cells: DataFrame, group: Sequence[str], weight: str, seats: str
     return won.groupBy(*cells.columns).agg((F.max("__sure") + F.sum(F.col("__won").cast("long"))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42, *, carry: Sequence[Column] = ()) -> DataFrame:
     """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
 
     Blocks of block_words words go to sources by Sainte-Lague on their targets, then within a
@@ -69,12 +69,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     nothing, as quotas have a closed form. taken counts repeats and is at most max_repeats
     times size. Null and empty texts have size 0 and nothing taken; null doc_ids and repeated
     rows are documents of their own; an empty table gives an empty result. Columns other than
-    doc_id, source and text are ignored, whatever their names.
+    doc_id, source and text are ignored, whatever their names; expressions in carry pass through.
     """
     shards = max(MIN_SHARDS, -(-docs.count() // ROWS_PER_SHARD))
     sized = cut(docs.select(
         "doc_id", "source", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__src"), n_words(F.col("text")).alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(shards)).alias("__shard"), F.xxhash64(F.lit(~seed), F.col("doc_id")).alias("__draw"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(shards)).alias("__shard"), F.xxhash64(F.lit(~seed), F.col("doc_id")).alias("__draw"), *carry,
     ))
     key = ["__none", "__src"]
     cells = cut(sized.groupBy(*key, "__shard").agg(F.sum("size").alias("__words")))
@@ -88,4 +88,30 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     held = sized.join(by_cell, [*key, "__shard"]).withColumn("__from", F.coalesce(F.sum("size").over(run), F.lit(0)))
     rounds = F.coalesce(F.floor(F.try_divide("__take", "__words")), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__take") - rounds * F.col("__words") - F.col("__from")))
-    return held.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
+    return held.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *(c for c in sized.columns if c.startswith("__carried")))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word, all white space before that as it was."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42) -> DataFrame:
+    """docs as the mix takes them: a row for each time that a document is taken whole, and one for the words of a part.
+
+    A part is the document's text up to the end of its last word that a block reaches; a
+    document of which nothing is taken has no row. Columns are those of docs, unchanged but
+    for text and n_chars (if there is one) of parts. See mix() for the rule.
+    """
+    names = [f"__carried{i}" for i in range(len(docs.columns))]
+    taken = mix(docs, weights, max_repeats, block_words, seed, carry=[docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)])
+    times = taken.withColumn("__times", F.try_divide(F.col("taken"), F.col("size")))
+    whole = F.floor("__times").cast("int")
+    copies = times.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("size"), whole), F.when(F.col("taken") > whole * F.col("size"), F.array(F.col("taken") - whole * F.col("size"))).otherwise(F.array().cast("array<long>")))))
+    text = F.col(names[docs.columns.index("text")])
+    cut_text = F.when(F.col("__words") == F.col("size"), text).otherwise(first_words(text, F.col("__words")))
+    by_name = {c: F.col(n) for c, n in zip(docs.columns, names)} | {"text": cut_text}
+    if "n_chars" in by_name:
+        by_name["n_chars"] = F.when(F.col("__words") == F.col("size"), by_name["n_chars"]).otherwise(F.length(cut_text).cast(docs.schema["n_chars"].dataType))
+    return copies.select(*(by_name[c].alias(c) for c in docs.columns))

@@ -17,6 +17,7 @@ from lumenlake.llm.minhash import near_duplicates
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.pii import digests, personal_data
 from lumenlake.llm.sharding import shard_documents
+from lumenlake.llm.substring_dedup import repeated_passages
 from lumenlake.llm.url_filter import filter_captures, host
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_shard": op5_shard,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
