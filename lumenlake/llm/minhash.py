@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import cut
 from lumenlake.llm.components import components
+from lumenlake.llm.families import family_links
 from lumenlake.llm.shingles import shingle_set, signature
 
 #: Coordinates of a signature, and how many must agree: at a similarity of 0.8 fewer do with a probability under 2e-5.
@@ -55,15 +56,6 @@ def _agreeing(coordinates: int) -> Column:
     return total
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id", "left_semi")
-    sets = cut(_sets(texts, words).dropDuplicates(["id"]))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """Groups of near-duplicate documents: doc_id, n_shingles, component_id, kept, one row per row of docs.
 
@@ -76,10 +68,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
        so classes with fewer than `matches` shared pairs go. Of the others only the prefix of
        rarest pairs is posted: two signatures that agree `matches` times share one of them,
        and frequent pairs are skipped.
-    3. In each posting list all members meet one pivot; each class's best pivot is confirmed
-       on full sets, which joins groups of near copies without their pairs. Only members of
-       different components then meet pairwise, and what agrees in `matches` coordinates is
-       confirmed on full sets. Pairs inside a component need no look: they are connected.
+    3. In each posting list all members meet one pivot; those that agree with it in `matches`
+       coordinates join its family, which gathers groups of near copies without their pairs.
+       Members of different families then meet pairwise, and pairs that agree are kept.
+    4. Links are confirmed on full sets: all pairs inside a family in blocks of bounded size,
+       which give spanning edges, and the pairs between families.
 
     Empty and null texts have no shingles and link with nothing. A null doc_id links with
     nothing, has a null component_id and is kept. Rows that repeat a doc_id are one node.
@@ -100,16 +93,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     held = F.struct(F.xxhash64("token", "rep").alias("draw"), *(c for c in postings.columns if c != "token"))
     pivots = postings.groupBy("token").agg(F.min(held).alias("pivot")).select("token", "pivot.*").drop("draw")
     met = postings.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & alike)
-    best = met.groupBy(F.col("x.rep").alias("a")).agg(F.max(F.struct(_agreeing(coordinates).alias("m"), F.col("y.rep").alias("b"))).alias("best"))
-    first = cut(_confirmed(cut(best.select("a", "best.b")), docs, words, percent))
+    families = cut(components(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).toDF("node", "family"))
 
-    labels = components(first)
-    labelled = postings.join(labels.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    labelled = cut(labelled)
-    mixed = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+    labelled = cut(postings.join(families.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep")))
+    mixed = labelled.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token")
     rest = cut(labelled.join(mixed, "token", "left_semi"))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & alike)
-    second = cut(_confirmed(cut(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()), docs, words, percent))
+    across = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.family") != F.col("y.family")) & alike)
+    pairs = cut(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+    asked = families.select(F.col("node").alias("id")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id", "left_semi")
+    sets = cut(_sets(texts, words).dropDuplicates(["id"]))
+    first = cut(family_links(families, sets.toDF("node", "held"), percent))
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    second = cut(both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
 
     roots = components(first.unionByName(second))
     final = classes.select("h", "rep").join(roots.toDF("rep", "root"), "rep", "left").select("h", F.coalesce("root", "rep").alias("root"))
