@@ -58,7 +58,7 @@ def measured(x: np.ndarray, out: np.ndarray, least: int) -> tuple[float, ...]:
 
 
 def apply_arms(planes: DataFrame, arms: Sequence[str], width: int, least: int = 16) -> DataFrame:
-    """(frame_id, recording, arm, *METRICS): every plane (luma, row by row) through every arm. Nothing is shuffled."""
+    """(frame_id, recording, arm, *METRICS): every plane (luma, row by row) through every arm."""
     built = {a: build(a) for a in arms}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +72,9 @@ def apply_arms(planes: DataFrame, arms: Sequence[str], width: int, least: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
     chosen = planes.select("frame_id", F.col("recording").cast("long").alias("recording"), "luma")
+    slots = planes.sparkSession.sparkContext.defaultParallelism
+    if chosen.rdd.getNumPartitions() < slots:  # few files: planes are small, what is done to them isn't
+        chosen = chosen.repartition(slots)
     return chosen.mapInArrow(run, "frame_id long, recording long, arm string, " + ", ".join(f"{m} double" for m in METRICS))
 
 

@@ -11,6 +11,7 @@ from lumenlake.operators import arms as ARMS
 from lumenlake.operators import pixels as P
 from lumenlake.operators import temporal as T
 from lumenlake.plans import views as V
+from lumenlake.streaming import frames as ST
 
 SIDE, LEAST = 8, 16
 
@@ -159,9 +160,27 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(s.alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly counts again, from a stream with a watermark."""
+    out = ST.to_table(ST.windowed_counts(ST.events(spark, sf)), "complete")
+    last = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return last.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
+
+
+def stream_ema_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The smoothed luma that a stream's state holds at its end."""
+    out = ST.to_table(ST.smoothed(ST.events(spark, sf), T.smoothing()), "update")
+    return out.groupBy("recording").agg(F.max("frames").alias("frames"), F.round(F.max_by("ema", "frames"), 3).alias("ema"))
+
+
+def stream_held_detection(spark: SparkSession, sf: str) -> DataFrame:
+    out = ST.to_table(ST.held(ST.events(spark, sf)), "update")
+    return out.groupBy("recording").agg(F.max_by("held", "batch").alias("held"))
+
+
 QUERIES = {f.__name__: f for f in (
     pixel_histogram, agcwd_curve, local_std_interior, dark_mask_stats, glare_core, saturation_rates, tone_curve_bins, gamma_match, frame_diff_flicker, hold_last_detection, detect_stride,
-    flicker_amplification, static_mask_sigma, iir_smoothing, motion_denoise, arm_metrics, arm_axes, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions)}
+    flicker_amplification, static_mask_sigma, iir_smoothing, motion_denoise, arm_metrics, arm_axes, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
 
 X = f"with {V.PIXELS}"
 FR = f"with {V.FRAMES}"
@@ -203,3 +222,8 @@ ORACLES = {
     "event_tumbling": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "event_sessions": "with d as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from d) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k",
 }
+ORACLES |= {
+    "stream_event_counts": ORACLES["event_tumbling"],
+    "stream_ema_state": ORACLES["iir_smoothing"].replace("select recording, frame_id, round(ema, 3) as ema from r", "select recording, max(seq) as frames, round(arg_max(ema, seq), 3) as ema from r group by 1"),
+    "stream_held_detection": f"{FR} select recording, arg_max(detection, seq) filter (detection is not null) as held from v_frames group by 1",
+}
