@@ -123,4 +123,44 @@ ORACLES: dict[str, str] = {
             from p join spans s on (p.h = s.pattern or ends_with(p.h, '.' || s.pattern)) and s.is_on = 1 and s.since <= p.fetched and (s.until is null or p.fetched < s.until))
         select p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d %H') as fetched, hits.page_id is not null as blocked, hits.pattern, hits.category
         from p left join hits on hits.page_id = p.page_id and hits.rn = 1""",
+    "op6_substring_dedup": r"""
+        with recursive q as (select doc_id, regexp_split_to_array(text, '[\n\r\x0b\x0c]') as ls from documents where doc_id is not null and text is not null),
+        f as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from q),
+        g as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start from f),
+        h as (select *, row_number() over (partition by doc_id order by i) - 1 as par from g where line <> ''),
+        w as (select *, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from h),
+        n as (select doc_id * 1000000 + par as id, doc_id, par, start, start + length(line) as stop, len(w) as n_words, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as sh from w where len(w) >= 50),
+        t as (select id, len(sh) as n, unnest(sh) as x from n),
+        r as (select id, n, x, row_number() over (partition by id order by df, x) as rk from (select *, count(*) over (partition by x) as df from t)),
+        p as (select id, x from r where rk <= n - ceil(0.8 * n) + 1),
+        c as (select distinct a.id as a, b.id as b from p a join p b on a.x = b.x and a.id < b.id),
+        l as (select c.a, c.b from c join n x on x.id = c.a join n y on y.id = c.b where 100 * len(list_intersect(x.sh, y.sh)) >= 80 * (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)))),
+        e as (select a, b from l union select b, a from l),
+        k(a, b) as (select a, b from e union select k.a, e.b from k join e on e.a = k.b),
+        y as (select a, min(b) as b from k group by a),
+        m as (select n.*, least(n.id, coalesce(y.b, n.id)) as root from n left join y on y.a = n.id),
+        z as (select root, min(doc_id) as lo, max(doc_id) as hi, count(*) as copies from m group by root)
+        select m.doc_id, cast(par as int) as paragraph, start::bigint as start, stop::bigint as "end", n_words, lo as cluster_id, copies, m.id = m.root as kept from m join z using (root) where lo <> hi""",
+    "op7_minhash": r"""
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as sh from w),
+        n as (select doc_id, sh, len(sh) as n from s),
+        t as (select doc_id, n, unnest(sh) as x from n),
+        r as (select doc_id, n, x, row_number() over (partition by doc_id order by df, x) as rk from (select *, count(*) over (partition by x) as df from t)),
+        p as (select doc_id, x from r where rk <= n - ceil(0.8 * n) + 1),
+        c as (select distinct a.doc_id as a, b.doc_id as b from p a join p b on a.x = b.x and a.doc_id < b.doc_id),
+        l as (select a, b from (select c.a, c.b, x.n as na, y.n as nb, len(list_intersect(x.sh, y.sh)) as i from c join n x on x.doc_id = c.a join n y on y.doc_id = c.b) where 100 * i >= 80 * (na + nb - i)),
+        e as (select a, b from l union select b, a from l),
+        k(a, b) as (select a, b from e union select k.a, e.b from k join e on e.a = k.b),
+        m as (select a, min(b) as b from k group by 1)
+        select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) as component_id, n.doc_id <= coalesce(m.b, n.doc_id) as kept from n left join m on m.a = n.doc_id""",
+    "op10_embedding_dedup": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+        n as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
+        ok as (select * from n where n > 0 and isfinite(n)),
+        l as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+        k(a, b) as (select a, b from l union select k.a, l.b from k join l on l.a = k.b),
+        m as (select a, min(b) as b from k group by 1), d as (select a, count(*) as n from l group by 1)
+        select vec_id, coalesce(d.n, 0) as n_links, least(vec_id, coalesce(m.b, vec_id)) as component_id, vec_id <= coalesce(m.b, vec_id) as kept
+        from embeddings left join m on m.a = vec_id left join d on d.a = vec_id""",
 }
