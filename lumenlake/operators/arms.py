@@ -49,9 +49,14 @@ def build(arm: str) -> Callable[[np.ndarray], np.ndarray]:
 METRICS = ("mean", "core_in", "core_out", "saturated", "contrast", "noise_in", "noise_out", "psnr", "ssim", "lamps", "largest_lamp")
 
 
-def measured(x: np.ndarray, out: np.ndarray, least: int) -> tuple[float, ...]:
-    """The metrics of one plane; masks come from the input, so that all arms see the same pixels."""
-    flat, dark, lamp = K.flat_dark_mask(x, least), K.dark_mask(x, least), x >= 235
+def masks(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat dark, dark and lamp pixels of the input, which every arm is measured on."""
+    return K.flat_dark_mask(x, least), K.dark_mask(x, least), x >= 235
+
+
+def measured(x: np.ndarray, out: np.ndarray, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, ...]:
+    """The metrics of one plane and what an arm makes of it."""
+    flat, dark, lamp = seen
     n, largest = K.blobs(out >= 235)
     core = (float(np.median(x[lamp])), float(np.median(out[lamp]))) if lamp.sum() >= 3 else (float("nan"),) * 2
     return (float(out.mean()), *core, 100 * float((out >= 250).mean()), K.contrast_gain(x, out, dark), K.noise_sigma(x, flat), K.noise_sigma(out, flat), K.psnr(x, out), K.ssim(x, out), float(n), 100 * largest / x.size)
@@ -66,7 +71,8 @@ def apply_arms(planes: DataFrame, arms: Sequence[str], width: int, least: int =
             rows = []
             for frame, rec, luma in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 x = np.array(luma, dtype=np.float64).reshape(-1, width)
-                rows += [(frame, rec, a, *measured(x, f(x), least)) for a, f in built.items()]
+                seen = masks(x, least)
+                rows += [(frame, rec, a, *measured(x, f(x), seen)) for a, f in built.items()]
             names = ["frame_id", "recording", "arm", *METRICS]
             kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(METRICS)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
