@@ -121,3 +121,31 @@ def with_baseline(df: DataFrame, key: str, baseline: str, metrics: Sequence[str]
     """df with delta columns against the row whose key is baseline; df has one row per key."""
     base = df.filter(F.col(key) == baseline).select(*(F.col(m).alias(f"__{m}") for m in metrics))
     return df.join(base, how="left").select(*df.columns, *(F.round(F.col(m) - F.col(f"__{m}"), 4).alias(f"d_{m}") for m in metrics))
+
+
+def error_benchmark(errors: DataFrame, images: int) -> DataFrame:
+    """One row per run of a long error summary (run, kind, class, reason, width_bin, count).
+
+    Recall by width bin of each class is matched over truths; false alarms are counted by
+    reason; R_conf and FP_per_image follow a sweep's tp@t and fp@t rows, whose threshold is
+    part of kind. Truths without a match are the misses: gt = matched + fn for each class.
+    """
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("count"))), F.lit(0))
+    kind, cls = F.col("kind"), F.col("class")
+    out = []
+    for c in ("person", "bollard"):
+        gt = n((kind == "GT") & (cls == c))
+        out += [gt.alias(f"{c}_gt"), n((kind == "matched") & (cls == c)).alias(f"{c}_matched"), n((kind == "FN") & (cls == c)).alias(f"{c}_fn")]
+        for i, b in enumerate(("<4px", "4~8px", "8~16px", ">16px")):
+            here = (cls == c) & (F.col("width_bin") == b)
+            out.append(F.round(F.try_divide(n((kind == "matched") & here), n((kind == "GT") & here)), 4).alias(f"{c}_r{i}"))
+        out += [F.round(F.try_divide(n((kind == f"sweep_tp@{t}") & (cls == c)), gt), 4).alias(f"{c}_r_conf{t}".replace(".", "")) for t in SWEEP]
+    out += [n((kind == "FP") & (F.col("reason") == r)).alias(f"fp_{r}") for r in ("dup", "nearmiss", "confusion", "ghost")]
+    out += [F.round(n(kind == f"sweep_fp@{t}") / images, 3).alias(f"fp_per_image{t}".replace(".", "")) for t in SWEEP]
+    return errors.groupBy("run").agg(*out)
+
+
+def decoded_head(raw: Column, classes: int) -> Column:
+    """(cls, conf) of an anchor's raw values (cx, cy, w, h, score of each class): the best score, the first of equals."""
+    scores = F.slice(raw, F.lit(5), F.lit(classes))
+    return F.struct((F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias("cls"), F.array_max(scores).alias("conf"))

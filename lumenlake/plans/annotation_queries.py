@@ -215,6 +215,28 @@ def area_summary(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.percentile("a", 0.5), RATE).alias("median"), F.round(F.min("a"), RATE).alias("least"), F.round(F.max("a"), RATE).alias("most"), F.round(S.share(F.col("a") >= 0.8), RATE).alias("large"), F.round(S.share(F.col("a") < 0.05), RATE).alias("small"))
 
 
+PALETTE = {1: "person", 2: "stairs"}
+
+
+def outline_geometry(spark: SparkSession, sf: str) -> DataFrame:
+    """Rectangles to draw: clipped to the last pixel, stroke and rim by frame size, colour by class and white for the rest."""
+    df = V.boxes(spark, sf)
+    inside = lambda v, top: F.greatest(F.lit(0), F.least(v, top - 1))
+    corners = G.xyxy(*G.cols(["x", "y", "bw", "bh"]))
+    clipped = [inside(v, F.col(top)).alias(n) for v, n, top in zip(corners, BOX, ("width", "height") * 2)]
+    line, rim = G.stroke(F.col("width"), F.col("height"))
+    colour = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in PALETTE.items() for x in kv)), F.col("category_id")), F.lit("white"))
+    drawn = df.select("image_id", "box_no", "width", "height", "category_id", *clipped).filter("x2 > x1 and y2 > y1")
+    return drawn.select("image_id", "box_no", *BOX, line.alias("line"), rim.alias("rim"), colour.alias("colour"))
+
+
+def crop_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """A window of 256 pixels around each box's centre, moved inside the frame."""
+    df = _clamped(spark, sf)
+    top, left = G.crop_window(F.floor((F.col("y1") + F.col("y2")) / 2), F.floor((F.col("x1") + F.col("x2")) / 2), 256, F.col("height"), F.col("width"))
+    return df.select("image_id", "box_no", top.cast("long").alias("top"), left.cast("long").alias("left"))
+
+
 def luma_bands(spark: SparkSession, sf: str) -> DataFrame:
     df = V.frames(spark, sf).withColumn("band", S.luma_band(F.col("mean_luma")))
     return df.groupBy("recording", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("recording")), RATE))
@@ -252,7 +274,7 @@ QUERIES = {f.__name__: f for f in (
     box_clamp_normalize, box_clamp_cvat_rule, segment_union_box, yolo_to_pixel, letterbox_roundtrip, class_remap_counts, dropped_class_topk, frame_kind_counts, unlabeled_person_filter,
     pair_integrity, label_image_left_join, dedupe_boxes, recording_semi_join, source_union_summary, source_rollup, filename_blocks, page_blocks, block_summary, tail_split, uniform_thinning, strided_pick,
     row_slice, pool_quota_sample, positives_sample, box_percentiles_linear, box_quantiles_exclusive, edge_touch_rates, small_box_rates, stairs_gate, area_histogram, boxes_per_image, area_summary,
-    luma_bands, light_source_verdict, luma_threshold_sensitivity, pool_profile, output_health)}
+    outline_geometry, crop_windows, luma_bands, light_source_verdict, luma_threshold_sensitivity, pool_profile, output_health)}
 
 
 
@@ -318,6 +340,8 @@ ORACLES = {
     "area_histogram": f"{CL} select cast(least(39, floor(share * 40)) as bigint) as bin, count(*) as n from c group by 1",
     "boxes_per_image": f"{CL}, k as (select recording, count(*) over (partition by image_id) as n, image_id from c) select recording, min(n) as least, cast(floor(quantile_cont(n, 0.5)) as bigint) as median, max(n) as most, count(*) as boxes, count(distinct image_id) as images from k group by 1",
     "area_summary": f"{CL} select recording, round(quantile_cont(share, 0.5), 5) as median, round(min(share), 5) as least, round(max(share), 5) as most, round(avg((share >= 0.8)::int), 5) as large, round(avg((share < 0.05)::int), 5) as small from c group by 1",
+    "outline_geometry": f"{B}, k as (select image_id, box_no, category_id, greatest(0, least(x, 1919)) as x1, greatest(0, least(y, 1079)) as y1, greatest(0, least(x + bw, 1919)) as x2, greatest(0, least(y + bh, 1079)) as y2 from v_boxes) select image_id, box_no, x1, y1, x2, y2, 6 as line, 3 as rim, case category_id when 1 then 'person' when 2 then 'stairs' else 'white' end as colour from k where x2 > x1 and y2 > y1",
+    "crop_windows": f"{CL} select image_id, box_no, cast(greatest(0, least(floor((y1 + y2) / 2) - 128, 1080 - 256)) as bigint) as top, cast(greatest(0, least(floor((x1 + x2) / 2) - 128, 1920 - 256)) as bigint) as \"left\" from c",
     "luma_bands": f"{F_}, b as (select recording, case when mean_luma >= 90 then 'day' when mean_luma < 40 then 'low_light' else 'dusk' end as band, count(*) as n from v_frames group by 1, 2) select *, round(n / sum(n) over (partition by recording), 5) as share from b",
     "light_source_verdict": f"with {V.PIXELS}, p as (select frame_id, avg(l) as luma, 100 * avg((l >= 235)::int) as lamp, 100 * avg((l >= 250)::int) as big from v_pixels group by 1), g as (select case when luma >= 90 then 'day' when luma < 40 then 'low_light' else 'dusk' end as band, count(*) as n, quantile_cont(lamp, 0.5) as lamp, quantile_cont(big, 0.5) as big from p group by 1 having count(*) >= 5) select band, n, round(lamp, 5) as lamp, round(big, 5) as big, case when lamp < 0.02 then 'no saturated source' when big > 0.5 then 'sky or reflection' else 'point lights' end as verdict from g",
     "luma_threshold_sensitivity": f"{F_}, t as (select unnest([55, 60, 62, 65, 68, 70, 75]) as threshold) select threshold, count(*) filter (mean_luma < threshold) as frames, count(*) filter (mean_luma < threshold and detection is not null) as detections from v_frames, t group by 1",

@@ -8,7 +8,7 @@ from lumenlake.functions import geometry as G
 from lumenlake.functions import kernels as K
 from lumenlake.functions import stats as S
 from lumenlake.operators import annotations as A
-from lumenlake.operators import arms, selection, temporal
+from lumenlake.operators import arms, detection, selection, temporal
 
 
 def one(spark, *cols):
@@ -149,3 +149,39 @@ def test_blobs_against_flood_fill():
                     todo.append(q)
         sizes.append(n)
     assert K.blobs(bright) == (len(sizes), max(sizes))
+
+
+# Published error counts of two runs over 2,146 images (class: width bins matched/GT, misses and false alarms by reason, sweep tp/fp).
+RUNS = {
+    "c4d_26n_960": {
+        "bollard": ([(747, 1522), (1835, 2392), (1250, 1605), (1180, 1469)], (72, 1098, 94, 712), (223, 74, 0, 495), [(5012, 792), (5529, 2270), (5792, 4092), (6187, 12451)]),
+        "person": ([(1, 14), (395, 801), (1539, 1907), (1795, 2014)], (60, 510, 190, 246), (181, 69, 5, 488), [(3730, 743), (4035, 1957), (4175, 3603), (4401, 13083)]),
+    },
+    "c4d_11n_640": {
+        "bollard": ([(485, 1522), (1636, 2392), (1198, 1605), (1167, 1469)], (151, 1098, 79, 1174), (266, 246, 8, 701), [(4486, 1221), (5042, 3557), (5310, 6173), (5648, 18247)]),
+        "person": ([(0, 14), (216, 801), (1327, 1907), (1760, 2014)], (84, 758, 197, 394), (154, 138, 6, 408), [(3303, 706), (3698, 2417), (3898, 4730), (4223, 16812)]),
+    },
+}
+
+
+def test_published_benchmark(spark):
+    rows = []
+    for run, classes in RUNS.items():
+        for cls, (bins, fn, fp, sweep) in classes.items():
+            for b, (m, g) in zip(("<4px", "4~8px", "8~16px", ">16px"), bins):
+                rows += [(run, "GT", cls, None, b, g), (run, "matched", cls, None, b, m)]
+            rows += [(run, "FN", cls, r, None, n) for r, n in zip(("nearmiss", "lowconf", "merged", "blind"), fn)]
+            rows += [(run, "FP", cls, r, None, n) for r, n in zip(("dup", "nearmiss", "confusion", "ghost"), fp)]
+            rows += [(run, f"sweep_{k}@{t}", cls, None, None, n) for t, pair in zip((0.25, 0.1, 0.05, 0.01), sweep) for k, n in zip(("tp", "fp"), pair)]
+    df = spark.createDataFrame(rows, "run string, kind string, class string, reason string, width_bin string, count int")
+    got = {r.run: r for r in detection.error_benchmark(df, 2146).collect()}
+    best = got["c4d_26n_960"]
+    assert (best.bollard_r0, best.fp_per_image025, best.bollard_gt, best.person_gt) == (0.4908, 0.715, 6988, 4736)
+    for r in got.values():
+        assert r.person_gt == r.person_matched + r.person_fn and r.bollard_gt == r.bollard_matched + r.bollard_fn
+    assert (best.fp_per_image01, best.fp_per_image005, best.fp_per_image001) == (1.97, 3.586, 11.898)
+
+
+def test_decoded_head(spark):
+    raw = F.array(*(F.lit(x) for x in (10.0, 10.0, 4.0, 4.0, 0.2, 0.7, 0.7)))
+    assert tuple(one(spark, detection.decoded_head(raw, 3))[0]) == (1, 0.7)
