@@ -71,10 +71,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     rows are documents of their own; an empty table gives an empty result. Columns other than
     doc_id, source and text are ignored, whatever their names; expressions in carry pass through.
     """
+    drawn = lambda s: F.md5(F.concat_ws(":", F.lit(str(s)), F.col("doc_id").cast("string")))
     shards = max(MIN_SHARDS, -(-docs.count() // ROWS_PER_SHARD))
     sized = cut(docs.select(
         "doc_id", "source", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__src"), n_words(F.col("text")).alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(shards)).alias("__shard"), F.xxhash64(F.lit(~seed), F.col("doc_id")).alias("__draw"), *carry,
+        (F.conv(F.substring(drawn(seed), 1, 8), 16, 10).cast("long") % shards).alias("__shard"), drawn(seed + 1).alias("__draw"), *carry,
     ))
     key = ["__none", "__src"]
     cells = cut(sized.groupBy(*key, "__shard").agg(F.sum("size").alias("__words")))
