@@ -59,18 +59,8 @@ def sainte_lague(cells: DataFrame, group: Sequence[str], weight: str, seats: str
     return won.groupBy(*cells.columns).agg((F.max("__sure") + F.sum(F.col("__won").cast("long"))).alias("quota"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42, *, carry: Sequence[Column] = ()) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
-
-    Blocks of block_words words go to sources by Sainte-Lague on their targets, then within a
-    source to its shards (by hash of doc_id) by Sainte-Lague on their sizes. A shard's blocks
-    run through its documents in seeded hash order, from the start again when all are used,
-    so at most one document a shard is taken in part. block_words = 1 is the finest and costs
-    nothing, as quotas have a closed form. taken counts repeats and is at most max_repeats
-    times size. Null and empty texts have size 0 and nothing taken; null doc_ids and repeated
-    rows are documents of their own; an empty table gives an empty result. Columns other than
-    doc_id, source and text are ignored, whatever their names; expressions in carry pass through.
-    """
+def _dealt(docs: DataFrame, weights: Sequence[float], max_repeats: int, block_words: int, seed: int, carry: Sequence[Column] = ()) -> DataFrame:
+    """The rows of mix() with carry, and the cell of each: __none, __src, __shard."""
     drawn = lambda s: F.md5(F.concat_ws(":", F.lit(str(s)), F.col("doc_id").cast("string")))
     shards = max(MIN_SHARDS, -(-docs.count() // ROWS_PER_SHARD))
     sized = cut(docs.select(
@@ -89,7 +79,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     held = sized.join(by_cell, [*key, "__shard"]).withColumn("__from", F.coalesce(F.sum("size").over(run), F.lit(0)))
     rounds = F.coalesce(F.floor(F.try_divide("__take", "__words")), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__take") - rounds * F.col("__words") - F.col("__from")))
-    return held.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *(c for c in sized.columns if c.startswith("__carried")))
+    return held.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *key, "__shard", *(c for c in sized.columns if c.startswith("__carried")))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42, *, carry: Sequence[Column] = ()) -> DataFrame:
+    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
+
+    Blocks of block_words words go to sources by Sainte-Lague on their targets, then within a
+    source to its shards (by hash of doc_id) by Sainte-Lague on their sizes. A shard's blocks
+    run through its documents in seeded hash order, from the start again when all are used,
+    so at most one document a shard is taken in part. block_words = 1 is the finest and costs
+    nothing, as quotas have a closed form. taken counts repeats and is at most max_repeats
+    times size. Null and empty texts have size 0 and nothing taken; null doc_ids and repeated
+    rows are documents of their own; an empty table gives an empty result. Columns other than
+    doc_id, source and text are ignored, whatever their names; expressions in carry pass through.
+    """
+    dealt = _dealt(docs, weights, max_repeats, block_words, seed, carry)
+    return dealt.drop("__none", "__src", "__shard")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -98,18 +104,46 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42) -> DataFrame:
+def _rounded(dealt: DataFrame) -> DataFrame:
+    """dealt with taken in whole documents.
+
+    A cell has one document at most that is taken in part. Those of a source, the largest
+    first, are taken once more or not as what is owed to the source is nearer to the whole or
+    to nothing, and what that leaves over or short goes on to the next. So a source is off by
+    half its largest such document at most. One row a cell, no more, meets in a source's list.
+    """
+    cell = ["__none", "__src", "__shard"]
+    part = F.coalesce(F.try_mod(F.col("taken"), F.col("size")), F.lit(0)).cast("long")
+    parts = dealt.filter(part > 0).groupBy("__none", "__src").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), "__shard", part.alias("part")))).alias("__parts"))
+    start = F.struct(F.lit(0).cast("long").alias("owed"), F.array().cast("array<long>").alias("up"))
+
+    def step(acc: Column, p: Column) -> Column:
+        owed = acc["owed"] + p["part"]
+        up = 2 * owed >= -p["less"]
+        return F.struct(F.when(up, owed + p["less"]).otherwise(owed).alias("owed"), F.when(up, F.array_append(acc["up"], p["__shard"])).otherwise(acc["up"]).alias("up"))
+
+    up = parts.select("__none", "__src", F.explode(F.aggregate("__parts", start, step, lambda acc: acc["up"])).alias("__shard")).withColumn("__up", F.lit(1).cast("long"))
+    more = F.when(part > 0, F.coalesce("__up", F.lit(0)) * F.col("size") - part).otherwise(0)
+    return dealt.join(up, cell, "left").withColumn("taken", F.col("taken") + more).drop("__up")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42, *, whole: bool = False) -> DataFrame:
     """docs as the mix takes them: a row for each time that a document is taken whole, and one for the words of a part.
 
-    A part is the document's text up to the end of its last word that a block reaches; a
-    document of which nothing is taken has no row. Columns are those of docs, unchanged but
-    for text and n_chars (if there is one) of parts. See mix() for the rule.
+    A part is the document's text up to the end of its last word that a block reaches; with
+    whole there are no parts: such a document is taken once more or not, so that its source
+    stays as near to its quota as whole documents come. A document of which nothing is taken
+    has no row. Columns are those of docs, unchanged but for text and n_chars (if there is
+    one) of parts. See mix() for the rule.
     """
     names = [f"__carried{i}" for i in range(len(docs.columns))]
-    taken = mix(docs, weights, max_repeats, block_words, seed, carry=[docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)])
+    taken = _dealt(docs, weights, max_repeats, block_words, seed, [docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)])
+    if whole:
+        copies = _rounded(taken).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int"))))
+        return copies.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
     times = taken.withColumn("__times", F.try_divide(F.col("taken"), F.col("size")))
-    whole = F.floor("__times").cast("int")
-    copies = times.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("size"), whole), F.when(F.col("taken") > whole * F.col("size"), F.array(F.col("taken") - whole * F.col("size"))).otherwise(F.array().cast("array<long>")))))
+    rounds = F.floor("__times").cast("int")
+    copies = times.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("size"), rounds), F.when(F.col("taken") > rounds * F.col("size"), F.array(F.col("taken") - rounds * F.col("size"))).otherwise(F.array().cast("array<long>")))))
     text = F.col(names[docs.columns.index("text")])
     cut_text = F.when(F.col("__words") == F.col("size"), text).otherwise(first_words(text, F.col("__words")))
     by_name = {c: F.col(n) for c, n in zip(docs.columns, names)} | {"text": cut_text}
