@@ -161,6 +161,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def chance_score(dim: int = DIM, deviations: float = 3.0) -> float:
+    """The cosine that a text unlike a prototype hardly reaches: such cosines are as those of random vectors, which deviate by 1 / sqrt(dim)."""
+    return deviations / dim**0.5
+
+
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """docs less those without an identified language: `und`, or a cosine under min_score. All columns as they were."""
     prototypes = fit(docs.filter(~held_out()).select("lang", "text"))

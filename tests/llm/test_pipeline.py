@@ -4,7 +4,6 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from pyspark.sql import functions as F
 
 from lumenlake.llm import mixing
 
@@ -25,3 +24,17 @@ def test_mix_takes_whole_documents(spark):
         parts = [t.size for t in taken.values() if t.source == source and t.size and t.taken % t.size]
         off = sum(times[i] * t.size - t.taken for i, t in taken.items() if t.source == source)
         assert 2 * abs(off) <= max(parts, default=0)
+
+
+def test_language_stage_drops_letter_junk(spark):
+    """Texts that are like no prototype go; sentences stay, also short and unlabelled ones."""
+    said = {"en": "the old house stands near the river and the children play there after school", "de": "das alte haus steht nahe am fluss und die kinder spielen dort nach der schule",
+            "fr": "la vieille maison se trouve près de la rivière et les enfants y jouent après l'école"}
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.sample(said[lang].split(), 12)), lang) for i, lang in enumerate("en de fr".split() * 40)]
+    good = [(1000, "the children play near the old house", None), (1001, "die kinder spielen nahe am haus", None)]
+    junk = [(2000 + i, "".join(rng.choice("bcdfghjkqvwxz ") for _ in range(300)), None) for i in range(20)] + [(3000, "文字" * 60, None), (3001, "12 34", None)]
+    docs = spark.createDataFrame(rows + good + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert {r[0] for r in rows + good} <= kept
+    assert len(kept & {r[0] for r in junk}) <= 1
