@@ -52,28 +52,30 @@ _BASE_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: What can only stand in a text with a disguise, each behind a cheap test; a text without any of it has plain identifiers alone.
-_SAID = tuple(sorted({*DOT_WORDS.split("|"), *AT_WORDS.split("|")} - {"at"}))
-_SAID_WORD = re.compile(rf"(?<![a-z])(?:{'|'.join(_SAID)})(?![a-z])")
-_BRACKETED = re.compile(rf"{_OPEN}(?:{AT_WORDS}|{DOT_WORDS}|@|\.){_SHUT}")
-_APART = re.compile(r"\s[@.]\s|\s@|@\s")
-_LETTER_DIGIT = re.compile(r"[0-9][oil][0-9 -]")
-_AT_DOMAIN = re.compile(rf"at(?<=\sat)\s{{1,2}}[a-z0-9.-]+\.(?:{TOP_DOMAINS})(?![a-z0-9])")
-_THREE_SAID = re.compile(rf"(?<![a-z0-9])(?:{_WORDS}|[0-9]+)(?:[ .,()-]{{0,3}}(?:{_WORDS}|[0-9]+)){{2}}")
-_SPACED = bytes.maketrans(b"-.,()[]{}<>", b" " * 11)
-_SAID_DIGITS = frozenset(w.encode() for w in WORD_DIGIT)
-
-
-def _hinted(text: str) -> bool:
+#: What a match of a detector cannot do without, in lower case; each is wider than its detector.
+_AT_NAMED = re.compile(rf"[\s\[({{<](?:{AT_WORDS.removeprefix('at|')})[\s\])}}>]")
+_AT_BRACKETED = re.compile(rf"{_OPEN}at{_SHUT}")
+_AT_DOMAIN = re.compile(rf"at(?<=\sat)\s{{1,2}}{_LABEL}(?:{_DOT}{_LABEL}){{0,7}}{_DOT}(?:{TOP_DOMAINS})\b")
+_DOT_NAMED = re.compile(rf"[\s\[({{<](?:{DOT_WORDS})[\s\])}}>]")
+_DOT_APART = re.compile(rf"\s\.\s|{_OPEN}\.{_SHUT}")
+#: A plain dot behind a letter or before a digit word: every digit word ends in one of a to z.
+_DOT_SAID = re.compile(rf"\.(?:[0-9](?<=[a-z]\.[0-9])|{_WORDS})")
+
+
+def _possible(text: str) -> tuple[str, ...]:
+    """The kinds whose detectors may find more in text than plain identifiers.
+
+    An address has an at sign in one of its forms. An IP has a dot that is named, bracketed or
+    set apart, or else plain dots beside a digit word. A phone number has its plus. Cards are
+    sought in every text. A dotted capital I, which lower() takes apart, leaves all open.
+    """
     low = text.lower()
-    return bool(
-        any(w in low for w in _SAID) and _SAID_WORD.search(low)
-        or any(c in low for c in "[({<") and _BRACKETED.search(low)
-        or "@" in low and _APART.search(low)
-        or _LETTER_DIGIT.search(low)
-        or _AT_DOMAIN.search(low)
-        or not _SAID_DIGITS.isdisjoint(low.encode("utf-8", "surrogatepass").translate(_SPACED).split()) and _THREE_SAID.search(low)
-    )
+    if "\u0130" in text:
+        return KINDS
+    email = "@" in low or any(w in low for w in AT_WORDS.split("|")[1:]) and _AT_NAMED.search(low) or any(c in low for c in "[({<") and _AT_BRACKETED.search(low) or _AT_DOMAIN.search(low)
+    ip = any(w in low for w in DOT_WORDS.split("|")) and _DOT_NAMED.search(low) or _DOT_APART.search(low) or _DOT_SAID.search(low)
+    phone = "+" in low or any(w in low for w in PLUS_WORDS.split("|"))
+    return tuple(k for k, may in zip(KINDS, (email, ip, True, phone)) if may)
 
 
 @cache
@@ -123,21 +125,21 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _digits(said: str) -> str:
-    return "".join({"o": "0", "i": "1", "l": "1"}.get(t, t) if len(t) == 1 else WORD_DIGIT[t] for t in map(str.lower, _DIGIT.findall(said)))
+    return "".join({"o": "0", "i": "1", "l": "1"}.get(t, t) if len(t) == 1 else WORD_DIGIT[t] for t in map(str.lower, _DIGIT.findall(said.replace("\u0130", "i"))))
 
 
-def _disguised(norm: str) -> Iterator[Span]:
-    for m in _EMAIL.finditer(norm):
+def _disguised(norm: str, kinds: tuple[str, ...] = KINDS) -> Iterator[Span]:
+    for m in _EMAIL.finditer(norm) if "email" in kinds else ():
         spelled = m["at"].strip() != "@" and m["at"].strip()[0].isalpha()
         if not spelled or re.fullmatch(TOP_DOMAINS, m["top"], re.I):
             yield "email", *m.span()
-    for m in _IP.finditer(norm):
+    for m in _IP.finditer(norm) if "ip" in kinds else ():
         if all(_small(_digits(p)) for p in re.split(_DOT, m[0], flags=re.I)):
             yield "ip", *m.span()
-    for m in _CARD.finditer(norm):
+    for m in _CARD.finditer(norm) if "card" in kinds else ():
         if 13 <= len(digits := _digits(m[0])) <= 19 and _luhn(digits):
             yield "card", *m.span()
-    for m in _PHONE.finditer(norm):
+    for m in _PHONE.finditer(norm) if "phone" in kinds else ():
         if 9 <= len(_digits(re.sub(rf"(?i)^(?:{PLUS_WORDS})", "", m[0]))) <= 15:
             yield "phone", *m.span()
 
@@ -157,14 +159,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     base = base_spans(text)
     table, strange = _characters()
     odd = not text.isascii() and not strange.isdisjoint(text)
-    if not odd and not _hinted(text):
-        return [(*s, True) for s in base]
     if odd:
         kept = [i for i, c in enumerate(text) if table.get(ord(c), c) is not None]
         norm = text.translate(table)
     else:
         kept, norm = range(len(text)), text
-    found = [*(base_spans(norm) if odd else ()), *_disguised(norm)]
+    found = [*(base_spans(norm) if odd else ()), *_disguised(norm, _possible(norm))]
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     out = [(*s, True) for s in base]
     for kind, a, b in sorted(found, key=lambda s: s[1] - s[2]):
