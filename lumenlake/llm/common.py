@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lumenlake-shared")
-    return named.rstrip("/")
+    """The folder that driver and executors share, which the session names; on a single machine a temporary one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (named or os.path.join(tempfile.gettempdir(), "lumenlake-shared")).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["id", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array(held, pa.list_(pa.int64()))], names=["node", "n", "held"])
 
-    return docs.mapInArrow(run, "id long, held array<long>")
+    return docs.mapInArrow(run, "node long, n long, held array<long>").filter("n > 0")
 
 
 def _agreeing(coordinates: int) -> Column:
@@ -70,9 +70,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
        and frequent pairs are skipped.
     3. In each posting list all members meet one pivot; those that agree with it in `matches`
        coordinates join its family, which gathers groups of near copies without their pairs.
-       Members of different families then meet pairwise, and pairs that agree are kept.
-    4. Links are confirmed on full sets: all pairs inside a family in blocks of bounded size,
-       which give spanning edges, and the pairs between families.
+       Families that share a list then meet, and pairs of their members that agree are kept.
+    4. Links are confirmed on full sets: inside a family by its pivots and then in blocks of
+       bounded size, which give spanning edges, and the pairs between families.
 
     Empty and null texts have no shingles and link with nothing. A null doc_id links with
     nothing, has a null component_id and is kept. Rows that repeat a doc_id are one node.
@@ -95,17 +95,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
     met = postings.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & alike)
     families = cut(components(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).toDF("node", "family"))
 
-    labelled = cut(postings.join(families.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep")))
+    labelled = postings.join(families.toDF("rep", "family"), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
     mixed = labelled.groupBy("token").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).filter("lo <> hi").select("token")
     rest = cut(labelled.join(mixed, "token", "left_semi"))
-    across = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.family") != F.col("y.family")) & alike)
-    pairs = cut(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    # families of a list meet first, and members only under a pair of families: one outsider costs a large family a comparison a member
+    held_by = rest.select("token", "family").distinct()
+    other = held_by.select("token", F.col("family").alias("other"))
+    facing = held_by.join(other, "token").filter("family < other")
+    left = rest.join(facing, ["token", "family"])
+    across = left.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.other") == F.col("y.family")) & alike)
+    pairs = cut(across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
     asked = families.select(F.col("node").alias("id")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(asked, "id", "left_semi")
-    sets = cut(_sets(texts, words).dropDuplicates(["id"]))
-    first = cut(family_links(families, sets.toDF("node", "held"), percent))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    sets = cut(_sets(texts, words).dropDuplicates(["node"]))
+    first = cut(family_links(families, sets, percent))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("held").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("held").alias("sb")), "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
     second = cut(both.filter(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
 
     roots = components(first.unionByName(second))
@@ -116,6 +121,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, coordina
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs less all documents but the smallest doc_id of each component, all columns as they were."""
+    """docs less all documents but the smallest doc_id of each component, all columns as they were.
+
+    Null and empty texts and null doc_ids are kept. Of rows that repeat a doc_id all stay or
+    none does. An empty table stays empty; docs may have any other columns.
+    """
     gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -139,32 +139,6 @@ ORACLES: dict[str, str] = {
         r as (select d.doc_id, d.size, t.source_size, t.target, case when words > 0 then take // words else 0 end as rounds, take, words, coalesce(sum(d.size) over (partition by d.source, d.shard order by draw, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
             from d join t on d.source is not distinct from t.source join ct on d.source is not distinct from ct.source and d.shard = ct.shard)
         select doc_id, size, source_size, target, cast(rounds * size + greatest(0, least(size, take - rounds * words - before)) as bigint) as taken from r""",
-    "op6_substring_dedup": r"""
-        with recursive q as (select doc_id, text from documents where doc_id is not null and text is not null),
-        f as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from (select doc_id, regexp_split_to_array(text, '[\n\r\x0b\x0c]') as ls from q)),
-        g as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from f),
-        lw as (select doc_id, start, start + length(line) as stop, line as part from g where line <> ''),
-        u as (select doc_id, unnest(ss) as sent, generate_subscripts(ss, 1) as i from (select doc_id, regexp_extract_all(text, '[^.!?\n\r\x0b\x0c]*[.!?\n\r\x0b\x0c]+|[^.!?\n\r\x0b\x0c]+') as ss from q)),
-        v as (select *, list_filter(regexp_split_to_array(translate(sent, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w, coalesce(sum(length(sent)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from u),
-        x as (select *, len(w) as n, array_to_string(w, ' ') as s from v),
-        y as (select *, min(doc_id) over (partition by s) as lo, max(doc_id) over (partition by s) as hi from x where n >= 4),
-        z as (select *, case when lo <> hi then lo || ':' || hi end as label from y),
-        zz as (select *, sum(fresh) over (partition by doc_id order by i) as piece from (select *, case when label is not null and label = lag(label) over (partition by doc_id order by i) then 0 else 1 end as fresh from z)),
-        st as (select doc_id, min(start) as start, max(start + length(sent)) as stop from zz where label is not null group by doc_id, piece),
-        parts as (select doc_id, start, stop, part, 50 as least from lw union all select st.doc_id, st.start, st.stop, substr(q.text, st.start + 1, st.stop - st.start), 30 from st join q using (doc_id)),
-        pw as (select doc_id, start, stop, least, list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from parts),
-        n as (select row_number() over (order by doc_id, start, stop) as id, * from (select distinct doc_id, start, stop, len(w) as n_words, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as sh from pw where len(w) >= least)),
-        t as (select id, len(sh) as n, unnest(sh) as x from n),
-        r as (select id, n, x, row_number() over (partition by id order by df, x) as rk from (select *, count(*) over (partition by x) as df from t)),
-        p as (select id, x from r where rk <= n - ceil(0.8 * n) + 1),
-        c as (select distinct a.id as a, b.id as b from p a join p b on a.x = b.x and a.id < b.id),
-        l as (select c.a, c.b from c join n x on x.id = c.a join n y on y.id = c.b where 100 * len(list_intersect(x.sh, y.sh)) >= 80 * (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)))),
-        e as (select a, b from l union select b, a from l),
-        k(a, b) as (select a, b from e union select k.a, e.b from k join e on e.a = k.b),
-        kk as (select a, min(b) as b from k group by a),
-        m as (select n.*, least(n.id, coalesce(kk.b, n.id)) as root from n left join kk on kk.a = n.id),
-        cl as (select root, min(doc_id) as lo, max(doc_id) as hi, count(*) as copies from m group by root)
-        select m.doc_id, start, stop as "end", n_words, lo as cluster_id, copies, m.id = m.root as kept from m join cl using (root) where lo <> hi""",
     "op7_minhash": r"""
         with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
         s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as sh from w),

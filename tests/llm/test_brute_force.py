@@ -220,7 +220,7 @@ def test_family_links(spark, block):
     rng = random.Random(7)
     sets = {i: sorted({rng.randrange(25) for _ in range(20)}) for i in range(40)}
     fam = spark.createDataFrame([(i, i % 3) for i in sets], "node long, family long")
-    held = spark.createDataFrame(list(sets.items()), "node long, held array<long>")
+    held = spark.createDataFrame([(i, len(x), x) for i, x in sets.items()], "node long, n long, held array<long>")
     edges = [(r.a, r.b) for r in families.family_links(fam, held, 60, block).collect()]
     want = [(a, b) for a in sets for b in sets if a < b and a % 3 == b % 3 and 100 * len({*sets[a]} & {*sets[b]}) >= 60 * len({*sets[a]} | {*sets[b]})]
 
