@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,23 +27,26 @@ DIGIT_WORDS = {
     "0": "zero oh null cero zéro", "1": "one eins ein uno un", "2": "two zwei zwo dos deux", "3": "three drei tres trois", "4": "four vier cuatro quatre",
     "5": "five fünf fuenf cinco cinq", "6": "six sechs seis", "7": "seven sieben siete sept", "8": "eight acht ocho huit", "9": "nine neun nueve neuf",
 }
-AT_WORDS, DOT_WORDS, PLUS_WORDS = "at|ät|arroba|arobase|klammeraffe", "dot|punkt|punto|point", "plus|más|mas"
-TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|eu|de|fr|es|it|nl|at|ch|uk|us|ca|au|in|jp|cn|br|ru|pl|se"
+AT_WORDS, DOT_WORDS, PLUS_WORDS = "at ät arroba arobase klammeraffe", "dot punkt punto point", "plus más mas"
+#: Dot words that go with an at word in running text, where the wrong pair is prose: "at this point blank".
+SPOKEN = {"at": "dot punkt", "ät": "dot punkt", "klammeraffe": "dot punkt", "arroba": "dot punto", "arobase": "dot point"}
+#: Words that are no name, host or top domain around an at sign that is only a word or stands apart.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those and or but of on if as we he she they his her its our their with for from into was were are been not be been looking look looked arrive arrived arrives stay stayed meet met "
+    "der die das den dem des ein eine einen einem und oder von vom zum zur mit für ist sind war nicht "
+    "el los las una unos unas y o del con por para es son era no que "
+    "le les des du et ou avec pour est sont dans ce cette qui".split())
 
 WORD_DIGIT = {w: d for d, words in DIGIT_WORDS.items() for w in words.split()}
-_WORDS = "|".join(sorted(WORD_DIGIT, key=len, reverse=True))
-_OPEN, _SHUT = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT = rf"(?:\s{{0,2}}{_OPEN}(?:{AT_WORDS}|@){_SHUT}\s{{0,2}}|\s{{1,2}}(?:{AT_WORDS})\s{{1,2}}|\s{{0,2}}@\s{{0,2}})"
-_DOT = rf"(?:\s{{0,2}}{_OPEN}(?:{DOT_WORDS}|\.){_SHUT}\s{{0,2}}|\s{{1,2}}(?:{DOT_WORDS}|\.)\s{{1,2}}|\.)"
-_LABEL = rf"[a-z0-9-]++(?:[ -](?:{_WORDS})\b){{0,6}}"
-#: A name, an at sign and a domain, either sign plain or disguised.
-_EMAIL = re.compile(rf"(?<![a-z0-9._%+-])[a-z0-9_%+-][a-z0-9._%+-]{{0,127}}+(?:{_DOT}[a-z0-9_%+-]+|[ -](?:{_WORDS})\b){{0,8}}(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL}){{0,7}}(?P<dot>{_DOT})(?P<top>[a-z]{{2,24}})\b", re.I)
-_PART = rf"(?:[0-9]{{1,3}}|(?:{_WORDS})(?:[ -]?(?:{_WORDS})){{0,2}})"
-_IP = re.compile(rf"(?<![a-z0-9.]){_PART}(?:{_DOT}{_PART}){{3}}(?![a-z0-9])", re.I)
-_ITEM = rf"(?:[0-9]|(?<=[0-9])[oil]|[oil](?=[0-9])|{_WORDS})"
-_CARD = re.compile(rf"(?<![a-z0-9]){_ITEM}(?:[ -]{{0,2}}{_ITEM})++(?![a-z0-9])", re.I)
-_PHONE = re.compile(rf"(?:\+|(?<![a-z])(?:{PLUS_WORDS})(?![a-z]))[ ]{{0,2}}\(?{_ITEM}(?:[ ().-]{{0,3}}{_ITEM})++(?![a-z0-9])", re.I)
-_DIGIT = re.compile(rf"[0-9]|[oil](?![a-z])|{_WORDS}|[oil]", re.I)
+_ANY = lambda words: "|".join(sorted(words, key=len, reverse=True))
+_WORDS, _AT, _DOT, _PLUS = _ANY(WORD_DIGIT), _ANY(AT_WORDS.split()), _ANY(DOT_WORDS.split()), _ANY(PLUS_WORDS.split())
+_ONE_WORD = re.compile(_WORDS, re.I)
+#: What the token transducer rewrites: words, signs in brackets or apart, digits with letters or wide gaps among them.
+_SPELLED = re.compile(rf"(?<![^\W\d_])(?:(?P<digits>(?:{_WORDS})+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS}))(?![^\W\d_])", re.I)
+_SIGN = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*+[\])}}>]|(?P<sign>@)|(?<=\s)(?P<apart>\.)(?=\s)|(?P<plus>\+)(?=[\s(])", re.I)
+_MIXED = re.compile(r"(?<![^\W_])(?=[oil]*[0-9])(?=[0-9]*[oil])[0-9oil]++(?![^\W_])|(?<=[0-9][ .-])[oil](?=[ .-][0-9])|(?<=[0-9oil])[ -]{2,}(?=[0-9oil])", re.I)
+_LETTER_DIGITS = str.maketrans("oOiIlL", "001111")
+_GAP, _OPENING = re.compile(r"[ \t-]*"), re.compile(r"[\s(]*")
 
 _BASE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _BASE_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,32 +56,6 @@ _BASE_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: What a match of a detector cannot do without, in lower case; each is wider than its detector.
-_AT_NAMED = re.compile(rf"[\s\[({{<](?:{AT_WORDS.removeprefix('at|')})[\s\])}}>]")
-_AT_BRACKETED = re.compile(rf"{_OPEN}at{_SHUT}")
-_AT_DOMAIN = re.compile(rf"at(?<=\sat)\s{{1,2}}{_LABEL}(?:{_DOT}{_LABEL}){{0,7}}{_DOT}(?:{TOP_DOMAINS})\b")
-_DOT_NAMED = re.compile(rf"[\s\[({{<](?:{DOT_WORDS})[\s\])}}>]")
-_DOT_APART = re.compile(rf"\s\.\s|{_OPEN}\.{_SHUT}")
-#: A plain dot behind a letter or before a digit word: every digit word ends in one of a to z.
-_DOT_SAID = re.compile(rf"\.(?:[0-9](?<=[a-z]\.[0-9])|{_WORDS})")
-
-
-def _possible(text: str) -> tuple[str, ...]:
-    """The kinds whose detectors may find more in text than plain identifiers.
-
-    An address has an at sign in one of its forms. An IP has a dot that is named, bracketed or
-    set apart, or else plain dots beside a digit word. A phone number has its plus. Cards are
-    sought in every text. A dotted capital I, which lower() takes apart, leaves all open.
-    """
-    low = text.lower()
-    if "\u0130" in text:
-        return KINDS
-    email = "@" in low or any(w in low for w in AT_WORDS.split("|")[1:]) and _AT_NAMED.search(low) or any(c in low for c in "[({<") and _AT_BRACKETED.search(low) or _AT_DOMAIN.search(low)
-    ip = any(w in low for w in DOT_WORDS.split("|")) and _DOT_NAMED.search(low) or _DOT_APART.search(low) or _DOT_SAID.search(low)
-    phone = "+" in low or any(w in low for w in PLUS_WORDS.split("|"))
-    return tuple(k for k, may in zip(KINDS, (email, ip, True, phone)) if may)
-
-
 @cache
 def _characters() -> tuple[dict[int, str | None], frozenset[str]]:
     """What the first transducer writes for a character, None to delete it; and those characters."""
@@ -124,35 +102,144 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _digits(said: str) -> str:
-    return "".join({"o": "0", "i": "1", "l": "1"}.get(t, t) if len(t) == 1 else WORD_DIGIT[t] for t in map(str.lower, _DIGIT.findall(said.replace("\u0130", "i"))))
+def _plain(word: str) -> str:
+    """A word in lower case; letters that only fold to a to z are these."""
+    return word.lower().replace("\u0307", "").replace("ı", "i").replace("ſ", "s")
+
 
+class Tokens:
+    """The token transducer's output for a text, and where in the text each of its characters stands.
+
+    Digit words become digits, and lose the blanks between them and to a word before; o, i and l
+    among digits become digits, and wide gaps between digits one blank; at signs and dots that
+    are words, bracketed or apart become plain signs without the blanks around them, and so does
+    the plus of a number. Everything else is copied.
+    """
 
-def _disguised(norm: str, kinds: tuple[str, ...] = KINDS) -> Iterator[Span]:
-    for m in _EMAIL.finditer(norm) if "email" in kinds else ():
-        spelled = m["at"].strip() != "@" and m["at"].strip()[0].isalpha()
-        if not spelled or re.fullmatch(TOP_DOMAINS, m["top"], re.I):
-            yield "email", *m.span()
-    for m in _IP.finditer(norm) if "ip" in kinds else ():
-        if all(_small(_digits(p)) for p in re.split(_DOT, m[0], flags=re.I)):
-            yield "ip", *m.span()
-    for m in _CARD.finditer(norm) if "card" in kinds else ():
-        if 13 <= len(digits := _digits(m[0])) <= 19 and _luhn(digits):
-            yield "card", *m.span()
-    for m in _PHONE.finditer(norm) if "phone" in kinds else ():
-        if 9 <= len(_digits(re.sub(rf"(?i)^(?:{PLUS_WORDS})", "", m[0]))) <= 15:
-            yield "phone", *m.span()
+    def __init__(self, text: str):
+        self.text, self.out = text, text
+        #: Parallel lists: where a piece starts in the output, where in the text, its length there, and whether it is a copy.
+        self.begin: list[int] = [0]
+        self.source: list[tuple[int, int, bool]] = [(0, len(text), True)]
+        #: At signs by position in the output: the word, or @ for one that stands apart; dot words likewise.
+        self.bare: dict[int, str] = {}
+        events = [(m.start(), m.end(), m.lastgroup, m) for m in _SPELLED.finditer(text)]
+        mixed = [(m.start(), m.end(), "mixed", m) for m in _MIXED.finditer(text)]
+        signs = [(m.start(), m.end(), m.lastgroup, m) for m in _SIGN.finditer(text)]
+        if events or mixed or signs:
+            self._rewrite(sorted([*events, *mixed, *signs], key=lambda e: (e[0], -e[1])))
+
+    def _rewrite(self, events: list[tuple[int, int, str, re.Match]]) -> None:
+        text, out, length, at, said = self.text, [], 0, 0, -1
+        numbers = {e[0] for e in events if e[2] in ("digits", "mixed")}
+        self.begin, self.source = [], []
+
+        def put(chars: str, a: int, b: int, copy: bool = False) -> None:
+            nonlocal length
+            if chars:
+                self.begin.append(length)
+                self.source.append((a, b, copy))
+                out.append(chars)
+                length += len(chars)
+
+        for start, end, kind, m in events:
+            if start < at:
+                continue
+            word, bracketed = m[0], text[start] in "[({<"
+            if kind == "digits":
+                gap = text[at:start]
+                if said == at and _GAP.fullmatch(gap):
+                    at = start
+                elif gap.endswith(" ") and start > 1 and text[start - 2].isalpha():
+                    put(gap[:-1], at, start - 1, True)
+                    at = start
+                put(text[at:start], at, start, True)
+                for w in _split_words(word):
+                    put(WORD_DIGIT.get(_plain(w), w), start, start + len(w))
+                    start += len(w)
+                said = at = end
+                continue
+            if kind == "mixed":
+                put(text[at:start], at, start, True)
+                put(*(" ", start, end) if word.isspace() or word[0] in " -" else (word.translate(_LETTER_DIGITS), start, end, True))
+                at = end
+                continue
+            if kind == "plus":
+                to = _OPENING.match(text, end).end()
+                if to < len(text) and (text[to] in "0123456789" or to in numbers):
+                    put(text[at:start], at, start, True)
+                    put("+", start, to)
+                    at = to
+                continue
+            left, right = start, end
+            while left > at and text[left - 1].isspace():
+                left -= 1
+            while right < len(text) and text[right].isspace():
+                right += 1
+            apart = left < start and right > end
+            if not bracketed and kind in ("at", "dot") and not apart or kind == "sign" and left == start and right == end:
+                continue
+            put(text[at:left], at, left, True)
+            if not bracketed and kind != "apart":
+                self.bare[length] = _plain(word)
+            put("@" if kind in ("at", "sign") else ".", start, end)
+            at = right
+        put(text[at:], at, len(text), True)
+        self.out = "".join(out)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The part of the text behind a part of the output."""
+        i, j = bisect_right(self.begin, start) - 1, bisect_right(self.begin, end - 1) - 1
+        (a, _, copied), (b, to, also) = self.source[i], self.source[j]
+        return a + (start - self.begin[i]) * copied, b + end - self.begin[j] if also else to
+
+    def spans(self) -> Iterator[Span]:
+        """What the plain detectors find in the output, less what only looks like an address because a word became a sign."""
+        for kind, a, b in base_spans(self.out):
+            if kind != "email" or self._address(a, b):
+                yield kind, *self.span(a, b)
+
+    def _address(self, a: int, b: int) -> bool:
+        name, _, domain = self.out[a:b].partition("@")
+        labels = domain.lower().split(".")
+        bare = {i: w for i, w in self.bare.items() if a <= i < b} if self.bare else {}
+        at = bare.get(a + len(name))
+        if not (labels[-1].isalpha() and len(labels[-1]) > 1) and (at or bare):
+            return False
+        if at is None:
+            return True
+        spoken = SPOKEN.get(at, DOT_WORDS).split()
+        if any(w in DOT_WORDS.split() and w not in spoken for i, w in bare.items() if i > a + len(name)):
+            return False
+        return FUNCTION_WORDS.isdisjoint([name.lower(), labels[0], labels[-1]] if at != "@" else [name.lower()])
+
+
+def _split_words(said: str) -> list[str]:
+    """The digit words of a run without blanks, which may need another split than the longest first."""
+    if _plain(said) in WORD_DIGIT:
+        return [said]
+    ends: dict[int, int] = {0: -1}
+    for end in range(1, len(said) + 1):
+        for n in range(min(end, 8), 0, -1):
+            if end - n in ends and _plain(said[end - n : end]) in WORD_DIGIT:
+                ends[end] = end - n
+                break
+    out, at = [], len(said)
+    while at > 0 and at in ends:
+        out.append(said[ends[at] : at])
+        at = ends[at]
+    return out[::-1] if at == 0 else [said]
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
     """All spans (kind, start, end, base) of a whole text in code points, by kind, start and end.
 
     A first transducer rewrites homoglyphs, other scripts' digits, wide and invisible
-    characters one by one and notes each source position. On its output identifiers are
-    detected plainly, and again with at signs, dots, plus signs and digits spelled out or
-    bracketed. Spans are mapped back to the source. One that a plain span of its kind equals
-    or touches adds nothing, but for an address that holds a plain one and more, as when a
-    homoglyph cuts its name: that is added beside it.
+    characters one by one and notes each source position. A second one (Tokens) rewrites
+    spelled digits and disguised signs of its output. The plain detectors run on the text and
+    on what either transducer made of it, and spans are mapped back to the source. A span
+    that a plain one of its kind equals, holds or cuts adds nothing; one that holds plain ones
+    and more, as when a homoglyph cuts a name, is added beside them.
     """
     if not text:
         return []
@@ -164,13 +251,14 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         norm = text.translate(table)
     else:
         kept, norm = range(len(text)), text
-    found = [*(base_spans(norm) if odd else ()), *_disguised(norm, _possible(norm))]
+    tokens = Tokens(norm)
+    found = [*(base_spans(norm) if odd else ()), *(tokens.spans() if tokens.out is not norm else ())]
     taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     out = [(*s, True) for s in base]
-    for kind, a, b in sorted(found, key=lambda s: s[1] - s[2]):
+    for kind, a, b in sorted(found, key=lambda s: (s[1] - s[2], s)):
         a, b = kept[a], kept[b - 1] + 1
         over = [(x, y) for x, y in taken[kind] if x < b and a < y]
-        if not over or kind == "email" and all(a <= x and y <= b and (x, y) != (a, b) for x, y in over):
+        if all(a <= x and y <= b and (x, y) != (a, b) for x, y in over):
             taken[kind].append((a, b))
             out.append((kind, a, b, False))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
