@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import cache
 
@@ -20,27 +19,41 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A rank file may be so large, as it is broadcast to every executor.
 MAX_RANKS_BYTES = 64 << 20
-#: Pieces that meet in one recursive query, bytes of a piece from which a heap contracts it, pieces kept by a worker, characters and tokens handled together.
-PIECES, LONG_PIECE, KEPT, CHARS, SEGMENT, TOKENS = 50_000, 512, 700_000, 8_000_000, 1 << 16, 500_000
-
-#: Token-position rows (w, p, q, tok): a token of word w from byte p to q. Each round joins neighbours
-#: with the merge table and contracts each word's leftmost pair of least rank; words without a pair stop.
-CONTRACT = f"""
-with recursive s(w, p, q, tok, it) as (
-    select w, p, p + 1, tok, 0 from start
-    union all (
-        with pairs as (
-            select x.w, x.p, y.q, g.id from s x join s y on y.w = x.w and y.p = x.q join merges g on g.l = x.tok and g.r = y.tok),
-        best as (
-            select w, arg_min(p, id::bigint * {1 << 20} + p) as p, arg_min(q, id::bigint * {1 << 20} + p) as q, min(id) as id from pairs group by w)
-        select s.w, s.p, case when s.p = b.p then b.q else s.q end, case when s.p = b.p then b.id else s.tok end, s.it + 1
-        from s join best b on s.w = b.w where s.p <= b.p or s.p >= b.q))
-select s.w, list(s.tok order by s.p) as toks from s join (select w, max(it) as it from s group by w) using (w, it) group by s.w
+#: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds.
+BYTES, WORK = 1 << 20, 1 << 27
+#: Pieces that a worker keeps, of so many bytes at most, which only saves work; characters and tokens handled together.
+KEPT, KEPT_BYTES, CHARS, SEGMENT, TOKENS = 500_000, 64, 8_000_000, 1 << 16, 500_000
+
+#: Token-position rows (w, p, q, tok, id): a token of word w from byte p to q, or none where tok is -1, and the rank at
+#: which it merges with the next one, if it does. A round looks at the words that the last one changed and contracts
+#: each word's leftmost pair of least rank, and further such pairs at a distance, but where the new token could merge
+#: at a lesser rank yet. In a run of pairs that overlap, every fourth is at a distance and in step with the leftmost.
+#: It gives the rows that this changes alone: the new token, the one before it and the one that is gone.
+CONTRACT = """
+with recursive s(w, p, q, tok, id, alone) using key (w, p) as (
+    select x.w, x.p, x.p + 1, x.tok, g.id, g.alone from start x left join start y on y.w = x.w and y.p = x.p + 1 left join merges g on g.l = x.tok and g.r = y.tok
+    union (
+        with live as materialized (select * from recurring.s where tok >= 0 and w in (select w from s)),
+        least as (select w, min(id) as id from live group by w),
+        pairs as materialized (select x.w, x.p, x.q as mid, y.q, x.id, x.alone from live x join least using (w, id) join live y on y.w = x.w and y.p = x.q),
+        runs as (select *, sum(case when before = p then 0 else 1 end) over (partition by w order by p) as run from (
+            select *, lag(mid) over (partition by w order by p) as before, row_number() over (partition by w order by p) as k from pairs)),
+        apart as (select * from (select *, row_number() over (partition by w, run order by p) as nth from runs) where nth % 4 = 1 and (k = 1 or not alone)),
+        chains as (select *, sum(case when before = p then 0 else 1 end) over (partition by w order by p) as chain from (
+            select w, p, mid, q, id, lag(q) over (partition by w order by p) as before from apart)),
+        won as materialized (select * from (select *, row_number() over (partition by w, chain order by p) as nth from chains) where nth % 2 = 1)
+        select x.w, x.p, x.q, x.id, g.id, g.alone from won x left join live y on y.w = x.w and y.p = x.q left join merges g on g.l = x.id and g.r = y.tok
+        union all select y.w, y.p, y.q, y.tok, g.id, g.alone from won x join live y on y.w = x.w and y.q = x.p left join merges g on g.l = y.tok and g.r = x.id
+        union all select w, mid, mid, -1, null, null from won))
+select w, list(tok order by p) as toks from s where tok >= 0 group by w
 """
 MERGES = """
 create table merges as
-select a.id as l, b.id as r, t.id from (select id, h, unnest(generate_series(2, length(h) - 2, 2)) as i from vocab) t
-join vocab a on a.h = substr(t.h, 1, t.i) join vocab b on b.h = substr(t.h, t.i + 1)
+with m as (
+    select a.id as l, b.id as r, t.id from (select id, h, unnest(generate_series(2, length(h) - 2, 2)) as i from vocab) t
+    join vocab a on a.h = substr(t.h, 1, t.i) join vocab b on b.h = substr(t.h, t.i + 1)),
+lesser as (select l as id from m where id < l union select r from m where id < r)
+select m.l, m.r, m.id, lesser.id is not null as alone from m left join lesser using (id)
 """
 #: With one thread, rows reach the aggregate in the order that the subquery puts them in.
 DECODE = "select seg, unhex(string_agg(h, '')) as bytes from (select seg, h from ids join vocab using (id) order by p) group by seg order by seg"
@@ -55,6 +68,12 @@ class Coder:
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]")).findall
         self.entangled = regex.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)").search
         self.bytes_ = np.array([self.vocab[bytes([i])] for i in range(256)], dtype=np.int32)
+        self.twos, self.threes = np.zeros(1 << 16, dtype=bool), np.zeros(1 << 24, dtype=bool)
+        for t in self.vocab:
+            if len(t) == 2:
+                self.twos[int.from_bytes(t, "big")] = True
+            for i in range(len(t) - 2):
+                self.threes[int.from_bytes(t[i : i + 3], "big")] = True
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         given = pa.table({"id": pa.array(self.vocab.values(), pa.int32()), "h": [t.hex() for t in self.vocab]})
         self.db.register("given", given)
@@ -78,29 +97,6 @@ class Coder:
             found[w], at = flat[4 * at : 4 * end], end
         return found
 
-    def _contract_long(self, word: bytes) -> list[int]:
-        """The same contraction of one very long piece, by a heap: recursive rounds would be as many as its merges."""
-        n = len(word)
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        end = after.copy()
-        heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := self.vocab.get(word[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, j, k = heapq.heappop(heap)
-            if end[i] != j or after[i] != j or j >= n or end[j] != k:
-                continue
-            end[i], end[j], after[i] = k, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < n and (r := self.vocab.get(word[x : end[after[x]]])) is not None:
-                    heapq.heappush(heap, (r, x, after[x], end[after[x]]))
-        out, i = [], 0
-        while i < n:
-            out.append(self.vocab[word[i : end[i]]])
-            i = end[i]
-        return out
-
     def _split(self, unit: str) -> list[str]:
         """The pieces of a space and a unit; letters alone are one, and so is a stop or comma behind them."""
         if unit.isalpha():
@@ -109,20 +105,53 @@ class Coder:
             return [f" {unit[:-1]}", unit[-1]]
         return self.find(f" {unit}")
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        short: list[str] = []
+    def _apart(self, raws: list[bytes]) -> list[list[bytes]]:
+        """Each piece in parts that no token joins: between them stands no token of two bytes, and no three bytes that some token holds."""
+        flat = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.int32)
+        ends = np.cumsum([len(r) for r in raws])
+        joined = self.twos[(flat[:-1] << 8) | flat[1:]]
+        three = self.threes[(flat[:-2] << 16) | (flat[1:-1] << 8) | flat[2:]]
+        joined[:-1] |= three
+        joined[1:] |= three
+        joined[ends[:-1] - 1] = False
+        cuts = [*(np.flatnonzero(~joined) + 1).tolist(), len(flat)]
+        many = np.diff(np.searchsorted(cuts, ends, side="right"), prepend=0).tolist()
+        held, out, at, k = b"".join(raws), [], 0, 0
+        for n in many:
+            parts = []
+            for end in cuts[k : k + n]:
+                parts.append(held[at:end])
+                at = end
+            out.append(parts)
+            k += n
+        return out
+
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of pieces: their parts go through queries of bounded size, with others about as long."""
+        out: dict[str, bytes] = {}
+        rest: dict[str, bytes] = {}
         for piece in pieces:
             raw = piece.encode()
             whole = self.vocab.get(raw)
             if whole is not None:
-                self.pieces[piece] = whole.to_bytes(4, "little")
-            elif len(raw) > LONG_PIECE:
-                self.pieces[piece] = np.array(self._contract_long(raw), dtype="<u4").tobytes()
+                out[piece] = whole.to_bytes(4, "little")
             else:
-                short.append(piece)
-        for k in range(0, len(short), PIECES):
-            part = short[k : k + PIECES]
-            self.pieces.update(zip(part, self._contract([p.encode() for p in part])))
+                rest[piece] = raw
+        if not rest:
+            return out
+        apart = self._apart([*rest.values()])
+        ids = {part: None if (whole := self.vocab.get(part)) is None else whole.to_bytes(4, "little") for part in set().union(*apart)}
+        todo = sorted((p for p, known in ids.items() if known is None), key=len)
+        at = 0
+        while at < len(todo):
+            end, size = at, 0
+            while end < len(todo) and (end == at or size + len(todo[end]) <= min(BYTES, WORK // len(todo[end]))):
+                size += len(todo[end])
+                end += 1
+            ids.update(zip(todo[at:end], self._contract(todo[at:end])))
+            at = end
+        out.update((piece, b"".join(map(ids.__getitem__, parts))) for piece, parts in zip(rest, apart))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -136,8 +165,11 @@ class Coder:
         cut = [None if self.entangled(t) else t.split(" ") for t in texts]
         split = {u: self._split(u) for u in set().union(*(u[1:] for u in cut if u))}
         loose = [self.find(t if u is None else u[0]) for t, u in zip(texts, cut)]
-        self._learn(set().union(*split.values(), *loose).difference(self.pieces))
-        of = self.pieces.__getitem__
+        wanted = set().union(*split.values(), *loose)
+        known = {p: self.pieces[p] for p in wanted if p in self.pieces}
+        learnt = self._learn(wanted.difference(known))
+        self.pieces.update((p, ids) for p, ids in learnt.items() if len(p) <= KEPT_BYTES)
+        of = (known | learnt).__getitem__
         unit = {u: b"".join(map(of, parts)) for u, parts in split.items()}.__getitem__
         return [b"".join(map(of, first)) + (b"".join(map(unit, u[1:])) if u else b"") for first, u in zip(loose, cut)]
 
@@ -186,8 +218,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False)
     columns pass through, but for those named like a new one, which are replaced. Repeated
     rows are coded alike; an empty table stays empty.
 
-    Nothing is shuffled. A partition's distinct pieces go through the recursive query once;
-    documents, however long, are put together from them.
+    Nothing is shuffled. A partition's distinct pieces go through the recursive query, in
+    groups of about equal length whose bytes and rounds are bounded, so that memory is; a
+    single piece, however long, is a group. Documents are put together from their pieces.
     """
     given = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     new = {"n_tokens": T.LongType(), **({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else {"ids": T.ArrayType(T.IntegerType(), False)})}
