@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenlake.llm.common import cut
 from lumenlake.llm.components import components
@@ -40,13 +41,19 @@ def _usable(v: list | None) -> np.ndarray | None:
     if not v or any(x is None for x in v):
         return None
     x = np.array(v, dtype=np.float64) + 0.0
-    with np.errstate(over="ignore"):
-        norm = np.linalg.norm(x)
-    return x if np.isfinite(x).all() and 0 < norm < np.inf else None
+    return x if np.isfinite(x).all() and x.any() else None
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1. A power of two comes off first, so that no square over- or underflows."""
+    m = np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+    return m / np.linalg.norm(m, axis=1)[:, None]
 
 
 def _keyed(vectors: DataFrame, tables: int, projections: int, width: float) -> DataFrame:
-    """id, label, h (128-bit hash of the vector; null where it links with nothing), keys, v."""
+    """id, label, h (128-bit hash of the vector; null where it links with nothing), keys, v (as wide as in vectors)."""
+    single = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    width_of = "float" if single else "double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,13 +62,13 @@ def _keyed(vectors: DataFrame, tables: int, projections: int, width: float) -> D
             for dim in {len(x) for x in xs if x is not None}:
                 rows = [i for i, x in enumerate(xs) if x is not None and len(x) == dim]
                 m = np.array([xs[i] for i in rows])
-                for i, k in zip(rows, bucket_keys(m / np.linalg.norm(m, axis=1)[:, None], tables, projections, width)):
+                for i, k in zip(rows, bucket_keys(_unit(m), tables, projections, width)):
                     keys[i] = k
             h = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in xs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary()), pa.array(keys, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float64()))], names=["id", "label", "h", "keys", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h, pa.binary()), pa.array(keys, pa.list_(pa.int32())), pa.array([None if x is None else x.astype(np.float32 if single else np.float64) for x in xs], pa.list_(pa.float32() if single else pa.float64()))], names=["id", "label", "h", "keys", "v"])
 
     cols = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    return cols.mapInArrow(run, "id long, label string, h binary, keys array<int>, v array<double>")
+    return cols.mapInArrow(run, f"id long, label string, h binary, keys array<int>, v array<{width_of}>")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -70,10 +77,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
     for batch in batches:
         if not len(batch):
             continue
-        stack = lambda name: np.stack(batch.column(name).to_numpy(zero_copy_only=False))
-        now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("group", "t", "rep", "m", "left")}
-        now |= {"keys": stack("keys"), "dim": np.array(pa.compute.list_value_length(batch.column("v")))}
-        now["v"] = batch.column("v").to_numpy(zero_copy_only=False)
+        now = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("group", "t", "rep", "m", "left", "keys", "v")}
+        now["dim"] = np.array(pa.compute.list_value_length(batch.column("v")))
         if held is not None:
             now = {n: np.concatenate([held[n], now[n]]) for n in now}
         ends = np.flatnonzero(now["group"][1:] != now["group"][:-1]) + 1
@@ -94,17 +99,17 @@ def _linked(threshold: float):
                 of = g["dim"] == dim
                 if of.sum() < 2:
                     continue
-                x = np.stack(g["v"][of]).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                rep, m, left, keys, t = g["rep"][of], g["m"][of], g["left"][of], g["keys"][of], g["t"][0]
+                x = _unit(np.stack(g["v"][of]).astype(np.float64))
+                rep, m, left, t = g["rep"][of], g["m"][of], g["left"][of], g["t"][0]
                 near = x @ x.T >= threshold
                 # blocks i and j of a bucket meet in the pair (i, j); pairs inside i belong to (i, i)
                 if left.any() and not left.all():
                     near &= left[:, None] != left[None, :]
                 near &= rep[:, None] != rep[None, :]
                 a, b = np.nonzero(np.triu(near, 1))
-                if t:
-                    new = np.concatenate([~(keys[a[k : k + 65536], :t] == keys[b[k : k + 65536], :t]).any(axis=1) for k in range(0, len(a), 65536)] or [np.zeros(0, dtype=bool)])
+                if t and len(a):
+                    keys = np.stack(g["keys"][of])
+                    new = np.concatenate([~(keys[a[k : k + 65536]] == keys[b[k : k + 65536]]).any(axis=1) for k in range(0, len(a), 65536)] or [np.zeros(0, dtype=bool)])
                     a, b = a[new], b[new]
                 if not len(a):
                     continue
@@ -140,7 +145,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = TABL
     Equal vectors of a label become one class first, which counts for as many. Classes are
     posted under label, table and key; every bucket with more than one class is compared
     whole, in pairs of blocks of bounded size, however large it is. A pair that meets in
-    several tables counts in the first of them alone. Blocks give counts and spanning edges,
+    several tables counts in the first of them alone, and a bucket that has the members of
+    one in a table before is not compared again. Blocks give counts and spanning edges,
     never pairs. No pair under threshold is linked; the tables miss a pair at threshold with
     the probability that TABLES states, closer pairs with less.
 
@@ -153,11 +159,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, tables: int = TABL
     classes = cut(usable.groupBy("label", "h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("keys").alias("keys"), F.first("v").alias("v")))
     posted = classes.select("label", "h", "rep", F.posexplode("keys").alias("t", "key"))
     bucket = ["label", "t", "key"]
-    full = posted.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # of buckets with the same members only the first table's is compared: its pairs meet nowhere before, and again in the others
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "h")).alias("y")]
+    full = posted.groupBy(*bucket).agg(*members).filter("n > 1")
+    full = full.groupBy("label", "n", "x", "y").agg(F.min(F.struct("t", "key")).alias("b")).select("label", "b.t", "b.key", "n")
     member = posted.join(full, bucket).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("rep", "h"), F.col("blocks")))
     met = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = met.select("label", "h", "t", (F.col("own") <= F.col("other")).alias("left"), F.concat_ws("|", *bucket, F.least("own", "other"), F.greatest("own", "other")).alias("group"))
-    rows = pair.join(classes, ["label", "h"]).select("group", "t", "rep", "m", "left", "keys", "v")
+    # only the keys of the tables before are needed, to tell whether a pair met in one of them
+    rows = pair.join(classes, ["label", "h"]).select("group", "t", "rep", "m", "left", F.slice("keys", F.lit(1), F.col("t")).alias("keys"), "v")
     found = cut(rows.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(threshold), "rep long, links long, top long"))
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -153,9 +153,10 @@ ORACLES: dict[str, str] = {
         m as (select a, min(b) as b from k group by 1)
         select n.doc_id, n.n as n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) as component_id, n.doc_id <= coalesce(m.b, n.doc_id) as kept from n left join m on m.a = n.doc_id""",
     "op10_embedding_dedup": """
-        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
-        n as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
-        ok as (select * from n where n > 0 and isfinite(n)),
+        with recursive r as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null),
+        f as (select *, list_max(list_transform(e, lambda x: abs(x))) as top from r where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+        v as (select vec_id, label, list_transform(e, lambda x: x / top) as e from f where top > 0),
+        ok as (select vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v),
         l as (select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
         k(a, b) as (select a, b from l union select k.a, l.b from k join l on l.a = k.b),
         m as (select a, min(b) as b from k group by 1), d as (select a, count(*) as n from l group by 1)
