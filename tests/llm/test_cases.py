@@ -103,6 +103,18 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_length_link(spark):
+    """Norms that over- or underflow don't hide a direction."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [1.0, 1.0], 1), (4, [1e-200, 1e-200], 1), (5, [5e-324, 5e-324], 1), (6, [1e308, -1e308], 1), (7, [-1e-300, 1e-300], 1)]
+    for kind in ("array<double>", "array<float>"):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("embedding", F.expr(f"transform(embedding, x -> x{' * 1e-190' if 'float' in kind else ''})").cast(kind))
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+        if kind == "array<double>":
+            assert all(got[i] == (4, 1) for i in range(1, 6)) and got[6] == (0, 6) and got[7] == (0, 7)
+        else:
+            assert got[1] == got[2] == (1, 1) and got[3] == (0, 3)
+
+
 def test_url_filter(spark):
     caps = [(1, "https://www.a.example.org/x", "2024-01-05"), (2, "http://u@a.example.org:80/", "2024-02-05"), (3, "ftp://a.example.org", "2024-01-05"), (4, None, "2024-01-05"), (5, "http://a.example.org", None),
             (6, "http://b.org", "2024-03-01"), (6, "http://b.org", "2024-03-01"), (7, "http://A.Example.ORG./", "2024-04-01")]
