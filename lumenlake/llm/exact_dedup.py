@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import cut, without_white
 
 
+#: Rows of a group that one task joins; the larger groups, at most one for as many rows of the table, are broadcast.
+SPLIT = 100_000
+
+
 def content_hash(norm: Column) -> Column:
     """The first 128 bits, as binary, by which texts are grouped."""
     return F.unhex(F.md5(norm))
@@ -24,42 +28,46 @@ def _keyed(docs: DataFrame, key: Callable[[Column], Column], *more: Column) -> D
 
 
 def classes(docs: DataFrame, key: Callable[[Column], Column] = content_hash) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): each row's keys, and one row per set of equal texts with the row that stays.
+    """(rows, groups): each row's keys and number, and one row per set of equal texts with the row that stays.
 
-    Hashes are grouped first, on rows of a few bytes. Only texts whose hash occurs twice are
-    read again and grouped by (hash, bytes), which tells collisions apart; a group of copies
-    meets as one row a task, since the grouping combines before its shuffle. Inside a hash,
-    classes are then named by SHA-256; should two different texts share both, the job stops.
+    Rows of a few bytes are grouped by hash and, within it, by SHA-256; a group of copies
+    meets as one row a task, since the grouping combines before its shuffle. Texts whose
+    hash occurs twice are then read again and their bytes compared: should two different
+    texts share both hashes, the job stops.
     """
-    rows = cut(_keyed(docs, key).drop("__norm"))
-    keep = F.max(F.struct(F.col("__cp"), (-F.col("__id")).alias("__neg"))).alias("__keep")
-    first = [F.count(F.lit(1)).alias("__n"), keep, F.min("__sha").alias("__sha")]
-    hashes = rows.groupBy("__h").agg(*first)
-    twice = hashes.filter("__n > 1").select("__h")
-    same = _keyed(docs, key).join(twice, "__h", "left_semi").groupBy("__h", "__norm").agg(*first)
-    named = same.groupBy("__h", "__sha").agg(
-        F.sum("__n").alias("__n"), F.max("__keep").alias("__keep"), F.count(F.lit(1)).alias("__texts"))
-    checked = named.withColumn(
+    rows = cut(_keyed(docs, key).drop("__norm").withColumn("__row", F.monotonically_increasing_id()))
+    keep = F.max(F.struct(F.col("__cp"), (-F.col("__id")).alias("__neg"), (-F.col("__row")).alias("__first"))).alias("__keep")
+    groups = rows.groupBy("__h", "__sha").agg(F.count(F.lit(1)).alias("__n"), keep)
+    twice = groups.groupBy("__h").agg(F.sum("__n").alias("__all")).filter("__all > 1").select("__h")
+    same = _keyed(docs, key).join(twice, "__h", "left_semi").groupBy("__h", "__sha", "__norm").agg(F.count(F.lit(1)).alias("__rows"))
+    texts = same.groupBy("__h", "__sha").agg(F.count(F.lit(1)).alias("__texts"))
+    checked = groups.join(texts, ["__h", "__sha"], "left").withColumn(
         "__n", F.when(F.col("__texts") > 1, F.raise_error(F.lit("two texts share both hashes")).cast("long")).otherwise(F.col("__n")))
-    groups = hashes.filter("__n = 1").select("__h", "__sha", "__n", "__keep").unionByName(checked.select("__h", "__sha", "__n", "__keep"))
-    return rows, groups.select("__h", "__sha", F.col("__n"), F.col("__keep.__cp").alias("__keep_cp"), (-F.col("__keep.__neg")).alias("__keep_id"))
+    return rows, cut(checked.select("__h", "__sha", "__n", F.col("__keep.__cp").alias("__keep_cp"), (-F.col("__keep.__neg")).alias("__keep_id"), (-F.col("__keep.__first")).alias("__keep_row")))
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with their group's columns. Of groups over SPLIT rows, of which there are few, the rows are dealt over as many tasks as they need."""
+    parts = F.greatest(F.ceil(F.col("__n") / SPLIT), F.lit(1)).cast("long")
+    large = groups.filter(F.col("__n") > SPLIT).select("__h", "__sha", parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(large), ["__h", "__sha"], "left").withColumn("__part", F.pmod(F.xxhash64("__row"), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    return dealt.join(groups.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), ["__h", "__sha", "__part"])
 
 
 def exact_duplicates(docs: DataFrame, key: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting white space; of equal texts the row with the
-    most code points in its original text stays, then the smallest doc_id. A null text counts
-    as empty; empty texts are equal to each other. A null doc_id is passed on and loses to any
-    other; keep_id is null only in a group without any doc_id. Rows that repeat a doc_id with
-    the same text all count in group_size and are all kept together, being one document. Other
-    columns are ignored, whatever their names; an empty table gives an empty result.
+    most code points in its original text stays, then the smallest doc_id, and one of rows
+    that repeat it. A null text counts as empty; empty texts are equal to each other. A null
+    doc_id is passed on and loses to any other; keep_id is null only in a group without any
+    doc_id. Every row counts in group_size and one row of each group is kept. Other columns
+    are ignored, whatever their names; an empty table gives an empty result.
     """
     rows, groups = classes(docs, key)
-    return rows.join(groups, ["__h", "__sha"]).select(
+    return _with_groups(rows, groups).select(
         F.col("__id").alias("doc_id"), F.col("__keep_id").alias("keep_id"), F.col("__n").alias("group_size"),
-        (F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__cp") == F.col("__keep_cp"))).alias("kept"),
-        F.col("__sha").alias("text_sha256"),
+        (F.col("__row") == F.col("__keep_row")).alias("kept"), F.col("__sha").alias("text_sha256"),
     )
 
 

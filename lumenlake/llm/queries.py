@@ -103,7 +103,7 @@ ORACLES: dict[str, str] = {
         with n as (select doc_id, length(coalesce(text, '')) as cp, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
         r as (select *, row_number() over (partition by norm order by cp desc, doc_id) as rn, count(*) over (partition by norm) as group_size from n),
         k as (select norm, doc_id as keep_id, cp as keep_cp from r where rn = 1)
-        select r.doc_id, k.keep_id, r.group_size, r.doc_id = k.keep_id and r.cp = k.keep_cp as kept, sha256(r.norm) as text_sha256
+        select r.doc_id, k.keep_id, r.group_size, r.rn = 1 as kept, sha256(r.norm) as text_sha256
         from r join k using (norm)""",
     "op9_url_filter": r"""
         with p as (select page_id, url, timestamp '2024-01-01' + to_hours(cast((page_id * 7919) % 8760 as integer)) as fetched,
