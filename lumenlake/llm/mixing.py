@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,8 @@ from lumenlake.llm.common import cut, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
+#: Words of a block.
+BLOCK_WORDS = 32
 #: Rows that a shard has on average, and the fewest shards.
 ROWS_PER_SHARD, MIN_SHARDS = 65_536, 64
 
@@ -59,62 +62,103 @@ def sainte_lague(cells: DataFrame, group: Sequence[str], weight: str, seats: str
     return won.groupBy(*cells.columns).agg((F.max("__sure") + F.sum(F.col("__won").cast("long"))).alias("quota"))
 
 
-def _dealt(docs: DataFrame, weights: Sequence[float], max_repeats: int, block_words: int, seed: int, carry: Sequence[Column] = ()) -> DataFrame:
-    """The rows of mix() with carry, and the cell of each: __none, __src, __shard."""
-    drawn = lambda s: F.md5(F.concat_ws(":", F.lit(str(s)), F.col("doc_id").cast("string")))
+class Apportioned(NamedTuple):
+    """docs: rows with __none, __src, __shard, size, __draw and what is carried; cells: what a source's part of a shard holds and gets."""
+
+    docs: DataFrame
+    cells: DataFrame
+
+
+CELL = ["__none", "__src", "__shard"]
+
+
+def _drawn(seed: int, *what: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *what))
+
+
+def _apportioned(docs: DataFrame, weights: Sequence[float], max_repeats: int, block_words: int, seed: int, carry: Sequence[Column]) -> Apportioned:
+    """Blocks for sources by Sainte-Lague on their targets, then for each source's shards by the blocks that they hold.
+
+    A cell of w words holds round(w / block_words) blocks, one at least, the last of which is
+    up to half a block shorter or longer, so that the blocks of a source have block_words on
+    average. Null doc_ids are told apart by their texts.
+    """
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
     shards = max(MIN_SHARDS, -(-docs.count() // ROWS_PER_SHARD))
     sized = cut(docs.select(
         "doc_id", "source", F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__src"), n_words(F.col("text")).alias("size"),
-        (F.conv(F.substring(drawn(seed), 1, 8), 16, 10).cast("long") % shards).alias("__shard"), drawn(seed + 1).alias("__draw"), *carry,
+        (F.conv(F.substring(_drawn(seed, name), 1, 8), 16, 10).cast("long") % shards).alias("__shard"), _drawn(seed + 1, name).alias("__draw"), *carry,
     ))
-    key = ["__none", "__src"]
-    cells = cut(sized.groupBy(*key, "__shard").agg(F.sum("size").alias("__words")))
-    targets = source_targets(cells.groupBy(*key).agg(F.sum("__words").alias("source_size")), weights, max_repeats)
-    total = F.sum("source_size").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    by_source = sainte_lague(targets.withColumn("__one", F.lit(0)).withColumn("__seats", F.floor(total / block_words)), ["__one"], "target", "__seats", ["rank"])
-    by_source = cut(by_source.select(*key, "source_size", "target", F.col("quota").alias("__blocks")))
-    by_cell = sainte_lague(cells.join(by_source, key), key, "__words", "__blocks", ["__shard"])
-    by_cell = by_cell.select(*key, "__shard", "source_size", "target", "__words", F.least(F.col("quota") * block_words, F.col("__words") * max_repeats).alias("__take"))
-    run = W.partitionBy(*key, "__shard").orderBy("__draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    held = sized.join(by_cell, [*key, "__shard"]).withColumn("__from", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    rounds = F.coalesce(F.floor(F.try_divide("__take", "__words")), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("__take") - rounds * F.col("__words") - F.col("__from")))
-    return held.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), *key, "__shard", *(c for c in sized.columns if c.startswith("__carried")))
-
-
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42, *, carry: Sequence[Column] = ()) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
-
-    Blocks of block_words words go to sources by Sainte-Lague on their targets, then within a
-    source to its shards (by hash of doc_id) by Sainte-Lague on their sizes. A shard's blocks
-    run through its documents in seeded hash order, from the start again when all are used,
-    so at most one document a shard is taken in part. block_words = 1 is the finest and costs
-    nothing, as quotas have a closed form. taken counts repeats and is at most max_repeats
-    times size. Null and empty texts have size 0 and nothing taken; null doc_ids and repeated
-    rows are documents of their own; an empty table gives an empty result. Columns other than
-    doc_id, source and text are ignored, whatever their names; expressions in carry pass through.
-    """
-    dealt = _dealt(docs, weights, max_repeats, block_words, seed, carry)
-    return dealt.drop("__none", "__src", "__shard")
+    key = CELL[:2]
+    cells = sized.groupBy(*CELL).agg(F.sum("size").alias("__words"))
+    cells = cut(cells.withColumn("__held", F.when(F.col("__words") > 0, F.greatest(F.lit(1), F.floor((F.col("__words") + block_words // 2) / block_words))).otherwise(0).cast("long")))
+    sources = cells.groupBy(*key).agg(F.sum("__words").alias("source_size"), F.sum("__held").alias("__own"))
+    targets = source_targets(sources, weights, max_repeats).withColumn("__blocks", F.coalesce(F.try_divide(F.col("target") * F.col("__own"), F.col("source_size").cast("double")), F.lit(0.0)))
+    total = F.sum("__own").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    by_source = sainte_lague(targets.withColumn("__one", F.lit(0)).withColumn("__seats", total), ["__one"], "__blocks", "__seats", ["rank"])
+    by_source = cut(by_source.select(*key, "source_size", "target", F.col("quota").alias("__given")))
+    by_cell = sainte_lague(cells.join(by_source, key), key, "__held", "__given", ["__shard"])
+    return Apportioned(sized, cut(by_cell.withColumn("__quota", F.least(F.col("quota"), F.col("__held") * max_repeats)).select(*CELL, "source_size", "target", "__words", "__held", "__quota")))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """text up to the end of its n-th word, all white space before that as it was."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+def _placed(sized: DataFrame, cells: DataFrame) -> DataFrame:
+    """Documents in the seeded order of their cell, with the cell's columns and __from, the words before them."""
+    run = W.partitionBy(*CELL).orderBy("__draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    return sized.join(cells, CELL).withColumn("__from", F.coalesce(F.sum("size").over(run), F.lit(0)))
 
 
-def _rounded(dealt: DataFrame) -> DataFrame:
-    """dealt with taken in whole documents.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 42, *, carry: Sequence[Column] = ()) -> DataFrame:
+    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
 
-    A cell has one document at most that is taken in part. Those of a source, the largest
-    first, are taken once more or not as what is owed to the source is nearer to the whole or
-    to nothing, and what that leaves over or short goes on to the next. So a source is off by
-    half its largest such document at most. One row a cell, no more, meets in a source's list.
+    Blocks of block_words words go to sources by Sainte-Lague on their targets, then within a
+    source to its shards (by hash of doc_id) by Sainte-Lague on the blocks that these hold. A
+    shard's documents, in seeded hash order, are cut into blocks; all are taken as often as
+    its quota goes round, and of the rest those with the least seeded draws once more. taken
+    counts repeats and is at most max_repeats times size; a source's taken words are off its
+    target by about a block, and the unequal last blocks of its shards. Null and empty texts
+    have size 0 and nothing taken; null doc_ids and repeated rows are documents of their own;
+    an empty table gives an empty result. Columns other than doc_id, source and text are
+    ignored, whatever their names; expressions in carry pass through.
+    """
+    dealt = _apportioned(docs, weights, max_repeats, block_words, seed, carry)
+    number = lambda c: c.cast("string")
+    drawn = lambda b: _drawn(seed + 2, F.col("__src"), number(F.col("__none").cast("int")), number(F.col("__shard")), number(b))
+    held = F.col("__held")
+    rest = F.coalesce(F.try_mod(F.col("__quota"), held), F.lit(0)).cast("long")
+    # the draw of the last block that is taken once more; blocks are numbered by cell, a few rows a thousand words
+    blocks = dealt.cells.filter(rest > 0).select(*CELL, rest.alias("__rest"), F.explode(F.sequence(F.lit(0).cast("long"), held - 1)).alias("__b")).withColumn("__d", drawn(F.col("__b")))
+    last = blocks.withColumn("__nth", F.row_number().over(W.partitionBy(*CELL).orderBy("__d", "__b"))).filter("__nth = __rest").select(*CELL, F.col("__d").alias("__last"))
+    placed = _placed(dealt.docs, dealt.cells.join(last, CELL, "left"))
+    block_of = lambda word: F.least(F.floor(word / block_words), held - 1).cast("long")
+    start, stop = F.col("__from"), F.col("__from") + F.col("size")
+    inside = lambda b: F.least(stop, F.when(b == held - 1, F.col("__words")).otherwise((b + 1) * block_words)) - F.greatest(start, b * block_words)
+    own = F.when(F.col("size") > 0, F.sequence(block_of(start), block_of(stop - 1))).otherwise(F.array().cast("array<long>"))
+    more = F.aggregate(own, F.lit(0).cast("long"), lambda acc, b: acc + F.when(drawn(b) <= F.col("__last"), inside(b)).otherwise(0).cast("long"))
+    taken = F.coalesce(F.floor(F.try_divide("__quota", "__held")), F.lit(0)) * F.col("size") + F.coalesce(more, F.lit(0))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(c for c in dealt.docs.columns if c.startswith("__carried")))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = 42) -> DataFrame:
+    """docs in the mix's proportions: a row for each time that a whole document is taken, up to max_repeats times.
+
+    Quotas are those of mix(). A shard fills its own with whole documents in seeded order,
+    from the start again when all are used, and stops inside one at most. Of a source's such
+    documents, the largest first, each is taken once more or not as what is owed to the
+    source is nearer to the whole or to nothing, and what that leaves over or short goes on
+    to the next; so a source is off its quota by half its largest such document at most. One
+    row a shard, no more, meets in a source's list. A document of which nothing is taken, and
+    one without words, has no row. Null doc_ids and repeated rows are documents of their own;
+    an empty table stays empty. Columns are those of docs, unchanged, whatever their names.
     """
-    cell = ["__none", "__src", "__shard"]
-    part = F.coalesce(F.try_mod(F.col("taken"), F.col("size")), F.lit(0)).cast("long")
-    parts = dealt.filter(part > 0).groupBy("__none", "__src").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), "__shard", part.alias("part")))).alias("__parts"))
+    names = [f"__carried{i}" for i in range(len(docs.columns))]
+    dealt = _apportioned(docs, weights, max_repeats, block_words, seed, [docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)])
+    take = F.round(F.try_divide(F.col("__quota") * F.col("__words"), F.col("__held").cast("double"))).cast("long")
+    placed = _placed(dealt.docs, dealt.cells.withColumn("__take", F.coalesce(take, F.lit(0).cast("long")))).filter("size > 0")
+    rounds = F.floor(F.col("__take") / F.col("__words")).cast("long")
+    over = F.col("__take") - rounds * F.col("__words") - F.col("__from")
+    placed = cut(placed.select(*names, *CELL, "size", rounds.alias("__rounds"), F.greatest(F.lit(0), F.least(F.col("size"), over)).cast("long").alias("__part")))
+    partial = placed.filter("__part > 0 and __part < size")
+    parts = partial.groupBy("__none", "__src").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("less"), "__shard", F.col("__part").alias("part")))).alias("__parts"))
     start = F.struct(F.lit(0).cast("long").alias("owed"), F.array().cast("array<long>").alias("up"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -122,31 +166,7 @@ def _rounded(dealt: DataFrame) -> DataFrame:
         up = 2 * owed >= -p["less"]
         return F.struct(F.when(up, owed + p["less"]).otherwise(owed).alias("owed"), F.when(up, F.array_append(acc["up"], p["__shard"])).otherwise(acc["up"]).alias("up"))
 
-    up = parts.select("__none", "__src", F.explode(F.aggregate("__parts", start, step, lambda acc: acc["up"])).alias("__shard")).withColumn("__up", F.lit(1).cast("long"))
-    more = F.when(part > 0, F.coalesce("__up", F.lit(0)) * F.col("size") - part).otherwise(0)
-    return dealt.join(up, cell, "left").withColumn("taken", F.col("taken") + more).drop("__up")
-
-
-def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = 1, seed: int = 42, *, whole: bool = False) -> DataFrame:
-    """docs as the mix takes them: a row for each time that a document is taken whole, and one for the words of a part.
-
-    A part is the document's text up to the end of its last word that a block reaches; with
-    whole there are no parts: such a document is taken once more or not, so that its source
-    stays as near to its quota as whole documents come. A document of which nothing is taken
-    has no row. Columns are those of docs, unchanged but for text and n_chars (if there is
-    one) of parts. See mix() for the rule.
-    """
-    names = [f"__carried{i}" for i in range(len(docs.columns))]
-    taken = _dealt(docs, weights, max_repeats, block_words, seed, [docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names)])
-    if whole:
-        copies = _rounded(taken).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int"))))
-        return copies.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))
-    times = taken.withColumn("__times", F.try_divide(F.col("taken"), F.col("size")))
-    rounds = F.floor("__times").cast("int")
-    copies = times.withColumn("__words", F.explode(F.concat(F.array_repeat(F.col("size"), rounds), F.when(F.col("taken") > rounds * F.col("size"), F.array(F.col("taken") - rounds * F.col("size"))).otherwise(F.array().cast("array<long>")))))
-    text = F.col(names[docs.columns.index("text")])
-    cut_text = F.when(F.col("__words") == F.col("size"), text).otherwise(first_words(text, F.col("__words")))
-    by_name = {c: F.col(n) for c, n in zip(docs.columns, names)} | {"text": cut_text}
-    if "n_chars" in by_name:
-        by_name["n_chars"] = F.when(F.col("__words") == F.col("size"), by_name["n_chars"]).otherwise(F.length(cut_text).cast(docs.schema["n_chars"].dataType))
-    return copies.select(*(by_name[c].alias(c) for c in docs.columns))
+    up = parts.select("__none", "__src", F.explode(F.aggregate("__parts", start, step, lambda acc: acc["up"])).alias("__shard")).withColumn("__up", F.lit(1))
+    once = F.when(F.col("__part") == F.col("size"), 1).when(F.col("__part") > 0, F.coalesce("__up", F.lit(0))).otherwise(0)
+    copies = placed.join(up, CELL, "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), (F.col("__rounds") + once).cast("int"))))
+    return copies.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

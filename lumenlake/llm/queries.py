@@ -124,21 +124,27 @@ ORACLES: dict[str, str] = {
         select p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d %H') as fetched, hits.page_id is not null as blocked, hits.pattern, hits.category
         from p left join hits on hits.page_id = p.page_id and hits.rn = 1""",
     "op3_mix_sources": r"""
-        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-                cast('0x' || substr(md5(concat_ws(':', '42', doc_id)), 1, 8) as bigint) % (select greatest(64, ceil(count(*) / 65536))::bigint from documents) as shard, md5(concat_ws(':', '43', doc_id)) as draw from documents),
-        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as rk from d group by source),
+        with n as (select doc_id, source, text, coalesce(doc_id::varchar, 'text ' || md5(coalesce(text, ''))) as name from documents),
+        d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                cast('0x' || substr(md5('42:' || name), 1, 8) as bigint) % (select greatest(64, ceil(count(*) / 65536))::bigint from documents) as shard, md5('43:' || name) as draw from n),
+        c as (select source, shard, sum(size)::bigint as words, case when sum(size) > 0 then greatest(1, (sum(size)::bigint + 16) // 32) else 0 end as held from d group by 1, 2),
+        s as (select source, sum(words)::bigint as source_size, sum(held)::bigint as own, row_number() over (order by source nulls last) as rk from c group by source),
         w as (select *, 3 * source_size as cap, case (rk - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from s),
         v as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / w, rk rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by cap / w, rk rows between current row and unbounded following) as level from w),
         t as (select *, least(cap::double, coalesce(w * max(level) filter (level <= cap / w) over (), cap::double)) as target from v),
-        q as (select source, row_number() over (order by target / (2 * k + 1) desc, rk) as place from (select source, rk, target, unnest(range(0, ceil(target)::bigint + 2)) as k from t where target > 0)),
-        b as (select source, count(*) as blocks from q where place <= (select sum(source_size) from t) group by source),
-        c as (select source, shard, sum(size)::bigint as words from d group by 1, 2),
-        cq as (select source, shard, row_number() over (partition by source order by words::double / (2 * k + 1) desc, shard, k) as place from (select source, shard, words, unnest(range(0, 3 * words + 2)) as k from c where words > 0)),
-        cb as (select cq.source, cq.shard, count(*) as quota from cq join b on cq.source is not distinct from b.source where place <= blocks group by 1, 2),
-        ct as (select c.source, c.shard, words, least(coalesce(quota, 0), 3 * words) as take from c left join cb on c.source is not distinct from cb.source and c.shard = cb.shard),
-        r as (select d.doc_id, d.size, t.source_size, t.target, case when words > 0 then take // words else 0 end as rounds, take, words, coalesce(sum(d.size) over (partition by d.source, d.shard order by draw, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
-            from d join t on d.source is not distinct from t.source join ct on d.source is not distinct from ct.source and d.shard = ct.shard)
-        select doc_id, size, source_size, target, cast(rounds * size + greatest(0, least(size, take - rounds * words - before)) as bigint) as taken from r""",
+        u as (select *, case when source_size > 0 then target * own / source_size::double else 0 end as weight from t),
+        q as (select source, row_number() over (order by weight / (2 * k + 1) desc, rk) as place from (select source, rk, weight, unnest(range(0, ceil(weight)::bigint + 2)) as k from u where weight > 0)),
+        b as (select source, count(*) as given from q where place <= (select sum(own) from u) group by source),
+        cq as (select source, shard, row_number() over (partition by source order by held::double / (2 * k + 1) desc, shard, k) as place from (select source, shard, held, unnest(range(0, 3 * held + 2)) as k from c where held > 0)),
+        cb as (select cq.source, cq.shard, count(*) as quota from cq join b on cq.source is not distinct from b.source where place <= given group by 1, 2),
+        ct as (select c.source, c.shard, words, held, least(coalesce(quota, 0), 3 * held) as quota from c left join cb on c.source is not distinct from cb.source and c.shard = cb.shard),
+        bl as (select source, shard, quota, held, words, unnest(range(0, held)) as k from ct where held > 0),
+        br as (select *, row_number() over (partition by source, shard order by md5('44:' || coalesce(source, '') || ':' || (source is null)::int || ':' || shard || ':' || k), k) as nth from bl),
+        won as (select source, shard, 32 * k as start, case when k = held - 1 then words else 32 * (k + 1) end as stop from br where nth <= quota % held),
+        r as (select row_number() over () as id, d.*, t.source_size, t.target, case when held > 0 then quota // held else 0 end as rounds, coalesce(sum(d.size) over (partition by d.source, d.shard order by draw, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as before
+            from d join t on d.source is not distinct from t.source join ct on d.source is not distinct from ct.source and d.shard = ct.shard),
+        m as (select r.id, sum(least(before + size, stop) - greatest(before, start)) as more from r join won on r.source is not distinct from won.source and r.shard = won.shard and start < before + size and stop > before group by 1)
+        select doc_id, size, source_size, target, cast(rounds * size + coalesce(more, 0) as bigint) as taken from r left join m using (id)""",
     "op7_minhash": r"""
         with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
         s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as sh from w),
