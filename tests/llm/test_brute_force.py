@@ -1,9 +1,11 @@
 """Operators against brute force, exact round trips and held-out accuracy on the small tables."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -12,8 +14,9 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, components, families, language_id, mixing, pii, queries, sharding
+from lumenlake.llm import bpe, components, families, language_id, minhash, mixing, pii, queries, sharding, substring_dedup
 from tests.compare import database, same
+from tests.llm.naive import naive_bundle
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -173,6 +176,28 @@ def test_plain_prose_has_none(text):
     assert pii.find_spans(text) == []
 
 
+@needs_tables
+def test_language_is_the_nearest_prototype(spark):
+    """Predictions and scores against bundles and cosines built letter by letter."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learn = [(r.lang, r.text) for r in docs.filter(~language_id.held_out()).collect() if r.lang is not None]
+    bundle = {}
+    for lang, text in learn:
+        bundle[lang] = bundle.get(lang, 0) + naive_bundle(text)
+    bundle = {k: v / np.linalg.norm(v) for k, v in bundle.items()}
+    mean = sum(bundle.values()) / len(bundle)
+    bundle = {k: (v - mean) / np.linalg.norm(v - mean) for k, v in bundle.items()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op8_language_id(spark, SF).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        v = naive_bundle(texts[r.doc_id])
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cos = {k: float(v @ p) / np.linalg.norm(v) for k, p in bundle.items()}
+        assert cos[r.lang_pred] > max(cos.values()) - 1e-4 and abs(r.score - max(0.0, cos[r.lang_pred])) < 1e-4
+
+
 @needs_tables
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
@@ -233,6 +258,32 @@ def test_mix(spark):
     assert m.sort_values("doc_id").equals(queries.op3_mix_sources(spark, SF).toPandas().sort_values("doc_id").set_index(m.sort_values("doc_id").index))
 
 
+def drawn_shard(doc_id, tree, seed=42):
+    """The tree descended by hand."""
+    at = ""
+    for level in range(3):
+        below = {}
+        for region, rack, shard, weight in tree:
+            path = [region, f"{region}/{rack}", f"{region}/{rack}/{shard}"]
+            if ["", *path][level] == at:
+                below[path[level]] = below.get(path[level], 0.0) + weight
+        text = "" if doc_id is None else str(doc_id)
+        draw = lambda p: -math.log((int(hashlib.md5(f"{seed}|{text}|{p}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48) / below[p]  # noqa: E731, B023
+        at = min(below, key=lambda p: (draw(p), p))
+    return int(at.rsplit("/", 1)[1])
+
+
+def test_sharding_values(spark):
+    """Every column against its definition, with nulls, repeated rows and other alphabets."""
+    rows = [(i, rng_text) for i, rng_text in enumerate(["", "é", "文字 😀", "a" * 1000, None, "x\x00y"] * 40)] + [(3, "again"), (3, "again"), (None, "no number"), (-7, "minus")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "grown_shard").collect()]
+    tree = sharding.base_tree()
+    raw = lambda t: (t or "").encode()
+    want = [(i, len(raw(t)) + 1, zlib.crc32(raw(t)), "key", drawn_shard(i, tree), drawn_shard(i, sharding.grown(tree))) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_sharding_moves_only_into_the_new_shard(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = sharding.shard_documents(docs).toPandas()
@@ -272,6 +323,109 @@ def test_components(spark):
     assert got == {x: find(x) for x in top}
 
 
+def word_windows(texts, n):
+    out = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        for k in range(len(w) - n + 1):
+            out.setdefault(tuple(w[k : k + n]), set()).add(i)
+    return out
+
+
+def said(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+
+@needs_tables
+def test_passages_against_all_word_windows(spark):
+    """Every document that shares 51 words in a row with another has a row; documents that share less than 40 have none."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").collect()}
+    found = {r.doc_id for r in queries.op6_substring_dedup(spark, SF.replace("0.001", "0.01")).collect()}
+    share = lambda n: {i for ids in word_windows(texts, n).values() if len(ids) > 1 for i in ids}
+    assert share(51) <= found
+    near = share(30)
+    assert len(found - near) <= 0.02 * len(texts)
+
+
+def test_passages_of_every_length_and_place(spark):
+    """Planted passages: exact ones anywhere in lines, near copies, sentences that also stand alone elsewhere, copies around one passage; and short ones that don't count."""
+    rng = random.Random(12)
+    docs, planted, short = {}, {}, []
+    for k in range(60):
+        n = 51 + k % 40
+        passage = said(rng, n)
+        planted[k] = passage
+        for j in range(2):
+            docs[2 * k + j] = f"{said(rng, rng.randrange(0, 90))} {passage} {said(rng, rng.randrange(0, 90))}"
+    near = {}
+    for k in range(30):
+        words = said(rng, 180).split()
+        changed = [w if i % 60 != 30 else "changed" for i, w in enumerate(words)]
+        near |= {1000 + 2 * k: words, 1001 + 2 * k: changed}
+        docs |= {1000 + 2 * k: f"{said(rng, 40)} {' '.join(words)} {said(rng, 40)}", 1001 + 2 * k: f"{said(rng, 60)} {' '.join(changed)} {said(rng, 20)}"}
+    sentences = [f"{said(rng, 12)}." for _ in range(8)]
+    docs |= {2000: f"{said(rng, 30)} {' '.join(sentences)} {said(rng, 30)}", 2001: f"{said(rng, 10)} {' '.join(sentences)} {said(rng, 50)}", 1999: sentences[2], 2002: f"{said(rng, 40)}\n{sentences[4]}", 2003: sentences[6]}
+    inner = said(rng, 80)
+    whole = f"{said(rng, 120)} {inner} {said(rng, 120)}"
+    docs |= {3000: whole, 3002: whole, 3001: f"{said(rng, 50)} {inner} {said(rng, 50)}"}
+    for k in range(40):
+        passage = said(rng, 40)
+        docs |= {4000 + 2 * k: f"{said(rng, 60)} {passage} {said(rng, 60)}", 4001 + 2 * k: f"{said(rng, 60)} {passage} {said(rng, 60)}"}
+        short += [4000 + 2 * k, 4001 + 2 * k]
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append(docs[r.doc_id][r.start : r.end])
+    covered = lambda i, passage: sum(len(t.split()) for t in found.get(i, ())) / len(passage.split())
+    assert all(2 * k + j in found for k in planted for j in range(2))
+    assert all(0.6 < covered(2 * k + 1, planted[k]) < 1.02 for k in planted)
+    assert sum(i in found for i in near) >= 0.95 * len(near)
+    assert {2000, 2001, 3000, 3001, 3002} <= set(found) and {1999, 2002, 2003}.isdisjoint(found)
+    assert not any(i in found for i in short)
+    left = {r.doc_id: r.text for r in substring_dedup.without_repeats(df).collect()}
+    for k in planted:
+        assert left[2 * k] == docs[2 * k]
+        outside = docs[2 * k + 1].replace(planted[k], "|").split("|")
+        assert all(part.strip() in left[2 * k + 1] for part in outside)
+
+
+def test_passages_with_a_start_that_very_many_share(spark):
+    """Starts with more classes than a task compares by itself come to the same."""
+    rng = random.Random(13)
+    phrase = "as it was said before"
+    docs = [(i, f"{said(rng, 30)} {phrase} {said(rng, 60)}") for i in range(30)]
+    tail = said(rng, 70).split()
+    docs += [(100 + i, f"{said(rng, 30)} {phrase} {' '.join(w if j != 50 + i else 'other' for j, w in enumerate(tail))} {said(rng, 9)}") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    few, many = key(substring_dedup.repeated_passages(df)), key(substring_dedup.repeated_passages(df, together=2))
+    assert few == many and {r[0] for r in few} == set(range(100, 112))
+
+
+def test_near_duplicates_in_one_large_family(spark):
+    """A family of near copies, beside an outsider that shares its frequent words, against pairs by hand."""
+    rng = random.Random(14)
+    base = said(rng, 60).split()
+    rows = [(i, " ".join(w if rng.random() > 0.03 else "x" + str(rng.randrange(4)) for w in base)) for i in range(400)]
+    rows += [(1000 + i, " ".join(base[: 20 + i] + said(rng, 30).split())) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in rows}
+    top = {i: i for i in sets}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                top[b] = a
+    assert got == {i: find(i) for i in sets}
+
+
 @pytest.mark.parametrize("block", [4, 1000])
 def test_family_links(spark, block):
     rng = random.Random(7)

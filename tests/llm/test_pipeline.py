@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 
 from lumenlake.llm import bpe, language_id, mixing
+from tests.llm.naive import naive_bundle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SAID = {"en": "the old house stands near the river and the children play there after school every day", "de": "das alte haus steht nahe am fluss und die kinder spielen dort nach der schule jeden tag",
@@ -65,24 +66,6 @@ def test_language_stage(spark, staged, corpus):
     assert {r[0] for r in corpus if r[0] is not None and r[0] < 1200} <= ids and ids.isdisjoint({1300, 1301, 1302}) and len(ids & set(range(1200, 1304))) <= 1
 
 
-def naive_bundle(text):
-    """The sum of bound trigram vectors, letter by letter."""
-    letters, symbols = language_id._letters(language_id.DIM, language_id.SEED), language_id._symbols()
-    s = [0]
-    for c in (text or "") + " ":
-        code = int(symbols[ord(c)])
-        if code or s[-1]:
-            s.append(code)
-    out = np.zeros(language_id.DIM)
-    if not any(s):
-        return out
-    if s[-1]:
-        s.append(0)
-    for i in range(len(s) - 2):
-        out += np.roll(letters[s[i]], 2) * np.roll(letters[s[i + 1]], 1) * letters[s[i + 2]]
-    return out
-
-
 def test_exact_stage(staged):
     groups = defaultdict(list)
     for r in staged[1]:
