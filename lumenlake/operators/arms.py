@@ -1,90 +1,70 @@
-"""Image arms: named compositions of stages, applied to a table of planes with their quality metrics."""
+"""Image arms that are level maps, as columns of pixel rows, and what they do to glare, contrast and noise."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenlake.functions import kernels as K
+from lumenlake.operators import pixels as P
 
-STAGES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
-    "A1": K.equalised, "A2": K.adaptive_gamma, "D1": K.drago, "R1": K.reinhard, "L1": K.illumination, "bf": K.bilateral}
-#: Stages whose state follows a sequence, by their names in an arm: smoothed curve, denoising, both.
-TEMPORAL = ("ts", "td", "a3")
-# The arms, each a composition of stages.
-ARMS = (
-    "none", "A1", "A1+bf", "A2", "A2+bf", "D1", "D1+bf", "R1", "R1+bf", "L1", "L1+bf", "D1A1", "D1A1+bf",
-    "A1+ts", "A1+td", "A1+a3", "D1A1+ts", "D1A1+td", "D1A1+a3", "D1A1+bf+ts")
+#: Arms: the input itself, adaptive gamma by the frame's own weighted histogram, and one gamma for all.
+ARMS = ("none", "A2", "gamma")
+GAMMA = 0.45
 
 
-def stages(arm: str) -> list[str]:
-    """The stages of an arm in order; an unknown name lists those that there are."""
-    if arm not in ARMS:
-        raise KeyError(f"no arm {arm}: {', '.join(ARMS)}")
-    return [] if arm == "none" else [s for part in arm.split("+") for s in (("D1", "A1") if part == "D1A1" else (part,))]
+def adaptive_levels(px: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(frame_id, l, curve): where adaptive gamma puts each level that a frame has.
 
+    Levels without a pixel have no weight and need no row; a frame that has all 256 presses
+    from its rarest one, any other from none.
+    """
+    whole = W.partitionBy("frame_id")
+    share = px.groupBy("frame_id", "l").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.col("n") / F.sum("n").over(whole))
+    span = share.withColumns({"hi": F.max("p").over(whole), "lo": F.when(F.count(F.lit(1)).over(whole) == 256, F.min("p").over(whole)).otherwise(0.0)})
+    flat = F.col("hi") - F.col("lo") < 1e-8
+    w = span.withColumn("w", F.when(flat, 1.0).otherwise(F.col("hi") * F.pow((F.col("p") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(alpha))))
+    cdf = F.sum("w").over(whole.orderBy("l").rowsBetween(W.unboundedPreceding, 0)) / F.sum("w").over(whole)
+    curve = F.floor(F.round(255 * F.pow(F.col("l") / 255, 1 - cdf), 6)).cast("double")
+    return w.select("frame_id", "l", F.when(flat, F.col("l")).otherwise(curve).alias("curve"))
 
-def is_temporal(arm: str) -> bool:
-    return any(s in TEMPORAL for s in stages(arm))
 
+def applied(px: DataFrame) -> DataFrame:
+    """px (frame_id, y, x, l) once for each arm, with o, the level that it gives."""
+    mapped = px.join(adaptive_levels(px), ["frame_id", "l"])
+    levels = {"none": F.col("l"), "A2": F.col("curve"), "gamma": F.floor(255 * F.pow(F.col("l") / 255, F.lit(GAMMA))).cast("double")}
+    arms = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), levels[a].alias("o")) for a in ARMS)))
+    return mapped.withColumn("a", arms).select("frame_id", "y", "x", "l", "a.arm", "a.o")
 
-def build(arm: str) -> Callable[[np.ndarray], np.ndarray]:
-    """The arm as a function of one plane; arms with state need a sequence and are refused."""
-    if is_temporal(arm):
-        raise ValueError(f"{arm} follows a sequence; a still plane has none")
-    steps = [STAGES[s] for s in stages(arm)]
 
-    def run(plane: np.ndarray) -> np.ndarray:
-        for step in steps:
-            plane = step(plane)
-        return plane
+def measured(px: DataFrame, least: int, height: int, width: int, lamps: int = 3) -> DataFrame:
+    """One row a frame and arm: what every arm makes of the same pixels, those of the input's masks.
 
-    return run
+    Lamps are pixels of 235 or more and have a median where there are at least `lamps`.
+    Contrast is the mean local deviation on dark pixels, over the input's; gain the ratio of
+    mean levels; noise the response to a kernel that planes and edges leave out.
+    """
+    dark = P.dark_mask(px, least).select("frame_id", "y", "x", "dark")
+    near = P.around(P.around(applied(px), ["frame_id", "arm"], "l", "i"), ["frame_id", "arm"], "o", "o")
+    lit = F.col("l") >= P.LAMP
+    scale = math.sqrt(math.pi / 2) / (6 * (width - 2) * (height - 2))
+    one = near.join(dark, ["frame_id", "y", "x"]).groupBy("frame_id", "arm").agg(
+        F.avg("l").alias("mean_in"), F.avg("o").alias("mean_out"), (100 * F.avg((F.col("o") >= P.SATURATED).cast("int"))).alias("saturated"),
+        F.when(F.count_if(lit) >= lamps, F.percentile(F.when(lit, F.col("l")), 0.5)).alias("core_in"), F.when(F.count_if(lit) >= lamps, F.percentile(F.when(lit, F.col("o")), 0.5)).alias("core_out"),
+        F.avg(F.when(F.col("dark"), F.col("i_sd"))).alias("local_in"), F.avg(F.when(F.col("dark"), F.col("o_sd"))).alias("local_out"),
+        (F.sum(F.abs("i_response")) * scale).alias("noise_in"), (F.sum(F.abs("o_response")) * scale).alias("noise_out"), F.avg((F.col("l") - F.col("o")) ** 2).alias("error"))
+    gain = (F.col("mean_out") + 1e-6) / (F.col("mean_in") + 1e-6)
+    return one.withColumns({
+        "gain": gain, "contrast": F.col("local_out") / (F.col("local_in") + 1e-6), "amplified": (F.col("noise_out") + 1e-6) / (F.col("noise_in") + 1e-6) / gain,
+        "psnr": F.when(F.col("error") > 0, 10 * F.log10(F.lit(255.0**2) / F.col("error")))})
 
 
-METRICS = ("mean", "core_in", "core_out", "saturated", "contrast", "noise_in", "noise_out", "psnr", "ssim", "lamps", "largest_lamp")
-
-
-def masks(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Flat dark, dark and lamp pixels of the input, which every arm is measured on."""
-    return K.flat_dark_mask(x, least), K.dark_mask(x, least), x >= 235
-
-
-def measured(x: np.ndarray, out: np.ndarray, seen: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[float, ...]:
-    """The metrics of one plane and what an arm makes of it."""
-    flat, dark, lamp = seen
-    n, largest = K.blobs(out >= 235)
-    core = (float(np.median(x[lamp])), float(np.median(out[lamp]))) if lamp.sum() >= 3 else (float("nan"),) * 2
-    return (float(out.mean()), *core, 100 * float((out >= 250).mean()), K.contrast_gain(x, out, dark), K.noise_sigma(x, flat), K.noise_sigma(out, flat), K.psnr(x, out), K.ssim(x, out), float(n), 100 * largest / x.size)
-
-
-def apply_arms(planes: DataFrame, arms: Sequence[str], width: int, least: int = 16) -> DataFrame:
-    """(frame_id, recording, arm, *METRICS): every plane (luma, row by row) through every arm."""
-    built = {a: build(a) for a in arms}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for frame, rec, luma in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x = np.array(luma, dtype=np.float64).reshape(-1, width)
-                seen = masks(x, least)
-                rows += [(frame, rec, a, *measured(x, f(x), seen)) for a, f in built.items()]
-            names = ["frame_id", "recording", "arm", *METRICS]
-            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * len(METRICS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
-
-    chosen = planes.select("frame_id", F.col("recording").cast("long").alias("recording"), "luma")
-    slots = planes.sparkSession.sparkContext.defaultParallelism
-    if chosen.rdd.getNumPartitions() < slots:  # few files: planes are small, what is done to them isn't
-        chosen = chosen.repartition(slots)
-    return chosen.mapInArrow(run, "frame_id long, recording long, arm string, " + ", ".join(f"{m} double" for m in METRICS))
+METRICS = ("mean_in", "mean_out", "saturated", "core_in", "core_out", "contrast", "gain", "noise_in", "noise_out", "amplified", "psnr")
 
 
 def arm_summary(metrics: DataFrame) -> DataFrame:
-    """Means per arm; a metric counts where it has a value, and contrast over brightness is the ratio of means."""
-    means = [F.round(F.avg(F.when(~F.isnan(m) & (F.abs(m) < 1e300), F.col(m))), 3).alias(m) for m in METRICS]
-    return metrics.groupBy("arm").agg(F.count(F.lit(1)).alias("frames"), *means)
+    """Means per arm, each over the frames that have a value; contrast over gain is the ratio of their means, not the mean of ratios."""
+    ratio: Column = F.avg("contrast") / F.avg("gain")
+    return metrics.groupBy("arm").agg(F.count(F.lit(1)).alias("frames"), *(F.round(F.avg(m), 3).alias(m) for m in METRICS), F.round(ratio, 3).alias("contrast_over_gain"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +50,27 @@ def local_std(px: DataFrame, half: int, height: int, width: int) -> DataFrame:
     return both.filter(inside).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - F.col("m1") * F.col("m1")))).drop("m1", "m2")
 
 
+def around(px: DataFrame, key: Sequence[str], value: str, name: str) -> DataFrame:
+    """px with {name}_sd, {name}_response and {name}_laplace: the deviation of value in the square of 3 by 3, and what two kernels answer there.
+
+    The response is to [1, -2, 1] along rows and then columns. Borders mirror their inner
+    neighbour. Two window passes, over rows and columns of a frame.
+    """
+    across, down = W.partitionBy(*key, "y").orderBy("x"), W.partitionBy(*key, "x").orderBy("y")
+
+    def sides(c: Column, w: W) -> Column:
+        left, right = F.lag(c).over(w), F.lead(c).over(w)
+        return F.coalesce(left, right) + F.coalesce(right, left)
+
+    v = F.col(value)
+    row = px.withColumns({"__s": sides(v, across), "__q": sides(v * v, across)})
+    row = row.withColumns({"__d": F.col("__s") - 2 * v, "__m": F.col("__s") + v, "__m2": F.col("__q") + v * v})
+    both = row.withColumns({"__mean": (sides(F.col("__m"), down) + F.col("__m")) / 9, "__mean2": (sides(F.col("__m2"), down) + F.col("__m2")) / 9,
+                            f"{name}_response": sides(F.col("__d"), down) - 2 * F.col("__d"), f"{name}_laplace": F.col("__s") + sides(v, down) - 4 * v})
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.col("__mean2") - F.col("__mean") * F.col("__mean")))
+    return both.withColumn(f"{name}_sd", sd).withColumn(f"{name}_mean", F.col("__mean")).drop("__s", "__q", "__d", "__m", "__m2", "__mean", "__mean2")
+
+
 def dark_mask(px: DataFrame, least: int) -> DataFrame:
     """px with dark: between 3 and 80, both included; in a frame with fewer than `least` such pixels, at most the 60th percentile."""
     band = F.col("l").between(DARK_LOW, DARK_HIGH)
@@ -70,10 +93,15 @@ def tone_curve(px: DataFrame, out: Column, bins: int = 52, least_pixels: int = 2
     return per.groupBy("bin").agg(F.count(F.lit(1)).alias("frames"), F.percentile("m", 0.5).alias("level")).filter(F.col("frames") >= least_frames)
 
 
-def gamma_to_mean(luma: Column, target: Column, low: float = 0.05, high: float = 6.0, steps: int = 30) -> Column:
-    """The gamma that gives a plane the mean level `target`, by bisection: the mean falls as gamma rises."""
+def gamma_to_mean(histogram: Column, target: Column, low: float = 0.05, high: float = 6.0, steps: int = 30) -> Column:
+    """The gamma that gives a frame the mean level `target`, by bisection: the mean falls as gamma rises.
+
+    histogram: structs of level l and count n of a frame, 256 at most however large it is.
+    """
+    total = F.aggregate(histogram, F.lit(0.0), lambda s, h: s + h["n"])
+
     def mean(g: Column) -> Column:
-        return F.aggregate(luma, F.lit(0.0), lambda s, v: s + F.pow(v / 255, g) * 255) / F.size(luma)
+        return F.aggregate(histogram, F.lit(0.0), lambda s, h: s + F.pow(h["l"] / 255, g) * 255 * h["n"]) / total
 
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
 

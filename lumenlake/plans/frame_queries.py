@@ -55,7 +55,9 @@ def tone_curve_bins(spark: SparkSession, sf: str) -> DataFrame:
 
 def gamma_match(spark: SparkSession, sf: str) -> DataFrame:
     """The gamma that lifts each plane to the mean level of 120."""
-    return V.planes(spark, sf).select("frame_id", F.round(P.gamma_to_mean(F.col("luma"), F.lit(120.0)), 4).alias("gamma"))
+    levels = V.pixels(spark, sf).groupBy("frame_id", "l").agg(F.count(F.lit(1)).alias("n"))
+    frames = levels.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("l", "n"))).alias("h"))
+    return frames.select("frame_id", F.round(P.gamma_to_mean(F.col("h"), F.lit(120.0)), 4).alias("gamma"))
 
 
 def frame_diff_flicker(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,20 +94,55 @@ def motion_denoise(spark: SparkSession, sf: str) -> DataFrame:
     return T.denoised(V.planes(spark, sf)).select("recording", "frame_id", F.round(mean("luma"), 3).alias("mean_in"), F.round(mean("out"), 3).alias("mean_out"))
 
 
-STILL = tuple(a for a in ARMS.ARMS if not ARMS.is_temporal(a))
-
-
 def arm_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Every still arm over every plane, summed up."""
-    return ARMS.arm_summary(ARMS.apply_arms(V.planes(spark, sf), STILL, SIDE))
+    """Every arm over every plane, summed up."""
+    return ARMS.arm_summary(ARMS.measured(V.pixels(spark, sf), LEAST, SIDE, SIDE))
 
 
 def arm_axes(spark: SparkSession, sf: str) -> DataFrame:
-    """Arms against the untouched input on three axes: lamp core, contrast and noise."""
-    one = ARMS.arm_summary(ARMS.apply_arms(V.planes(spark, sf), STILL, SIDE))
+    """Arms against the untouched input on three axes: lamp core, contrast and noise; and those that hold all three."""
+    one = arm_metrics(spark, sf)
     base = one.filter("arm = 'none'").select(F.col("core_out").alias("b_core"), F.col("contrast").alias("b_contrast"), F.col("noise_out").alias("b_noise"))
     axes = {"core": F.col("core_out") <= F.col("b_core"), "contrast": F.col("contrast") >= F.col("b_contrast"), "noise": F.col("noise_out") <= F.col("b_noise")}
-    return one.crossJoin(F.broadcast(base)).select("arm", *(c.alias(f"{n}_ok") for n, c in axes.items()))
+    judged = one.crossJoin(F.broadcast(base)).select("arm", *(c.alias(f"{n}_ok") for n, c in axes.items()))
+    return judged.withColumn("all_ok", F.col("core_ok") & F.col("contrast_ok") & F.col("noise_ok"))
+
+
+def glare_zone(spark: SparkSession, sf: str) -> DataFrame:
+    """What arms make of levels from 200 up, beside the levels themselves."""
+    bright = ARMS.applied(V.pixels(spark, sf)).filter("l >= 200")
+    return bright.groupBy("arm").agg(F.round(F.avg("l"), 3).alias("level_in"), F.round(F.avg("o"), 3).alias("level_out"), F.count(F.lit(1)).alias("pixels"))
+
+
+def extreme_spots(spark: SparkSession, sf: str) -> DataFrame:
+    """Per frame the brightest spot of the blurred plane and the flattest of its dark pixels, the first in reading order where several tie."""
+    px = P.around(V.pixels(spark, sf), ["frame_id"], "l", "l").withColumns({"m": F.round("l_mean", 6), "sd": F.round("l_sd", 6)})
+    place = F.struct("y", "x")
+    bright = F.max(F.struct("m", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))
+    flat = F.min(F.when(F.col("l") <= P.DARK_HIGH, F.struct("sd", place.alias("at"))))
+    found = px.groupBy("frame_id").agg(bright.alias("b"), flat.alias("f"))
+    return found.select("frame_id", (-F.col("b.y")).alias("bright_y"), (-F.col("b.x")).alias("bright_x"), F.round("b.m", 3).alias("bright"), F.col("f.at.y").alias("flat_y"), F.col("f.at.x").alias("flat_x"), F.round("f.sd", 3).alias("flat_sd"))
+
+
+def most_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    """The three frames with the largest share of saturated pixels."""
+    share = V.pixels(spark, sf).groupBy("frame_id").agg((100 * F.avg((F.col("l") >= P.SATURATED).cast("int"))).alias("share"))
+    return share.orderBy(F.desc("share"), "frame_id").limit(3).select("frame_id", F.round("share", 4).alias("share"))
+
+
+def motion_detail(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean response to a Laplacian on moving pixels, of the input and of a brightened plane, and how much of it stays."""
+    px = _px(spark, sf).withColumn("o", F.floor(255 * F.pow(F.col("l") / 255, F.lit(ARMS.GAMMA))))
+    seen = T.pixel_pairs(P.around(P.around(px, ["recording", "frame_id"], "l", "i"), ["recording", "frame_id"], "o", "o")).filter(F.abs(F.col("l") - F.col("prev")) >= T.MOVING)
+    one = seen.groupBy("recording").agg(F.avg(F.abs("i_laplace")).alias("a"), F.avg(F.abs("o_laplace")).alias("b"))
+    return one.select("recording", F.round("a", 3).alias("detail_in"), F.round("b", 3).alias("detail_out"), F.round(F.try_divide("b", "a"), 3).alias("kept"))
+
+
+def smoothing_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Flicker that is left after smoothing with several cutoffs, a parameter being a column."""
+    f = V.frames(spark, sf)
+    runs = [T.flicker(T.smoothed(f, "mean_luma", T.smoothing(c), block=64), "ema").withColumn("cutoff", F.lit(c)) for c in (0.25, 0.5, 1.0)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).select("recording", "cutoff", F.round("sigma", 3).alias("sigma"))
 
 
 def _timings(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,16 +198,17 @@ def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_event_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The hourly counts again, from a stream with a watermark."""
-    out = ST.to_table(ST.windowed_counts(ST.events(spark, sf)), "complete")
-    last = out.filter(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return last.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", "total")
+    """The hourly counts again, from a stream with a watermark: each window as the last batch that changed it has it."""
+    out = ST.to_table(ST.windowed_counts(ST.events(spark, sf)), "update")
+    last = out.groupBy("w", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("v"))
+    return last.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "v.n", "v.total")
 
 
 def stream_ema_state(spark: SparkSession, sf: str) -> DataFrame:
     """The smoothed luma that a stream's state holds at its end."""
     out = ST.to_table(ST.smoothed(ST.events(spark, sf), T.smoothing()), "update")
-    return out.groupBy("recording").agg(F.max("frames").alias("frames"), F.round(F.max_by("ema", "frames"), 3).alias("ema"))
+    last = out.groupBy("recording").agg(F.max_by(F.struct("frames", "ema"), "batch").alias("v"))
+    return last.select("recording", "v.frames", F.round("v.ema", 3).alias("ema"))
 
 
 def stream_held_detection(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +218,7 @@ def stream_held_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     pixel_histogram, agcwd_curve, local_std_interior, dark_mask_stats, glare_core, saturation_rates, tone_curve_bins, gamma_match, frame_diff_flicker, hold_last_detection, detect_stride,
-    flicker_amplification, static_mask_sigma, iir_smoothing, motion_denoise, arm_metrics, arm_axes, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
+    flicker_amplification, static_mask_sigma, iir_smoothing, motion_denoise, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
 
 X = f"with {V.PIXELS}"
 FR = f"with {V.FRAMES}"
@@ -222,7 +260,50 @@ ORACLES = {
     "event_tumbling": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "event_sessions": "with d as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from d) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k",
 }
+SIDES = "coalesce(lag({v}) over {w}, lead({v}) over {w}) + coalesce(lead({v}) over {w}, lag({v}) over {w})"
+#: Adaptive gamma and one gamma, as rows of (frame_id, y, x, l, arm, o); and neighbourhoods of 3 by 3 with mirrored borders.
+APPLIED = f"""{X}, hc as (select frame_id, l, count(*) as n from v_pixels group by 1, 2),
+    hp as (select *, n / sum(n) over (partition by frame_id) as p, count(*) over (partition by frame_id) as k from hc),
+    hs as (select *, max(p) over (partition by frame_id) as hi, case when k = 256 then min(p) over (partition by frame_id) else 0 end as lo from hp),
+    hw as (select *, case when hi - lo < 1e-8 then 1.0 else hi * pow((p - lo) / nullif(hi - lo, 0), 0.5) end as w from hs),
+    hd as (select *, sum(w) over (partition by frame_id order by l rows unbounded preceding) / sum(w) over (partition by frame_id) as cdf from hw),
+    cv as (select frame_id, l, case when hi - lo < 1e-8 then l else floor(round(255 * pow(l / 255, 1 - cdf), 6)) end as curve from hd),
+    ap as (select frame_id, y, x, l, 'none' as arm, l as o from v_pixels union all select frame_id, y, x, l, 'A2', curve from v_pixels join cv using (frame_id, l) union all select frame_id, y, x, l, 'gamma', floor(255 * pow(l / 255, 0.45)) from v_pixels)"""
+
+
+def _near_sql(source: str, key: str, value: str, name: str) -> str:
+    """The rows of source with what P.around() adds, as two more table expressions."""
+    across, down = f"(partition by {key}, y order by x)", f"(partition by {key}, x order by y)"
+    side = lambda v, w: SIDES.format(v=v, w=w)
+    return f"""{source}_{name}1 as (select *, {side(value, across)} as {name}_s, {side(f'{value} * {value}', across)} as {name}_q from {source}),
+    {source}_{name}2 as (select *, {side(f'({name}_s + {value})', down)} + {name}_s + {value} as {name}_m, {side(f'({name}_q + {value} * {value})', down)} + {name}_q + {value} * {value} as {name}_m2,
+        {side(f'({name}_s - 2 * {value})', down)} - 2 * ({name}_s - 2 * {value}) as {name}_response, {name}_s + {side(value, down)} - 4 * {value} as {name}_laplace from {source}_{name}1),
+    {source}_{name} as (select *, {name}_m / 9 as {name}_mean, sqrt(greatest(0, {name}_m2 / 9 - {name}_m / 9 * ({name}_m / 9))) as {name}_sd from {source}_{name}2)"""
+
+
+SUMMED = f"""{APPLIED}, {_near_sql('ap', 'frame_id, arm', 'l', 'i')}, {_near_sql('ap_i', 'frame_id, arm', 'o', 'o')},
+    ms as (select frame_id, count(*) filter (l between 3 and 80) as n, quantile_cont(l, 0.6) as p60 from v_pixels group by 1),
+    md as (select a.*, case when n >= 16 then l between 3 and 80 else l <= p60 end as dark from ap_i_o a join ms using (frame_id)),
+    one as (select frame_id, arm, avg(l) as mean_in, avg(o) as mean_out, 100 * avg((o >= 250)::int) as saturated, case when count(*) filter (l >= 235) >= 3 then quantile_cont(l, 0.5) filter (l >= 235) end as core_in,
+        case when count(*) filter (l >= 235) >= 3 then quantile_cont(o, 0.5) filter (l >= 235) end as core_out, avg(i_sd) filter (dark) as local_in, avg(o_sd) filter (dark) as local_out,
+        sum(abs(i_response)) * sqrt(pi() / 2) / 216 as noise_in, sum(abs(o_response)) * sqrt(pi() / 2) / 216 as noise_out, avg((l - o) * (l - o)) as error from md group by 1, 2),
+    two as (select *, (mean_out + 1e-6) / (mean_in + 1e-6) as gain, local_out / (local_in + 1e-6) as contrast, (noise_out + 1e-6) / (noise_in + 1e-6) / ((mean_out + 1e-6) / (mean_in + 1e-6)) as amplified,
+        case when error > 0 then 10 * log10(65025 / error) end as psnr from one),
+    summed as (select arm, count(*) as frames, {', '.join(f'round(avg({m}), 3) as {m}' for m in ARMS.METRICS)}, round(avg(contrast) / avg(gain), 3) as contrast_over_gain from two group by 1)"""
 ORACLES |= {
+    "arm_metrics": f"{SUMMED} select * from summed",
+    "arm_axes": f"{SUMMED} select s.arm, s.core_out <= b.core_out as core_ok, s.contrast >= b.contrast as contrast_ok, s.noise_out <= b.noise_out as noise_ok, s.core_out <= b.core_out and s.contrast >= b.contrast and s.noise_out <= b.noise_out as all_ok from summed s, (select * from summed where arm = 'none') b",
+    "glare_zone": f"{APPLIED} select arm, round(avg(l), 3) as level_in, round(avg(o), 3) as level_out, count(*) as pixels from ap where l >= 200 group by 1",
+    "extreme_spots": f"""{X}, {_near_sql('v_pixels', 'frame_id', 'l', 'i')}, r as (select *, round(i_mean, 6) as m, round(i_sd, 6) as sd from v_pixels_i),
+        b as (select frame_id, y as bright_y, x as bright_x, round(m, 3) as bright from r qualify row_number() over (partition by frame_id order by m desc, y, x) = 1),
+        f as (select frame_id, y as flat_y, x as flat_x, round(sd, 3) as flat_sd from r where l <= 80 qualify row_number() over (partition by frame_id order by sd, y, x) = 1) select * from b left join f using (frame_id)""",
+    "most_saturated": f"{X} select frame_id, round(100 * avg((l >= 250)::int), 4) as share from v_pixels group by 1 order by avg((l >= 250)::int) desc, frame_id limit 3",
+    "motion_detail": f"""{X}, g as (select *, floor(255 * pow(l / 255, 0.45)) as o from v_pixels), {_near_sql('g', 'recording, frame_id', 'l', 'i')}, {_near_sql('g_i', 'recording, frame_id', 'o', 'o')},
+        q as (select *, lag(l) over (partition by recording, y, x order by frame_id) as prev from g_i_o)
+        select recording, round(avg(abs(i_laplace)), 3) as detail_in, round(avg(abs(o_laplace)), 3) as detail_out, round(avg(abs(o_laplace)) / nullif(avg(abs(i_laplace)), 0), 3) as kept from q where abs(l - prev) >= 20 group by 1""",
+    "smoothing_sweep": f"""with recursive {V.FRAMES}, c as (select unnest([0.25::double, 0.5, 1.0]) as cutoff), a as (select cutoff, 1 - exp(-2 * pi() * cutoff / 16) as a from c),
+        r as (select recording, seq, cutoff, mean_luma as ema from v_frames, c where seq = 1 union all select f.recording, f.seq, r.cutoff, a.a * f.mean_luma + (1 - a.a) * r.ema from r join v_frames f on f.recording = r.recording and f.seq = r.seq + 1 join a on a.cutoff = r.cutoff),
+        d as (select recording, cutoff, ema - lag(ema) over (partition by recording, cutoff order by seq) as d from r) select recording, cutoff, round(stddev_pop(d), 3) as sigma from d group by 1, 2""",
     "stream_event_counts": ORACLES["event_tumbling"],
     "stream_ema_state": ORACLES["iir_smoothing"].replace("select recording, frame_id, round(ema, 3) as ema from r", "select recording, max(seq) as frames, round(arg_max(ema, seq), 3) as ema from r group by 1"),
     "stream_held_detection": f"{FR} select recording, arg_max(detection, seq) filter (detection is not null) as held from v_frames group by 1",

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,8 +13,9 @@ COCO = """images array<struct<id:bigint,file_name:string,width:int,height:int,re
     annotations array<struct<image_id:bigint,category_id:int,bbox:array<double>,ignore:string>>"""
 _SHAPE = "struct<_label:string,_points:string,_xtl:double,_ytl:double,_xbr:double,_ybr:double,attribute:array<string>>"
 CVAT = f"_name string, _width int, _height int, box array<{_SHAPE}>, polygon array<{_SHAPE}>, polyline array<{_SHAPE}>"
-#: Labels that tell what an XML file annotates; those of surfaces win.
-SURFACE_MARKERS, BOX_MARKERS = ("sidewalk", "roadway", "alley", "braille_guide_blocks", "caution_zone"), ("person", "bollard", "car", "pole", "tree_trunk")
+# Labels that tell what an XML file annotates, boxes or surfaces; those of surfaces win.
+BOX_MARKERS = ("bollard", "tree_trunk", "traffic_sign", "pole", "car")
+SURFACE_MARKERS = ("sidewalk", "roadway", "caution_zone", "braille_guide_blocks", "bike_lane", "alley")
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
@@ -59,19 +57,22 @@ def _cvat(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cvat_boxes(spark: SparkSession, path: str, mapping: Mapping[str, int], min_width: float = 0) -> tuple[DataFrame, DataFrame]:
-    """(boxes, counts of dropped labels) of CVAT XML. An image without a kept box has one row whose cls is null.
+    """(boxes, counts of dropped ones) of CVAT XML. An image without a kept box has one row whose cls is null.
 
     Corners are clamped to the frame, empty boxes and those narrower than min_width pixels go.
+    Counts are by label: dropped for want of a class, small for their size. Images are told
+    apart by file and name.
     """
     table = F.create_map(*(F.lit(v) for kv in mapping.items() for v in kv))
-    raw = _cvat(spark, path).select(F.col("_name").alias("name"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode_outer("box").alias("b"))
-    b = raw.select("name", "width", "height", F.col("b._label").alias("label"), F.element_at(table, F.col("b._label")).alias("cls"), *(F.col(f"b._{c}").alias(c) for c in ("xtl", "ytl", "xbr", "ybr")))
+    raw = _cvat(spark, path).select(F.col("_metadata.file_path").alias("file"), F.col("_name").alias("name"), F.col("_width").alias("width"), F.col("_height").alias("height"), F.explode_outer("box").alias("b"))
+    b = raw.select("file", "name", "width", "height", F.col("b._label").alias("label"), F.element_at(table, F.col("b._label")).alias("cls"), *(F.col(f"b._{c}").alias(c) for c in ("xtl", "ytl", "xbr", "ybr")))
     inside = lambda c, top: F.greatest(F.lit(0.0), F.least(F.col(c), F.col(top)))
     c = b.withColumns({"x1": inside("xtl", "width"), "y1": inside("ytl", "height"), "x2": inside("xbr", "width"), "y2": inside("ybr", "height")}).drop("xtl", "ytl", "xbr", "ybr")
     ok = F.col("cls").isNotNull() & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & (F.col("x2") - F.col("x1") >= min_width)
     kept = c.filter(ok)
-    images = c.select("name", "width", "height").distinct()
-    return images.join(kept.drop("width", "height"), "name", "left"), c.filter("label is not null and cls is null").groupBy("label").agg(F.count(F.lit(1)).alias("dropped"))
+    images = c.select("file", "name", "width", "height").distinct()
+    counts = c.filter(F.col("label").isNotNull() & ~F.coalesce(ok, F.lit(False))).groupBy("label").agg(F.count_if(F.col("cls").isNull()).alias("dropped"), F.count_if(F.col("cls").isNotNull()).alias("small"))
+    return images.join(kept.drop("width", "height"), ["file", "name"], "left"), counts
 
 
 def surface_boxes(spark: SparkSession, path: str, wanted: str = "stair") -> DataFrame:
@@ -129,14 +130,3 @@ def sequence(images: DataFrame, recording: str, start: int, n: int) -> DataFrame
 def pairs(low: DataFrame, high: DataFrame, n: int) -> DataFrame:
     """The first n file names that both sides have with equal width and height."""
     return low.join(high.withColumnsRenamed({"path": "high_path"}), ["name", "width", "height"]).orderBy("name").limit(n)
-
-
-def zip_members(spark: SparkSession, path: str, wanted: Sequence[str] = (), prefix: str = "") -> DataFrame:
-    """archive, name, size of zip members that aren't folders, of the wanted names behind prefix if any are given."""
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p, i.filename, i.file_size) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in zipfile.ZipFile(io.BytesIO(c)).infolist() if not i.is_dir()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["archive", "name", "size"])
-
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(listed, "archive string, name string, size long")
-    return out.filter(F.col("name").isin(*(prefix + w for w in wanted))) if wanted else out

@@ -1,9 +1,7 @@
-"""Writers: boxes as partitioned tables, label texts, dataset descriptions, nested statistics."""
+"""Writers: boxes as partitioned tables, label texts, nested statistics."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +18,8 @@ def write_boxes(boxes: DataFrame, path: str) -> None:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    """Label texts as text files, a folder for each split and image."""
-    labels.select("split", "image", F.col("text").alias("value")).write.partitionBy("split", "image").text(path)
+    """Label texts as JSON lines of image and text, a folder for each split: as many files as tasks, not as images."""
+    labels.select("split", "image", "text").write.partitionBy("split").json(path)
 
 
 def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -29,19 +27,6 @@ def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key), key, "left_anti")
 
 
-def dataset_yaml(path: str, names: Mapping[int, str], note: str = "", splits: Mapping[str, str] | None = None) -> str:
-    """The description that trainers read: where the splits lie, and the class names by id."""
-    where = splits or {"train": "images/train", "val": "images/val"}
-    head = [f"# {line}" for line in note.splitlines()]
-    return "\n".join([*head, f"path: {path}", *(f"{k}: {v}" for k, v in where.items()), "names:", *(f"  {i}: {names[i]}" for i in sorted(names))]) + "\n"
-
-
-def portable_yaml(text: str) -> str:
-    """The description without its path line, to be read from where it lies."""
-    kept = [line for line in text.splitlines() if not line.startswith("path:")]
-    return "\n".join(["# paths are relative to this file", *kept]) + "\n"
-
-
 def nested_stats(counts: DataFrame, group: str, *metrics: str) -> DataFrame:
     """One JSON document of a group's metrics each: group, stats."""
     return counts.groupBy(group).agg(F.to_json(F.first(F.struct(*metrics))).alias("stats"))
