@@ -91,3 +91,9 @@ def crop_window(cy: Column, cx: Column, size: int, height: Column, width: Column
     """Top and left of a window of size around a centre, moved to stay inside the frame."""
     inside = lambda c, top: F.greatest(F.lit(0), F.least(c - size // 2, top - size))
     return inside(cy, height), inside(cx, width)
+
+
+def fitted(width: Column, height: Column, most: int) -> tuple[Column, Column]:
+    """Width and height scaled down to at most `most` pixels of width; smaller sizes stay, and heights are cut, not rounded."""
+    scale = F.lit(float(most)) / width
+    return F.when(width > most, F.lit(most)).otherwise(F.floor(width)), F.when(width > most, F.floor(height * scale)).otherwise(F.floor(height))

@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Numbers of an ordering column that go into one bucket.
+SPAN = 1 << 18
+
+
 def name_number(stem: Column) -> tuple[Column, Column]:
     """Prefix and trailing number of a stem; without digits the whole stem and -1."""
     digits = F.regexp_extract(stem, r"(\d+)$", 1)
@@ -27,28 +31,45 @@ def blocks(numbered: DataFrame, key: Sequence[str], number: str, gap: int = 30)
     return running.groupBy(*key, "block").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None = None) -> DataFrame:
+    """df with __rank, the place of a row among those of its key from 0 in order, and __n, how many these are.
+
+    A key may hold most of a table: its rows are numbered inside buckets, and each bucket
+    starts behind those before it, of which there is a count each. bucket has to grow with
+    the order; by default the first column of order is a number and SPAN of them go together.
+    """
+    cut = F.floor(F.col(order[0]) / SPAN) if bucket is None else bucket
+    dealt = df.withColumn("__bucket", cut)
+    counts = dealt.groupBy(*key, "__bucket").agg(F.count(F.lit(1)).alias("__own"))
+    of = W.partitionBy(*key)
+    before = of.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    start, n = F.coalesce(F.sum("__own").over(before), F.lit(0)), F.sum("__own").over(of)
+    names = [f"__of{i}" for i in range(len(key) + 1)]
+    starts = counts.select(*(F.col(c).alias(m) for c, m in zip((*key, "__bucket"), names)), start.alias("__start"), n.alias("__n"))
+    same = [F.col(c).eqNullSafe(F.col(m)) for c, m in zip((*key, "__bucket"), names)]
+    joined = dealt.join(starts, same).drop(*names)
+    inside = F.row_number().over(W.partitionBy(*key, "__bucket").orderBy(*order)) - 1
+    return joined.withColumn("__rank", F.col("__start") + inside).drop("__bucket", "__start")
+
+
 def tail_split(df: DataFrame, key: Sequence[str], order: Sequence[str], ratio: float) -> DataFrame:
     """df with split: of each key, in order, the last int(n * ratio) rows are val, the others train."""
-    w = W.partitionBy(*key)
-    rank, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    return df.withColumn("split", F.when(rank > n - F.floor(n * ratio), "val").otherwise("train"))
+    val = F.col("__rank") >= F.col("__n") - F.floor(F.col("__n") * ratio)
+    return numbered(df, key, order).withColumn("split", F.when(val, "val").otherwise("train")).drop("__rank", "__n")
 
 
 def thinned(df: DataFrame, key: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """At most `most` rows of each key, evenly spread: rows floor(i * n / most) in order; all where there are no more."""
-    w = W.partitionBy(*key)
-    ranked = df.withColumn("__rank", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
     # row r is taken when some i has floor(i * n / most) = r, that is when the next multiple lies below r + 1
     i = F.ceil(F.col("__rank") * most / F.col("__n"))
     hit = (i < most) & (F.floor(i * F.col("__n") / most) == F.col("__rank"))
-    return ranked.filter((F.col("__n") <= most) | hit).drop("__rank", "__n")
+    return numbered(df, key, order).filter((F.col("__n") <= most) | hit).drop("__rank", "__n")
 
 
 def strided(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Every max(1, size // n)-th row of each key in order, n at most."""
-    w = W.partitionBy(*key)
-    ranked = df.withColumn("__rank", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__step", F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / n)))
-    return ranked.filter((F.col("__rank") % F.col("__step") == 0) & (F.col("__rank") / F.col("__step") < n)).drop("__rank", "__step")
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / n))
+    return numbered(df, key, order).filter((F.col("__rank") % step == 0) & (F.col("__rank") / step < n)).drop("__rank", "__n")
 
 
 def draw(seed: int | str, *keys: str) -> Column:
@@ -56,18 +77,30 @@ def draw(seed: int | str, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
+def _drawn_bucket(of: Column) -> Column:
+    """The first three digits of a draw: 4,096 buckets in its order."""
+    return F.conv(F.substring(of, 1, 3), 16, 10).cast("int")
+
+
 def pool_quota(df: DataFrame, pool: str, key: str, predicate: Column, total: int, pools: int, scan: int = 600, seed: int = 0) -> DataFrame:
     """max(1, total // pools) rows of each pool: in drawn order, among the first `scan`, those with predicate."""
-    w = W.partitionBy(pool).orderBy(draw(seed, pool, key))
-    scanned = df.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= scan).filter(predicate)
-    return scanned.withColumn("pick", F.row_number().over(W.partitionBy(pool).orderBy("__rank"))).filter(F.col("pick") <= max(1, total // pools)).drop("__rank")
+    drawn = df.withColumn("__draw", draw(seed, pool, key))
+    scanned = numbered(drawn, [pool], ["__draw"], _drawn_bucket(F.col("__draw"))).filter(F.col("__rank") < scan).filter(predicate)
+    return scanned.withColumn("pick", F.row_number().over(W.partitionBy(pool).orderBy("__rank"))).filter(F.col("pick") <= max(1, total // pools)).drop("__rank", "__n", "__draw")
 
 
 def positives_with_background(df: DataFrame, split: str, key: str, positive: Column, n: int, share: float = 0.1, seed: int = 0) -> DataFrame:
-    """Of each split, in drawn order, n positives and int(share * positives) of the negatives met before the last of them."""
-    w = W.partitionBy(split).orderBy(draw(seed, split, key))
-    seen = df.withColumn("positive", positive).withColumn("__seen", F.sum(F.col("positive").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    before = seen.filter(((F.col("__seen") <= n) & F.col("positive")) | (~F.col("positive") & (F.col("__seen") < n)))
-    ranked = before.withColumn("__nth", F.row_number().over(W.partitionBy(split, "positive").orderBy(draw(seed, split, key))))
-    total = F.sum(F.col("positive").cast("int")).over(W.partitionBy(split))
-    return ranked.withColumn("__total", total).filter(F.col("positive") | (F.col("__nth") <= F.floor(F.col("__total") * share))).drop("__seen", "__nth", "__total")
+    """Of each split, in drawn order, n positives and int(share * positives) of the negatives met before the last of them.
+
+    Positives and negatives are numbered apart, each in buckets of the draw; the n-th
+    positive's draw tells which negatives lie before it.
+    """
+    drawn = df.withColumns({"positive": positive, "__draw": draw(seed, split, key)})
+    ranked = numbered(drawn, [split, "positive"], ["__draw"], _drawn_bucket(F.col("__draw")))
+    picked = ranked.filter(F.col("positive") & (F.col("__rank") < n))
+    totals = drawn.groupBy(F.col(split).alias("__split")).agg(F.count_if("positive").alias("__total"))
+    last = picked.groupBy(F.col(split).alias("__of")).agg(F.max(F.when(F.col("__rank") == n - 1, F.col("__draw"))).alias("__last"))
+    ends = totals.join(last, F.col("__split") == F.col("__of"), "left").select("__split", F.floor(F.least(F.col("__total"), F.lit(n)) * share).alias("__most"), "__last")
+    before = ranked.filter(~F.col("positive")).join(F.broadcast(ends), F.col(split) == F.col("__split"))
+    negatives = before.filter((F.col("__rank") < F.col("__most")) & (F.col("__last").isNull() | (F.col("__draw") < F.col("__last"))))
+    return picked.unionByName(negatives.select(picked.columns)).drop("__rank", "__n", "__draw")

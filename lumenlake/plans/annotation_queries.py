@@ -87,10 +87,15 @@ def dedupe_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return raw.join(A.deduped(norm).groupBy("image_id").agg(F.count(F.lit(1)).alias("unique")), "image_id")
 
 
+def _available(spark: SparkSession, sf: str) -> DataFrame:
+    """Images whose order isn't pending."""
+    return _images(spark, sf).join(V.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("image_id")), "image_id", "left_semi")
+
+
 def recording_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     A.guard_recordings(("36", "37", "none"))
     flags = A.frame_flags(V.boxes(spark, sf))
-    picked = A.select_frames(flags, available=_images(spark, sf).filter("image_id % 4 <> 0"), recordings=("36", "37", "none"))
+    picked = A.select_frames(flags, available=_available(spark, sf), recordings=("36", "37", "none"))
     return picked.groupBy("recording").agg(F.count(F.lit(1)).alias("frames"), F.min("image_id").alias("first"), F.max("image_id").alias("last"))
 
 
@@ -314,7 +319,7 @@ ORACLES = {
             count(*) filter (side <> 'both') = 0 and count(*) filter (side = 'both') > 0 as ok from r group by 1""",
     "label_image_left_join": f"{NORM}, {IMAGES}, k as (select image_id, count(*) as boxes from n group by 1) select i.image_id, coalesce(boxes, 0) as boxes from i left join k using (image_id)",
     "dedupe_boxes": f"{CL}, m as (select image_id, {fx('(x1 + x2) / 2 / width', 1e3)} as cx, {fx('(y1 + y2) / 2 / height', 1e3)} as cy, {fx('w / width', 1e3)} as w, {fx('h / height', 1e3)} as h from c) select image_id, count(*) as raw, count(distinct (cx, cy, w, h)) as unique from m group by 1",
-    "recording_semi_join": f"{B} select recording, count(*) as frames, min(image_id) as first, max(image_id) as last from v_kinds where recording in ('36', '37', 'none') and image_id in (select o_orderkey from orders where o_orderkey % 4 <> 0) group by 1",
+    "recording_semi_join": f"{B} select recording, count(*) as frames, min(image_id) as first, max(image_id) as last from v_kinds where recording in ('36', '37', 'none') and image_id in (select o_orderkey from orders where o_orderstatus <> 'P') group by 1",
     "source_union_summary": f"{SRC} select split, source, count(distinct image_id) as images, count(*) filter (cls = 0) as persons, count(*) filter (cls = 2) as others, round(count(*) filter (cls = 0) / nullif(count(*) filter (cls = 2), 0), 5) as ratio from s group by 1, 2",
     "source_rollup": f"{SRC} select split, source, cls, count(*) as boxes, grouping_id(split, source, cls) as level from s group by rollup (split, source, cls)",
     "filename_blocks": f"with {EV}, {BL} select recording, first, last, n from g",
