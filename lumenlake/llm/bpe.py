@@ -19,17 +19,32 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A rank file may be so large, as it is broadcast to every executor.
 MAX_RANKS_BYTES = 64 << 20
-#: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds.
-BYTES, WORK = 1 << 20, 1 << 27
-#: Pieces that a worker keeps, of so many bytes at most, which only saves work; characters and tokens handled together.
-KEPT, KEPT_BYTES, CHARS, SEGMENT, TOKENS = 500_000, 64, 8_000_000, 1 << 16, 500_000
+#: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds; bytes from which a piece's rounds give changed tokens alone.
+BYTES, WORK, LONG = 1 << 19, 1 << 24, 64
+#: Pieces that a worker keeps, of so many characters at most, which only saves work; characters and tokens handled together.
+KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 700_000, 64, 8_000_000, 1 << 16, 500_000
 
-#: Token-position rows (w, p, q, tok, id): a token of word w from byte p to q, or none where tok is -1, and the rank at
-#: which it merges with the next one, if it does. A round looks at the words that the last one changed and contracts
-#: each word's leftmost pair of least rank, and further such pairs at a distance, but where the new token could merge
-#: at a lesser rank yet. In a run of pairs that overlap, every fourth is at a distance and in step with the leftmost.
-#: It gives the rows that this changes alone: the new token, the one before it and the one that is gone.
-CONTRACT = """
+#: Token-position rows (w, p, q, tok): a token of word w from byte p to q. Each round joins neighbours
+#: with the merge table and contracts each word's leftmost pair of least rank; words without a pair stop.
+CONTRACT = f"""
+with recursive s(w, p, q, tok, it) as (
+    select w, p, p + 1, tok, 0 from start
+    union all (
+        with pairs as (
+            select x.w, x.p, y.q, g.id from s x join s y on y.w = x.w and y.p = x.q join merges g on g.l = x.tok and g.r = y.tok),
+        best as (
+            select w, arg_min(p, id::bigint * {1 << 20} + p) as p, arg_min(q, id::bigint * {1 << 20} + p) as q, min(id) as id from pairs group by w)
+        select s.w, s.p, case when s.p = b.p then b.q else s.q end, case when s.p = b.p then b.id else s.tok end, s.it + 1
+        from s join best b on s.w = b.w where s.p <= b.p or s.p >= b.q))
+select s.w, list(s.tok order by s.p) as toks from s join (select w, max(it) as it from s group by w) using (w, it) group by s.w
+"""
+
+#: The same recursion for long pieces, whose rounds are many: rows (w, p, q, tok, id), with the rank at which a token
+#: merges with the next one, if it does, and none where tok is -1. A round looks at the words that the last one changed
+#: and contracts each word's leftmost pair of least rank, and further such pairs at a distance, but where the new token
+#: could merge at a lesser rank yet. In a run of pairs that overlap, every fourth is at a distance and in step with the
+#: leftmost. It gives the rows that this changes alone: the new token, the one before it and the one that is gone.
+CONTRACT_LONG = """
 with recursive s(w, p, q, tok, id, alone) using key (w, p) as (
     select x.w, x.p, x.p + 1, x.tok, g.id, g.alone from start x left join start y on y.w = x.w and y.p = x.p + 1 left join merges g on g.l = x.tok and g.r = y.tok
     union (
@@ -88,7 +103,7 @@ class Coder:
         begin = np.repeat(np.cumsum(length) - length, length)
         start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), length), "p": (np.arange(len(tok)) - begin).astype(np.int32), "tok": tok})
         self.db.register("start", start)
-        out = self.db.sql(CONTRACT).to_arrow_table()
+        out = self.db.sql(CONTRACT if length.max() < LONG else CONTRACT_LONG).to_arrow_table()
         self.db.unregister("start")
         lists = out["toks"].combine_chunks()
         flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(lists.value_lengths().to_numpy()).tolist()
@@ -127,31 +142,31 @@ class Coder:
         return out
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The ids of pieces: their parts go through queries of bounded size, with others about as long."""
-        out: dict[str, bytes] = {}
-        rest: dict[str, bytes] = {}
-        for piece in pieces:
-            raw = piece.encode()
-            whole = self.vocab.get(raw)
-            if whole is not None:
-                out[piece] = whole.to_bytes(4, "little")
+        """The ids of pieces, in queries of bounded size with others about as long; long ones in parts that no token joins."""
+        raws = {piece: piece.encode() for piece in pieces}
+        long = {piece: raw for piece, raw in raws.items() if len(raw) >= LONG // 2 and raw not in self.vocab}
+        parts = dict(zip(long, self._apart([*long.values()]))) if long else {}
+        ids: dict[bytes, bytes] = {}
+        todo: list[bytes] = []
+        whole = self.vocab.get
+        for raw in {*raws.values()}.difference(long.values()).union(*parts.values()):
+            rank = whole(raw)
+            if rank is None:
+                todo.append(raw)
             else:
-                rest[piece] = raw
-        if not rest:
-            return out
-        apart = self._apart([*rest.values()])
-        ids = {part: None if (whole := self.vocab.get(part)) is None else whole.to_bytes(4, "little") for part in set().union(*apart)}
-        todo = sorted((p for p, known in ids.items() if known is None), key=len)
+                ids[raw] = rank.to_bytes(4, "little")
+        todo.sort(key=len)
+        length = [len(raw) for raw in todo]
         at = 0
         while at < len(todo):
             end, size = at, 0
-            while end < len(todo) and (end == at or size + len(todo[end]) <= min(BYTES, WORK // len(todo[end]))):
-                size += len(todo[end])
+            while end < len(todo) and (end == at or size + length[end] <= min(BYTES, WORK // length[end]) and (length[at] < LONG) == (length[end] < LONG)):
+                size += length[end]
                 end += 1
             ids.update(zip(todo[at:end], self._contract(todo[at:end])))
             at = end
-        out.update((piece, b"".join(map(ids.__getitem__, parts))) for piece, parts in zip(rest, apart))
-        return out
+        joined = {piece: b"".join(map(ids.__getitem__, those)) for piece, those in parts.items()}
+        return {piece: ids[raw] for piece, raw in raws.items() if piece not in joined} | joined
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -165,13 +180,15 @@ class Coder:
         cut = [None if self.entangled(t) else t.split(" ") for t in texts]
         split = {u: self._split(u) for u in set().union(*(u[1:] for u in cut if u))}
         loose = [self.find(t if u is None else u[0]) for t, u in zip(texts, cut)]
-        wanted = set().union(*split.values(), *loose)
-        known = {p: self.pieces[p] for p in wanted if p in self.pieces}
-        learnt = self._learn(wanted.difference(known))
-        self.pieces.update((p, ids) for p, ids in learnt.items() if len(p) <= KEPT_BYTES)
-        of = (known | learnt).__getitem__
+        learnt = self._learn(set().union(*split.values(), *loose).difference(self.pieces))
+        self.pieces.update(learnt)
+        of = self.pieces.__getitem__
         unit = {u: b"".join(map(of, parts)) for u, parts in split.items()}.__getitem__
-        return [b"".join(map(of, first)) + (b"".join(map(unit, u[1:])) if u else b"") for first, u in zip(loose, cut)]
+        out = [b"".join(map(of, first)) + (b"".join(map(unit, u[1:])) if u else b"") for first, u in zip(loose, cut)]
+        for piece in learnt:
+            if len(piece) > KEPT_CHARS:
+                del self.pieces[piece]
+        return out
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes that each run of ids stands for: positions join the vocabulary and are put together in order."""
