@@ -68,9 +68,13 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _dealt_into(block: int, elements: int) -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / elements)).cast("long").alias("blocks")
+
+
 def _blocks(members: DataFrame, block: int, elements: int) -> DataFrame:
     """members (family, node, n, ...) with blocks, how many their family is dealt into, and own, the block of the row."""
-    sizes = members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / elements)).cast("long").alias("blocks"))
+    sizes = members.groupBy("family").agg(_dealt_into(block, elements))
     return members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
 
 
@@ -85,8 +89,9 @@ def _starred(members: DataFrame, sets: DataFrame, block: int, elements: int) ->
     takes them one after another, so it holds a pivot and a batch however large families are.
     """
     draw = F.struct(F.xxhash64("node", F.lit(5)).alias("draw"), F.col("node"), F.col("n"))
-    pivots = members.groupBy("family").agg(F.min(draw).alias("p"), F.count(F.lit(1)).alias("__size")).filter("__size > 1")
-    dealt = _blocks(members.join(pivots.select("family", F.col("p.node").alias("pivot"), F.col("p.n").alias("m")), "family"), block, elements)
+    # a table, so that the join with it can be split where a family is large
+    pivots = cut(members.groupBy("family").agg(F.min(draw).alias("p"), F.count(F.lit(1)).alias("size"), _dealt_into(block, elements)).filter("size > 1").select("family", F.col("p.node").alias("pivot"), F.col("p.n").alias("m"), "blocks"))
+    dealt = members.join(pivots, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     heads = dealt.filter("node = pivot").withColumn("own", _upto("blocks"))
     rows = dealt.withColumn("head", F.lit(False)).unionByName(heads.withColumn("head", F.lit(True)))
     rows = rows.join(sets.select("node", "held"), "node").withColumn("group", F.concat_ws("|", F.hex("family"), "own"))

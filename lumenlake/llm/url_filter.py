@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Days in a time bucket; an interval is posted under each bucket that it touches.
 BUCKET_DAYS = 32
+#: Captures of a host and bucket that one task joins; larger ones, at most one for as many captures, are broadcast.
+SPLIT = 100_000
 
 
 def host(url: Column) -> Column:
@@ -54,14 +56,18 @@ def filter_captures(captures: DataFrame, entries: DataFrame, bucket_days: int =
     caps = captures.select("id", "url", F.col("fetched").cast("timestamp").alias("fetched"))
     first, last = caps.agg(F.min(bucket(F.col("fetched"))), F.max(bucket(F.col("fetched")))).first()
     keyed = caps.withColumn("__host", host(F.col("url"))).withColumn("__bucket", bucket(F.col("fetched")))
-    # distinct (host, bucket) pairs are looked up in the list, not each capture's every suffix
-    asked = keyed.filter("__host is not null and __bucket is not null").select("__host", "__bucket").distinct()
-    asked = asked.withColumn("pattern", F.explode(host_suffixes(F.col("__host"))))
+    # (host, bucket) pairs are looked up in the list, not each capture's every suffix; those with very many captures are dealt over tasks
+    pairs = keyed.filter("__host is not null and __bucket is not null").groupBy("__host", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.greatest(F.ceil(F.col("__n") / SPLIT), F.lit(1)).cast("long")
+    large = pairs.filter(F.col("__n") > SPLIT).select("__host", "__bucket", parts.alias("__parts"))
+    keyed = keyed.join(F.broadcast(large), ["__host", "__bucket"], "left").withColumn("__part", F.pmod(F.xxhash64("id", "url", "fetched"), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+    asked = pairs.withColumn("pattern", F.explode(host_suffixes(F.col("__host"))))
     since = F.greatest(bucket(F.col("since")), F.lit(first).cast("long"))
     until = F.least(F.coalesce(bucket(F.col("until")), F.lit(last)), F.lit(last)).cast("long")
     listed = intervals(entries).withColumn("__bucket", F.explode(F.when(since <= until, F.sequence(since, until))))
-    active = asked.join(listed, ["pattern", "__bucket"]).groupBy("__host", "__bucket").agg(
+    active = asked.join(listed, ["pattern", "__bucket"]).groupBy("__host", "__bucket", "__n").agg(
         F.sort_array(F.collect_list(F.struct((-F.size(F.split("pattern", r"\."))).alias("__labels"), "pattern", "category", "since", "until"))).alias("__active"))
     holds = F.filter("__active", lambda e: (e["since"] <= F.col("fetched")) & (e["until"].isNull() | (F.col("fetched") < e["until"])))
-    judged = keyed.join(active, ["__host", "__bucket"], "left").withColumn("__hit", F.get(holds, F.lit(0)))
+    active = active.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    judged = keyed.join(active, ["__host", "__bucket", "__part"], "left").withColumn("__hit", F.get(holds, F.lit(0)))
     return judged.select("id", "url", "fetched", F.col("__hit").isNotNull().alias("blocked"), F.col("__hit.pattern").alias("pattern"), F.col("__hit.category").alias("category"))
