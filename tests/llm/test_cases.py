@@ -139,6 +139,13 @@ def test_url_filter(spark):
     assert url_filter.filter_captures(c.limit(0), e).count() == 0
 
 
+def test_url_filter_deals_large_hosts_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SPLIT", 4)
+    c = spark.createDataFrame([(i, "http://a.org/x" if i % 3 else f"http://b{i}.org", "2024-01-05") for i in range(60)], "id long, url string, fetched string")
+    e = spark.createDataFrame([("a.org", "add", "x", "2024-01-01")], "pattern string, action string, category string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    assert {r.id: r.blocked for r in url_filter.filter_captures(c, e).collect()} == {i: i % 3 != 0 for i in range(60)}
+
+
 def test_url_interval_edges(spark):
     """An entry holds from its own time and no longer at the time of the next."""
     c = spark.createDataFrame([(1, "http://a.org", "2024-01-01"), (2, "http://a.org", "2024-02-01"), (3, "http://a.org", "2023-12-31")], "id long, url string, fetched string")
