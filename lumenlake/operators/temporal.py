@@ -71,23 +71,59 @@ def smoothed(frames: DataFrame, value: str, alpha: float, block: int = 512) -> D
     return own.join(carried, ["recording", "__b"]).withColumn("ema", F.col("__own") + F.col("__carry") * F.pow(F.lit(keep), F.col("__i") + 1)).drop("__b", "__i", "__own", "__carry")
 
 
-def denoised(planes: DataFrame, least: float = 0.35, threshold: float = 12.0) -> DataFrame:
-    """planes (recording, frame_id, luma) with out: prev + a * (cur - prev), a growing with motion against the output before.
+def transfer_curves(px: DataFrame) -> DataFrame:
+    """(recording, frame_id, level, curve): the mean output o of each of 256 input levels l of a frame.
 
-    State is one plane a recording: rows arrive sorted, and a new recording or another plane
-    size starts afresh. A recording's frames depend on each other, so one task walks them.
+    Levels that a frame lacks lie on the line between their neighbours, or at the outermost
+    one's value. Every frame gives 256 rows, however many pixels it has.
+    """
+    key = ["recording", "frame_id"]
+    seen = px.groupBy(*key, F.col("l").cast("int").alias("level")).agg(F.avg("o").alias("mean"))
+    levels = seen.select(*key).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(255))))
+    w = W.partitionBy(*key).orderBy("level")
+    point = F.when(F.col("mean").isNotNull(), F.struct("level", "mean"))
+    both = levels.join(seen, [*key, "level"], "left").withColumns({"a": F.last(point, True).over(w.rowsBetween(W.unboundedPreceding, 0)), "b": F.first(point, True).over(w.rowsBetween(0, W.unboundedFollowing))})
+    line = F.col("a.mean") + (F.col("b.mean") - F.col("a.mean")) * (F.col("level") - F.col("a.level")) / F.nullif(F.col("b.level") - F.col("a.level"), F.lit(0))
+    return both.select(*key, "level", F.coalesce(line, "a.mean", "b.mean").alias("curve"))
+
+
+def tone_smoothed(px: DataFrame, alpha: float, every: int = 1, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """px (recording, frame_id, y, x, l, o) with smooth: o times the gain that brings its level to the smoothed curve.
+
+    A recording's transfer curves, of every `every`-th pixel in both directions, pass a
+    first-order filter level by level. The gain is the smoothed curve over the frame's own,
+    within low and high; a recording's first frame stays as it is.
+    """
+    curves = transfer_curves(px.filter((F.col("y") % every == 0) & (F.col("x") % every == 0)))
+    order = curves.select("recording", "frame_id").distinct().withColumn("seq", F.row_number().over(W.partitionBy("recording").orderBy("frame_id")))
+    rows = curves.join(order, ["recording", "frame_id"]).withColumn("of", F.col("recording")).withColumn("recording", F.struct("recording", "level"))
+    ema = smoothed(rows, "curve", alpha, block=64)
+    ratio = F.least(F.lit(high), F.greatest(F.lit(low), F.col("ema") / F.greatest(F.col("curve"), F.lit(1.0))))
+    gains = ema.select(F.col("of").alias("recording"), "frame_id", F.col("level").cast("double").alias("l"), F.when(F.col("seq") == 1, 1.0).otherwise(ratio).alias("gain"))
+    return px.join(gains, ["recording", "frame_id", "l"]).withColumn("smooth", F.least(F.lit(255.0), F.rint(F.round(F.col("o") * F.col("gain"), 6)))).drop("gain")
+
+
+def denoised(planes: DataFrame, width: int, least: float = 0.25, threshold: float = 24.0) -> DataFrame:
+    """planes (recording, frame_id, luma) with out: prev + a * (cur - prev) in whole levels, prev being the output before.
+
+    a grows from least to 1 with the motion, which is the difference blurred over squares of
+    3 by 3 with mirrored borders, in whole levels. State is one plane a recording: rows
+    arrive sorted, and a new recording or another plane size starts afresh. A recording's
+    frames depend on each other, so one task walks them; cut long recordings at gaps.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, prev = object(), None
         for batch in batches:
             out = []
             for rec, luma in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                cur = np.array(luma, dtype=np.float64)
-                if rec == key and prev is not None and len(prev) == len(cur):
-                    a = np.clip(least + (1 - least) * np.abs(cur - prev) / threshold, least, 1)
-                    cur = prev + a * (cur - prev)
+                cur = np.array(luma, dtype=np.float64).reshape(-1, width)
+                if rec == key and prev is not None and prev.shape == cur.shape:
+                    d = np.pad(np.abs(cur - prev), 1, mode="reflect")
+                    d = np.rint(np.round(sum(d[i : i + cur.shape[0], j : j + width] for i in range(3) for j in range(3)) / 9, 6))
+                    a = np.clip(least + (1 - least) * d / threshold, least, 1)
+                    cur = np.floor(np.round(np.clip(prev + a * (cur - prev), 0, 255), 6))
                 key, prev = rec, cur
-                out.append(cur)
+                out.append(cur.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=["recording", "frame_id", "luma", "out"])
 
     kind = planes.schema["recording"].dataType.simpleString()

@@ -91,7 +91,14 @@ def iir_smoothing(spark: SparkSession, sf: str) -> DataFrame:
 
 def motion_denoise(spark: SparkSession, sf: str) -> DataFrame:
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
-    return T.denoised(V.planes(spark, sf)).select("recording", "frame_id", F.round(mean("luma"), 3).alias("mean_in"), F.round(mean("out"), 3).alias("mean_out"))
+    return T.denoised(V.planes(spark, sf), SIDE).select("recording", "frame_id", F.round(mean("luma"), 3).alias("mean_in"), F.round(mean("out"), 3).alias("mean_out"))
+
+
+def tone_smoothing(spark: SparkSession, sf: str) -> DataFrame:
+    """Brightened planes whose tone curve is smoothed over the recording, from every second pixel of either direction."""
+    px = _px(spark, sf).withColumn("o", F.floor(255 * F.pow(F.col("l") / 255, F.lit(ARMS.GAMMA))).cast("double"))
+    out = T.tone_smoothed(px, T.smoothing(), every=2)
+    return out.groupBy("recording", "frame_id").agg(F.round(F.avg("o"), 3).alias("before"), F.round(F.avg("smooth"), 3).alias("after"))
 
 
 def arm_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,11 +170,11 @@ def gate_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resolution_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """How far the core metric moves with resolution, and whether the verdict of the gate turns, borderline aside."""
+    """How far the core metric moves with resolution, and whether the verdict of the gate turns, with borderline and without."""
     med = _timings(spark, sf).groupBy("arm", "size").agg(F.percentile("ms", 0.5).alias("ms"), F.avg("core").alias("core"))
     judged = med.withColumn("verdict", S.gate_verdict(F.col("ms"), "band"))
     firm = F.when(F.col("verdict") != "borderline", F.col("verdict"))
-    return judged.groupBy("arm").agg(F.round(F.max("core") - F.min("core"), 4).alias("core_range"), (F.size(F.collect_set(firm)) > 1).alias("gate_flips"))
+    return judged.groupBy("arm").agg(F.round(F.max("core") - F.min("core"), 4).alias("core_range"), (F.size(F.collect_set("verdict")) > 1).alias("verdict_flips"), (F.size(F.collect_set(firm)) > 1).alias("gate_flips"))
 
 
 def arm_winners(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +225,7 @@ def stream_held_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     pixel_histogram, agcwd_curve, local_std_interior, dark_mask_stats, glare_core, saturation_rates, tone_curve_bins, gamma_match, frame_diff_flicker, hold_last_detection, detect_stride,
-    flicker_amplification, static_mask_sigma, iir_smoothing, motion_denoise, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
+    flicker_amplification, static_mask_sigma, iir_smoothing, tone_smoothing, motion_denoise, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
 
 X = f"with {V.PIXELS}"
 FR = f"with {V.FRAMES}"
@@ -254,7 +261,7 @@ ORACLES = {
     "iir_smoothing": f"with recursive {V.FRAMES}, a as (select 1 - exp(-2 * pi() * 0.5 / 16) as a), r as (select recording, seq, mean_luma as ema, frame_id from v_frames where seq = 1 union all select f.recording, f.seq, a * f.mean_luma + (1 - a) * r.ema, f.frame_id from r join v_frames f on f.recording = r.recording and f.seq = r.seq + 1, a) select recording, frame_id, round(ema, 3) as ema from r",
     "arm_size_matrix": f"{TM} select arm, round(quantile_cont(ms, 0.5) filter (size = '720p'), 3) as ms_720p, round(quantile_cont(ms, 0.5) filter (size = '480p'), 3) as ms_480p, round(quantile_cont(ms, 0.5) filter (size = '360p'), 3) as ms_360p from t group by 1",
     "gate_verdicts": f"{TM}, m as (select arm, size, round(quantile_cont(ms, 0.5), 3) as ms from t group by 1, 2) select arm, size, {', '.join(f'{sql} as {k}' for k, sql in GATE.items())} from m",
-    "resolution_sensitivity": f"{TM}, m as (select arm, size, quantile_cont(ms, 0.5) as ms, avg(core) as core from t group by 1, 2), v as (select *, {GATE['band']} as verdict from m) select arm, round(max(core) - min(core), 4) as core_range, count(distinct case when verdict <> 'borderline' then verdict end) > 1 as gate_flips from v group by 1",
+    "resolution_sensitivity": f"{TM}, m as (select arm, size, quantile_cont(ms, 0.5) as ms, avg(core) as core from t group by 1, 2), v as (select *, {GATE['band']} as verdict from m) select arm, round(max(core) - min(core), 4) as core_range, count(distinct verdict) > 1 as verdict_flips, count(distinct case when verdict <> 'borderline' then verdict end) > 1 as gate_flips from v group by 1",
     "arm_winners": f"{TM}, m as (select arm, size, quantile_cont(ms, 0.5) as ms, round(avg(core), 6) as core from t group by 1, 2), v as (select *, {GATE['band']} as verdict from m) select size, arm, verdict from v where verdict in ('OK', 'borderline') qualify row_number() over (partition by size order by core, arm) = 1",
     "method_summary": f"{TM}, m as (select arm, round(quantile_cont(ms, 0.5), 3) as ms, avg(core) as core from t group by 1), d as (select m.arm, m.ms, round(m.core - b.core, 4) as delta from m, (select core from m where arm = 'click') b) select *, case when delta < 0 then 'better' else 'no better' end as verdict from d",
     "event_tumbling": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
@@ -290,7 +297,25 @@ SUMMED = f"""{APPLIED}, {_near_sql('ap', 'frame_id, arm', 'l', 'i')}, {_near_sql
     two as (select *, (mean_out + 1e-6) / (mean_in + 1e-6) as gain, local_out / (local_in + 1e-6) as contrast, (noise_out + 1e-6) / (noise_in + 1e-6) / ((mean_out + 1e-6) / (mean_in + 1e-6)) as amplified,
         case when error > 0 then 10 * log10(65025 / error) end as psnr from one),
     summed as (select arm, count(*) as frames, {', '.join(f'round(avg({m}), 3) as {m}' for m in ARMS.METRICS)}, round(avg(contrast) / avg(gain), 3) as contrast_over_gain from two group by 1)"""
+NUMBERED = "n as (select frame_id, recording, row_number() over (partition by recording order by frame_id) as seq from (select vec_id as frame_id, label as recording from embeddings))"
+MIRROR = "case when {v} < 0 then 1 when {v} > 7 then 6 else {v} end"
 ORACLES |= {
+    "motion_denoise": f"""with recursive {NUMBERED}, p as (select n.*, list_transform(embedding, lambda v: least(255.0, greatest(0.0, floor((v::double + 0.3) * 425.0)))) as luma from n join embeddings e on e.vec_id = n.frame_id),
+        r as (select recording, seq, frame_id, luma, luma as out from p where seq = 1
+            union all select p.recording, p.seq, p.frame_id, p.luma, list_transform(range(0, 64), lambda i: floor(round(greatest(0, least(255, r.out[i + 1] + least(1, greatest(0.25, 0.25 + 0.75 *
+                round_even(round(list_sum(list_transform([-1, 0, 1], lambda dy: list_sum(list_transform([-1, 0, 1], lambda dx: abs(p.luma[{MIRROR.format(v='(i // 8 + dy)')} * 8 + {MIRROR.format(v='(i % 8 + dx)')} + 1] - r.out[{MIRROR.format(v='(i // 8 + dy)')} * 8 + {MIRROR.format(v='(i % 8 + dx)')} + 1]))))) / 9, 6), 0)
+                / 24)) * (p.luma[i + 1] - r.out[i + 1]))), 6)))
+            from r join p on p.recording is not distinct from r.recording and p.seq = r.seq + 1)
+        select recording, frame_id, round(list_avg(luma), 3) as mean_in, round(list_avg(out), 3) as mean_out from r""",
+    "tone_smoothing": f"""with recursive {V.PIXELS}, {NUMBERED}, g as (select *, floor(255 * pow(l / 255, 0.45)) as o from v_pixels),
+        c as (select recording, frame_id, l::int as level, avg(o) as mean from g where y % 2 = 0 and x % 2 = 0 group by 1, 2, 3),
+        v as (select n.recording, n.frame_id, n.seq, k as level, mean from n cross join range(256) t(k) left join c on c.frame_id = n.frame_id and c.level = k),
+        w as (select *, max(case when mean is not null then level end) over (partition by frame_id order by level rows unbounded preceding) as la, min(case when mean is not null then level end) over (partition by frame_id order by level rows between current row and unbounded following) as lb from v),
+        u as (select w.recording, w.frame_id, w.seq, w.level, coalesce(a.mean + (b.mean - a.mean) * (w.level - la) / nullif(lb - la, 0), a.mean, b.mean) as curve from w left join c a on a.frame_id = w.frame_id and a.level = la left join c b on b.frame_id = w.frame_id and b.level = lb),
+        r as (select recording, seq, level, frame_id, curve, curve as ema from u where seq = 1
+            union all select u.recording, u.seq, u.level, u.frame_id, u.curve, (1 - exp(-2 * pi() * 0.5 / 16)) * u.curve + exp(-2 * pi() * 0.5 / 16) * r.ema from r join u on u.recording is not distinct from r.recording and u.seq = r.seq + 1 and u.level = r.level)
+        select g.recording, g.frame_id, round(avg(o), 3) as before, round(avg(least(255, round_even(round(o * case when seq = 1 then 1 else least(2, greatest(0.5, ema / greatest(curve, 1))) end, 6), 0))), 3) as after
+        from g join r on r.frame_id = g.frame_id and r.level = g.l group by 1, 2""",
     "arm_metrics": f"{SUMMED} select * from summed",
     "arm_axes": f"{SUMMED} select s.arm, s.core_out <= b.core_out as core_ok, s.contrast >= b.contrast as contrast_ok, s.noise_out <= b.noise_out as noise_ok, s.core_out <= b.core_out and s.contrast >= b.contrast and s.noise_out <= b.noise_out as all_ok from summed s, (select * from summed where arm = 'none') b",
     "glare_zone": f"{APPLIED} select arm, round(avg(l), 3) as level_in, round(avg(o), 3) as level_out, count(*) as pixels from ap where l >= 200 group by 1",

@@ -100,7 +100,7 @@ def test_smoothing_matches_recursion(spark):
 
 def test_denoise_keeps_still_and_follows_motion(spark):
     df = spark.createDataFrame([(0, 1, [10.0, 10.0]), (0, 2, [10.0, 200.0]), (1, 1, [5.0, 5.0])], "recording int, frame_id long, luma array<double>")
-    got = {(r.recording, r.frame_id): r.out for r in temporal.denoised(df).collect()}
+    got = {(r.recording, r.frame_id): r.out for r in temporal.denoised(df, 2).collect()}
     assert got == {(0, 1): [10, 10], (0, 2): [10, 200], (1, 1): [5, 5]}
 
 
