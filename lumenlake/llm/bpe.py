@@ -267,7 +267,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False)
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
-    """coded less ids, with decoded (binary): the bytes that the ids of each row stand for, null ids as none."""
+    """coded less ids, with decoded (binary): the bytes that the ids of each row stand for.
+
+    Null and empty ids give no bytes; an id that the ranks lack gives none either. Other
+    columns pass through, but for one named decoded, which is replaced. Repeated rows are
+    decoded alike; an empty table stays empty.
+    """
     given = coded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     kept = [c for c in coded.columns if c not in ("ids", "decoded")]
     schema = T.StructType([*coded.select(*(f"`{c}`" for c in kept)).schema.fields, T.StructField("decoded", T.BinaryType())])

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or os.path.join(tempfile.gettempdir(), "lumenlake-shared")).rstrip("/")
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def cuts_removed() -> Iterator[None]:
+    """Deletes, at its end, the tables that operators cut inside it. What reads them has to be written by then."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for df in made:
+            drop_cut(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
@@ -33,6 +51,8 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for made in _OPEN:
+        made.append(out)
     return out
 
 

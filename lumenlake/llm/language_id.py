@@ -167,7 +167,14 @@ def chance_score(dim: int = DIM, deviations: float = 3.0) -> float:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """docs less those without an identified language: `und`, or a cosine under min_score. All columns as they were."""
+    """docs less those without an identified language: `und`, or a cosine under min_score. All columns as they were.
+
+    Null, empty and letterless texts go. Null langs and doc_ids don't matter: what is known
+    is learnt from, and every text is judged. Repeated rows stay or go together; an empty
+    table stays empty, and without any lang nothing stays. docs may have any other columns.
+    """
     prototypes = fit(docs.filter(~held_out()).select("lang", "text"))
-    judged = predict(docs, prototypes, lang="__lang_pred", score="__score")
-    return judged.filter((F.col("__lang_pred") != UND) & (F.col("__score") >= min_score)).drop("__lang_pred", "__score")
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    own = docs.select(*(docs[f"`{c}`"].alias("text" if c == "text" else n) for c, n in zip(docs.columns, names)))
+    judged = predict(own, prototypes, lang="__lang_pred", score="__score").filter((F.col("__lang_pred") != UND) & (F.col("__score") >= min_score))
+    return judged.select(*(F.col("text") if c == "text" else F.col(n).alias(c) for c, n in zip(docs.columns, names)))
