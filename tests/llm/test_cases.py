@@ -1,12 +1,13 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import os
 import random
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash, mixing, pii, sharding, substring_dedup, url_filter
+from lumenlake.llm import bpe, common, embedding_dedup, exact_dedup, language_id, minhash, mixing, pii, sharding, substring_dedup, url_filter
 from tests.llm.conftest import ROWS
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -77,6 +78,28 @@ def test_language(tricky):
     assert {r.doc_id for r in language_id.keep_identified(tricky).collect()}.isdisjoint({3, 4, 5, 6})
 
 
+def test_columns_that_clash_pass_through(spark, tricky, clashing, empty):
+    """Operators on whole rows give the columns of their input back, whatever these are called."""
+    key = lambda d: sorted(map(tuple, d.select(tricky.columns).collect()), key=str)
+    for run in (language_id.keep_identified, substring_dedup.without_repeats, minhash.drop_near_duplicates, exact_dedup.drop_exact_duplicates):
+        out = run(clashing)
+        assert out.columns == clashing.columns and key(out) == key(run(tricky)) and run(empty).count() == 0
+        more = [c for c in clashing.columns if c not in tricky.columns]
+        assert {tuple(r) for r in out.select(*(f"`{c}`" for c in more)).collect()} == {tuple(range(len(more)))}
+    coded = bpe.encode(clashing, RANKS, public_tokenizers.PATTERN)
+    assert coded.columns == [*(c for c in clashing.columns if c not in ("text", "n_tokens", "ids")), "n_tokens", "ids"]
+    back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(coded.withColumn("decoded", F.lit(1)), RANKS).collect()}
+    assert back == {r.doc_id: r.text or "" for r in tricky.collect()}
+
+
+def test_cuts_are_removed(spark, tricky, tmp_path):
+    with common.cuts_removed():
+        made = common.cut(tricky)
+        exact_dedup.exact_duplicates(made).write.parquet(f"{tmp_path}/out")
+        assert os.path.isdir(made._cut_path)
+    assert not os.path.isdir(made._cut_path) and spark.read.parquet(f"{tmp_path}/out").count() == len(ROWS)
+
+
 def test_language_without_labels(tricky):
     got = language_id.identify(tricky.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in got.collect()} == {"und"}
