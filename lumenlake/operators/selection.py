@@ -22,12 +22,24 @@ def name_number(stem: Column) -> tuple[Column, Column]:
 def blocks(numbered: DataFrame, key: Sequence[str], number: str, gap: int = 30) -> DataFrame:
     """Gaps and islands: runs of numbers of one key whose steps are at most gap; negative numbers stand alone.
 
-    Returns key, block (running number), first, last, n.
+    Returns key, block (running number), first, last, n. Numbers are looked at in buckets of
+    SPAN; each bucket gets the last number before it and how many blocks have begun there, so
+    that a key which holds a whole table spreads over tasks.
     """
-    w = W.partitionBy(*key).orderBy(number)
-    step = F.col(number) - F.lag(number).over(w)
-    new = F.when(step.isNull() | (step > gap) | (F.col(number) < 0), 1).otherwise(0)
-    running = numbered.withColumn("__new", new).withColumn("block", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    dealt = numbered.withColumn("__bucket", F.floor(F.col(number) / SPAN))
+    before = W.partitionBy(*key).orderBy("__bucket")
+    inside = W.partitionBy(*key, "__bucket").orderBy(number)
+
+    def joined(rows: DataFrame, ends: DataFrame) -> DataFrame:
+        names = [f"__of{i}" for i in range(len(key) + 1)]
+        ends = ends.select(*(F.col(c).alias(m) for c, m in zip((*key, "__bucket"), names)), *(c for c in ends.columns if c not in (*key, "__bucket")))
+        return rows.join(ends, [F.col(c).eqNullSafe(F.col(m)) for c, m in zip((*key, "__bucket"), names)]).drop(*names)
+
+    last = dealt.groupBy(*key, "__bucket").agg(F.max(number).alias("__top")).select(*key, "__bucket", F.lag("__top").over(before).alias("__prev"))
+    step = F.col(number) - F.coalesce(F.lag(number).over(inside), "__prev")
+    flagged = joined(dealt, last).withColumn("__new", F.when(step.isNull() | (step > gap) | (F.col(number) < 0), 1).otherwise(0)).drop("__prev")
+    begun = flagged.groupBy(*key, "__bucket").agg(F.sum("__new").alias("__own")).select(*key, "__bucket", F.coalesce(F.sum("__own").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    running = joined(flagged, begun).withColumn("block", F.col("__start") + F.sum("__new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
     return running.groupBy(*key, "block").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
