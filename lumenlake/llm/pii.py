@@ -40,17 +40,19 @@ FUNCTION_WORDS = frozenset(
 WORD_DIGIT = {w: d for d, words in DIGIT_WORDS.items() for w in words.split()}
 _ANY = lambda words: "|".join(sorted(words, key=len, reverse=True))
 _WORDS, _AT, _DOT, _PLUS = _ANY(WORD_DIGIT), _ANY(AT_WORDS.split()), _ANY(DOT_WORDS.split()), _ANY(PLUS_WORDS.split())
-_ONE_WORD = re.compile(_WORDS, re.I)
-#: What the token transducer rewrites: words, signs in brackets or apart, digits with letters or wide gaps among them.
-_SPELLED = re.compile(rf"(?<![^\W\d_])(?:(?P<digits>(?:{_WORDS})+)|(?P<at>{_AT})|(?P<dot>{_DOT})|(?P<plus>{_PLUS}))(?![^\W\d_])", re.I)
-_SIGN = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*+[\])}}>]|(?P<sign>@)|(?<=\s)(?P<apart>\.)(?=\s)|(?P<plus>\+)(?=[\s(])", re.I)
-_MIXED = re.compile(r"(?<![^\W_])(?=[oil]*[0-9])(?=[0-9]*[oil])[0-9oil]++(?![^\W_])|(?<=[0-9][ .-])[oil](?=[ .-][0-9])|(?<=[0-9oil])[ -]{2,}(?=[0-9oil])", re.I)
-_LETTER_DIGITS = str.maketrans("oOiIlL", "001111")
+#: What the token transducer rewrites: words, of which runs of digit words are one; signs in brackets or apart; digits with letters or wide gaps among them.
+_KINDS = {w: "digits" for w in WORD_DIGIT} | {w: "at" for w in AT_WORDS.split()} | {w: "dot" for w in DOT_WORDS.split()} | {w: "plus" for w in PLUS_WORDS.split()}
+_FIRST = "".join(sorted({w[0] for w in _KINDS}))
+_WORD = re.compile(rf"[{_FIRST}](?<![^\W\d_].)[^\W\d_]*", re.S)
+_RUN, _HEADS, _TAILS = re.compile(rf"(?:{_WORDS})+"), frozenset(w[:2] for w in WORD_DIGIT), frozenset(w[-2:] for w in WORD_DIGIT)
+_SIGN = re.compile(rf"[\[({{<@.+](?:(?<=[\[({{<])\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*+[\])}}>]|(?<=@)(?P<sign>)|(?<=\s\.)(?P<apart>)(?=\s)|(?<=\+)(?P<plus>)(?=[\s(]))")
+_DIGITS, _LETTERED = re.compile(r"[0-9]+"), frozenset("0123456789oil")
+_LETTER_DIGITS = str.maketrans("oil", "011")
 _GAP, _OPENING = re.compile(r"[ \t-]*"), re.compile(r"[\s(]*")
 
 _BASE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _BASE_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_BASE_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_BASE_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _BASE_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _BASE_PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -102,9 +104,42 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _plain(word: str) -> str:
-    """A word in lower case; letters that only fold to a to z are these."""
-    return word.lower().replace("\u0307", "").replace("ı", "i").replace("ſ", "s")
+Event = tuple[int, int, str]
+
+
+def _words(low: str) -> Iterator[Event]:
+    for m in _WORD.finditer(low):
+        word = m[0]
+        kind = _KINDS.get(word)
+        if kind:
+            yield *m.span(), kind
+        elif len(word) > 3 and word[:2] in _HEADS and word[-2:] in _TAILS and _RUN.fullmatch(word):
+            yield *m.span(), "digits"
+
+
+def _mixed(low: str) -> Iterator[Event]:
+    """Tokens of digits and o, i or l, one such letter between groups of digits, and wide gaps between digits."""
+    done = 0
+    for m in _DIGITS.finditer(low):
+        start, end = m.span()
+        if start < done:
+            continue
+        while start > done and low[start - 1] in _LETTERED:
+            start -= 1
+        while end < len(low) and low[end] in _LETTERED:
+            end += 1
+        done = end
+        if end - start > len(m[0]) and (start == 0 or not low[start - 1].isalnum()) and not low[end : end + 1].isalnum() and not low[start:end].isdigit():
+            yield start, end, "mixed"
+        if low[end : end + 1] in (" ", ".", "-") and low[end + 1 : end + 2] in ("o", "i", "l") and low[end + 2 : end + 3] in (" ", ".", "-") and low[end + 3 : end + 4] in _LETTERED:
+            yield end + 1, end + 2, "mixed"
+        if low[end : end + 1] in (" ", "-") and low[end + 1 : end + 2] in (" ", "-"):
+            to = end + 2
+            while low[to : to + 1] in (" ", "-"):
+                to += 1
+            if low[to : to + 1] in _LETTERED:
+                yield end, to, "gap"
+                done = to
 
 
 class Tokens:
@@ -123,13 +158,13 @@ class Tokens:
         self.source: list[tuple[int, int, bool]] = [(0, len(text), True)]
         #: At signs by position in the output: the word, or @ for one that stands apart; dot words likewise.
         self.bare: dict[int, str] = {}
-        events = [(m.start(), m.end(), m.lastgroup, m) for m in _SPELLED.finditer(text)]
-        mixed = [(m.start(), m.end(), "mixed", m) for m in _MIXED.finditer(text)]
-        signs = [(m.start(), m.end(), m.lastgroup, m) for m in _SIGN.finditer(text)]
-        if events or mixed or signs:
-            self._rewrite(sorted([*events, *mixed, *signs], key=lambda e: (e[0], -e[1])))
+        # the one letter that lower() writes as two
+        low = text.replace("\u0130", "i").lower()
+        events = [*_words(low), *_mixed(low), *((*m.span(), m.lastgroup) for m in _SIGN.finditer(low))]
+        if events:
+            self._rewrite(low, sorted(events, key=lambda e: (e[0], -e[1])))
 
-    def _rewrite(self, events: list[tuple[int, int, str, re.Match]]) -> None:
+    def _rewrite(self, low: str, events: list[Event]) -> None:
         text, out, length, at, said = self.text, [], 0, 0, -1
         numbers = {e[0] for e in events if e[2] in ("digits", "mixed")}
         self.begin, self.source = [], []
@@ -142,10 +177,10 @@ class Tokens:
                 out.append(chars)
                 length += len(chars)
 
-        for start, end, kind, m in events:
+        for start, end, kind in events:
             if start < at:
                 continue
-            word, bracketed = m[0], text[start] in "[({<"
+            word, bracketed = low[start:end], text[start] in "[({<"
             if kind == "digits":
                 gap = text[at:start]
                 if said == at and _GAP.fullmatch(gap):
@@ -155,35 +190,33 @@ class Tokens:
                     at = start
                 put(text[at:start], at, start, True)
                 for w in _split_words(word):
-                    put(WORD_DIGIT.get(_plain(w), w), start, start + len(w))
+                    put(WORD_DIGIT.get(w, w), start, start + len(w))
                     start += len(w)
                 said = at = end
-                continue
-            if kind == "mixed":
+            elif kind in ("mixed", "gap"):
                 put(text[at:start], at, start, True)
-                put(*(" ", start, end) if word.isspace() or word[0] in " -" else (word.translate(_LETTER_DIGITS), start, end, True))
+                put(" " if kind == "gap" else word.translate(_LETTER_DIGITS), start, end, kind == "mixed")
                 at = end
-                continue
-            if kind == "plus":
+            elif kind == "plus":
                 to = _OPENING.match(text, end).end()
                 if to < len(text) and (text[to] in "0123456789" or to in numbers):
                     put(text[at:start], at, start, True)
                     put("+", start, to)
                     at = to
-                continue
-            left, right = start, end
-            while left > at and text[left - 1].isspace():
-                left -= 1
-            while right < len(text) and text[right].isspace():
-                right += 1
-            apart = left < start and right > end
-            if not bracketed and kind in ("at", "dot") and not apart or kind == "sign" and left == start and right == end:
-                continue
-            put(text[at:left], at, left, True)
-            if not bracketed and kind != "apart":
-                self.bare[length] = _plain(word)
-            put("@" if kind in ("at", "sign") else ".", start, end)
-            at = right
+            else:
+                left, right = start, end
+                while left > at and text[left - 1].isspace():
+                    left -= 1
+                while right < len(text) and text[right].isspace():
+                    right += 1
+                apart = left < start and right > end
+                if not bracketed and kind in ("at", "dot") and not apart or kind == "sign" and left == start and right == end:
+                    continue
+                put(text[at:left], at, left, True)
+                if not bracketed and kind != "apart":
+                    self.bare[length] = word
+                put("@" if kind in ("at", "sign") else ".", start, end)
+                at = right
         put(text[at:], at, len(text), True)
         self.out = "".join(out)
 
@@ -216,12 +249,12 @@ class Tokens:
 
 def _split_words(said: str) -> list[str]:
     """The digit words of a run without blanks, which may need another split than the longest first."""
-    if _plain(said) in WORD_DIGIT:
+    if said in WORD_DIGIT:
         return [said]
     ends: dict[int, int] = {0: -1}
     for end in range(1, len(said) + 1):
         for n in range(min(end, 8), 0, -1):
-            if end - n in ends and _plain(said[end - n : end]) in WORD_DIGIT:
+            if end - n in ends and said[end - n : end] in WORD_DIGIT:
                 ends[end] = end - n
                 break
     out, at = [], len(said)
