@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lumenlake.llm.common import by_place
+
 #: White space as Unicode's property has it, which the rank files' pattern means by \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A rank file may be so large, as it is broadcast to every executor.
@@ -263,7 +265,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*kept, *new])
                 at = end
 
-    return docs.select("text", *(f"`{c}`" for c in kept)).mapInArrow(coded, schema)
+    return by_place(docs, ["text", *kept]).mapInArrow(coded, schema)
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
@@ -283,4 +285,4 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
             raw = coder.decode([np.array(x or [], dtype="<u4").tobytes() for x in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(raw, pa.binary())], names=[*kept, "decoded"])
 
-    return coded.select("ids", *(f"`{c}`" for c in kept)).mapInArrow(plain, schema)
+    return by_place(coded, ["ids", *kept]).mapInArrow(plain, schema)

@@ -65,6 +65,11 @@ def drop_cut(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def by_place(df: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns of df under plain names: an Arrow function's input can't have dots in its names."""
+    return df.select(*(df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)))
+
+
 def without_white(text: Column) -> Column:
     """text less every white-space character, null as empty. replace() is a byte search, much faster than a pattern."""
     out = F.coalesce(text, F.lit(""))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenlake.llm.common import by_place
+
 DIM, NGRAM, SEED = 512, 3, 7
 #: Symbols: 0 for what is no letter, 1 to 26 for a to z, the rest for all other letters by code point.
 SYMBOLS = 64
@@ -147,7 +149,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], dim: int = DIM,
                     scores.append(float(min(1.0, max(0.0, cos[i, best[i]]))) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, lang, score])
 
-    return docs.select(*(f"`{c}`" for c in kept)).mapInArrow(judged, schema)
+    return by_place(docs, kept).mapInArrow(judged, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
