@@ -145,6 +145,34 @@ ORACLES: dict[str, str] = {
             from d join t on d.source is not distinct from t.source join ct on d.source is not distinct from ct.source and d.shard = ct.shard),
         m as (select r.id, sum(least(before + size, stop) - greatest(before, start)) as more from r join won on r.source is not distinct from won.source and r.shard = won.shard and start < before + size and stop > before group by 1)
         select doc_id, size, source_size, target, cast(rounds * size + coalesce(more, 0) as bigint) as taken from r left join m using (id)""",
+    "op6_substring_dedup": r"""
+        with recursive d as (select doc_id as id, text from documents where doc_id is not null and text is not null),
+        p as (select id, unnest(ps) as piece, generate_subscripts(ps, 1) - 1 as i from (select id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as ps from d)),
+        w as (select id, i, regexp_replace(piece, '^[\x20\x09-\x0D]+', '') as word, sum(length(piece)) over (partition by id order by i)::bigint as stop from p),
+        h as (select id, i, stop - length(word) as start, stop, cast('0x' || substr(md5(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 8) as bigint)::hugeint as v, count(*) over (partition by id) as n from w),
+        s as (select id, i, start, stop, n, v * 402653189 + lead(v, 1) over o * 201326611 + lead(v, 2) over o * 469762049 + lead(v, 3) over o * 100663319 + lead(v, 4) over o * 335544323 as s from h window o as (partition by id order by i)),
+        y as (select id, i, n, s, s % 4294967291 as y0, (s % 4294967291) * 1664525 % 4294967291 as y1, (s % 4294967291) * (1664525::hugeint * 1664525 % 4294967291) % 4294967291 as y2 from s where i <= n - 5),
+        r as (select id, i, n, (min(y0 * 4294967296 + i) over (partition by id order by i rows between current row and 7 following) % 4294967296)::bigint as a,
+            (min(y1 * 4294967296 + i) over f % 4294967296)::bigint as k1, (min(y2 * 4294967296 + i) over f % 4294967296)::bigint as k2 from y window f as (partition by id order by i rows between current row and 44 following)),
+        an as (select *, coalesce(lead(sx) over (partition by id order by sx), sx) as after from (select distinct id, a as sx, n from r where i <= n - 12)),
+        post as (select id, k1 as pos from r where i <= n - 49 union select id, k2 from r where i <= n - 49),
+        keyed as (select post.id, pos, s from post join y on y.id = post.id and y.i = pos),
+        hot as (select id, pos from keyed where s in (select s from keyed group by s having count(distinct id) > 1)),
+        runs as (select r.id, r.i from r join hot a on a.id = r.id and a.pos = r.k1 join hot b on b.id = r.id and b.pos = r.k2 where r.i <= r.n - 49),
+        cand as (select id, sx, after from an where sx <= n - 49 and exists (select 1 from runs where runs.id = an.id and runs.i between an.sx - 7 and an.sx + 7)),
+        par as (select c.id, c.sx, any_value(f.s) as a, any_value(g.s) as b, list_sort(list(y.s)) as held from cand c join y f on f.id = c.id and f.i = c.sx join y g on g.id = c.id and g.i = c.after join y on y.id = c.id and y.i between c.sx and c.sx + 44 group by c.id, c.sx),
+        cl as (select row_number() over (order by rep, a, b) as c, *, list_distinct(held) as sh from (select a, b, held, min({'id': id, 'sx': sx}) as rep, max(id) as last, count(*) as copies from par group by 1, 2, 3)),
+        l as (select x.c as a, y.c as b from cl x join cl y on x.a = y.a and x.b = y.b and x.c <> y.c where 100 * len(list_intersect(x.sh, y.sh)) >= 80 * (len(x.sh) + len(y.sh) - len(list_intersect(x.sh, y.sh)))),
+        k(a, b) as (select a, b from l union select k.a, l.b from k join l on l.a = k.b),
+        m as (select a, min(b) as b from k group by 1),
+        ro as (select cl.*, least(c, coalesce(m.b, c)) as root from cl left join m on m.a = cl.c),
+        v as (select root, min(rep) as first, max(last) as most, sum(copies)::bigint as total from ro group by 1),
+        j as (select par.id, par.sx, v.first, v.total, ro.rep.id <> ro.last as alike from par join ro on ro.a = par.a and ro.b = par.b and ro.held = par.held join v on v.root = ro.root where v.first.id <> v.most),
+        z as (select j.id, j.sx, b.start, e.stop, j.sx + 49 - case when alike then 0 else 5 end as upto, j.first.id as cluster, total, j.id = j.first.id and j.sx = j.first.sx as kept
+            from j join h b on b.id = j.id and b.i = j.sx join h e on e.id = j.id and e.i = j.sx + 48 - case when alike then 0 else 5 end),
+        u as (select *, sum(fresh) over (partition by id, cluster, kept order by sx, upto rows unbounded preceding) as run from (
+            select *, case when sx <= max(upto) over (partition by id, cluster, kept order by sx, upto rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from z))
+        select id as doc_id, min(start)::bigint as start, max(stop)::bigint as "end", (max(upto) - min(sx))::bigint as n_words, cluster as cluster_id, max(total) as copies, kept from u group by id, cluster, kept, run""",
     "op7_minhash": r"""
         with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
         s as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as sh from w),
