@@ -38,7 +38,8 @@ def classes(docs: DataFrame, key: Callable[[Column], Column] = content_hash) ->
     rows = cut(_keyed(docs, key).drop("__norm").withColumn("__row", F.monotonically_increasing_id()))
     keep = F.max(F.struct(F.col("__cp"), (-F.col("__id")).alias("__neg"), (-F.col("__row")).alias("__first"))).alias("__keep")
     groups = rows.groupBy("__h", "__sha").agg(F.count(F.lit(1)).alias("__n"), keep)
-    twice = groups.groupBy("__h").agg(F.sum("__n").alias("__all")).filter("__all > 1").select("__h")
+    # a table, so that the join of texts with it can be split where a hash is common
+    twice = cut(groups.groupBy("__h").agg(F.sum("__n").alias("__all")).filter("__all > 1").select("__h"))
     same = _keyed(docs, key).join(twice, "__h", "left_semi").groupBy("__h", "__sha", "__norm").agg(F.count(F.lit(1)).alias("__rows"))
     texts = same.groupBy("__h", "__sha").agg(F.count(F.lit(1)).alias("__texts"))
     checked = groups.join(texts, ["__h", "__sha"], "left").withColumn(
