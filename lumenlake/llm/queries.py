@@ -16,8 +16,11 @@ from lumenlake.llm.language_id import identify
 from lumenlake.llm.minhash import near_duplicates
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.pii import digests, personal_data
+from lumenlake.llm.ranked_search import search
+from lumenlake.llm.resampling import resample
 from lumenlake.llm.sharding import shard_documents
 from lumenlake.llm.substring_dedup import repeated_passages
+from lumenlake.llm.token_counts import count_tokens
 from lumenlake.llm.url_filter import filter_captures, host
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +88,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
@@ -96,6 +111,9 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_resample": op12_resample,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
@@ -196,4 +214,29 @@ ORACLES: dict[str, str] = {
         m as (select a, min(b) as b from k group by 1), d as (select a, count(*) as n from l group by 1)
         select vec_id, coalesce(d.n, 0) as n_links, least(vec_id, coalesce(m.b, vec_id)) as component_id, vec_id <= coalesce(m.b, vec_id) as kept
         from embeddings left join m on m.a = vec_id left join d on d.a = vec_id""",
+    "op11_ranked_search": r"""
+        with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+        k as (select r, doc_id, len(ts) as n, ts from d where len(ts) > 0),
+        c as (select count(*) as docs, sum(n)::bigint as total from k),
+        m as (select r, doc_id, 10 + (90 * n * docs) // total as m from k, c),
+        q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+        p as (select r, t, count(*) as tf from (select r, unnest(ts) as t from k) where t in (select t from q) group by 1, 2),
+        w as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*) as df from p group by 1), c),
+        s as (select q.item_id, m.r, m.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::bigint as score from q join w using (t) join p using (t) join m using (r) group by 1, 2, 3)
+        select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 10""",
+    "op12_resample": r"""
+        with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+        dw as (select r, unnest(ws) as w from d),
+        bw as (select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+        v as (select w, hex(encode(w)) as h from (select w from dw union select w from bw)),
+        z as (select w, xor(list_reduce(range(0, len(h) // 2), lambda c, i: list_reduce(range(0, 8), lambda a, j: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end,
+            xor(c, ('0x' || substr(h, 2 * i + 1, 2))::bigint)), 4294967295::bigint), 4294967295) % 10000 as b from v),
+        s as (select b, count(*) as s from dw join z using (w) group by 1), t as (select b, count(*) as t from bw join z using (w) group by 1),
+        ss as (select coalesce(sum(s), 0)::double as ss from s), tt as (select coalesce(sum(t), 0)::double as tt from t),
+        g as (select s.b, floor(1000 * ln((coalesce(t, 0) + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::bigint as g from s left join t using (b), ss, tt),
+        x as (select r, sum(g)::bigint as g, count(*) as n from dw join z using (w) join g using (b) group by 1),
+        y as (select d.doc_id, coalesce(n, 0) as n_features, coalesce((g - (g % n + n) % n) // n, 0) as weight, ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint as h from d left join x using (r)),
+        o as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from y),
+        f as (select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as rank, (select count(*) from o where n_features >= 20) as n from o)
+        select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from f""",
 }
