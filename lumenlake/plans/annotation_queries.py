@@ -247,14 +247,6 @@ def luma_bands(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy("recording", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("recording")), RATE))
 
 
-def light_source_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Lamp share and largest lamp of a plane stand for saturated sources; bands with few images say nothing."""
-    per = V.pixels(spark, sf).groupBy("frame_id").agg(F.avg("l").alias("luma"), (100 * S.share(F.col("l") >= 235)).alias("lamp"), (100 * S.share(F.col("l") >= 250)).alias("big"))
-    band = per.withColumn("band", S.luma_band(F.col("luma"))).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.percentile("lamp", 0.5).alias("lamp"), F.percentile("big", 0.5).alias("big")).filter("n >= 5")
-    verdict = F.when(F.col("lamp") < 0.02, "no saturated source").when(F.col("big") > 0.5, "sky or reflection").otherwise("point lights")
-    return band.select("band", "n", F.round("lamp", RATE).alias("lamp"), F.round("big", RATE).alias("big"), verdict.alias("verdict"))
-
-
 THRESHOLDS = (55, 60, 62, 65, 68, 70, 75)
 
 
@@ -279,7 +271,7 @@ QUERIES = {f.__name__: f for f in (
     box_clamp_normalize, box_clamp_cvat_rule, segment_union_box, yolo_to_pixel, letterbox_roundtrip, class_remap_counts, dropped_class_topk, frame_kind_counts, unlabeled_person_filter,
     pair_integrity, label_image_left_join, dedupe_boxes, recording_semi_join, source_union_summary, source_rollup, filename_blocks, page_blocks, block_summary, tail_split, uniform_thinning, strided_pick,
     row_slice, pool_quota_sample, positives_sample, box_percentiles_linear, box_quantiles_exclusive, edge_touch_rates, small_box_rates, stairs_gate, area_histogram, boxes_per_image, area_summary,
-    outline_geometry, crop_windows, luma_bands, light_source_verdict, luma_threshold_sensitivity, pool_profile, output_health)}
+    outline_geometry, crop_windows, luma_bands, luma_threshold_sensitivity, pool_profile, output_health)}
 
 
 
@@ -348,7 +340,6 @@ ORACLES = {
     "outline_geometry": f"{B}, k as (select image_id, box_no, category_id, greatest(0, least(x, 1919)) as x1, greatest(0, least(y, 1079)) as y1, greatest(0, least(x + bw, 1919)) as x2, greatest(0, least(y + bh, 1079)) as y2 from v_boxes) select image_id, box_no, x1, y1, x2, y2, 6 as line, 3 as rim, case category_id when 1 then 'person' when 2 then 'stairs' else 'white' end as colour from k where x2 > x1 and y2 > y1",
     "crop_windows": f"{CL} select image_id, box_no, cast(greatest(0, least(floor((y1 + y2) / 2) - 128, 1080 - 256)) as bigint) as top, cast(greatest(0, least(floor((x1 + x2) / 2) - 128, 1920 - 256)) as bigint) as \"left\" from c",
     "luma_bands": f"{F_}, b as (select recording, case when mean_luma >= 90 then 'day' when mean_luma < 40 then 'low_light' else 'dusk' end as band, count(*) as n from v_frames group by 1, 2) select *, round(n / sum(n) over (partition by recording), 5) as share from b",
-    "light_source_verdict": f"with {V.PIXELS}, p as (select frame_id, avg(l) as luma, 100 * avg((l >= 235)::int) as lamp, 100 * avg((l >= 250)::int) as big from v_pixels group by 1), g as (select case when luma >= 90 then 'day' when luma < 40 then 'low_light' else 'dusk' end as band, count(*) as n, quantile_cont(lamp, 0.5) as lamp, quantile_cont(big, 0.5) as big from p group by 1 having count(*) >= 5) select band, n, round(lamp, 5) as lamp, round(big, 5) as big, case when lamp < 0.02 then 'no saturated source' when big > 0.5 then 'sky or reflection' else 'point lights' end as verdict from g",
     "luma_threshold_sensitivity": f"{F_}, t as (select unnest([55, 60, 62, 65, 68, 70, 75]) as threshold) select threshold, count(*) filter (mean_luma < threshold) as frames, count(*) filter (mean_luma < threshold and detection is not null) as detections from v_frames, t group by 1",
     "pool_profile": f"{F_} select recording % 5 as pool, round(avg(mean_luma), 3) as mean, round(quantile_cont(mean_luma, 0.5), 3) as median, round(avg((mean_luma < 60)::int), 5) as under_60, round(avg((mean_luma < 40)::int), 5) as under_40, count(*) as n from v_frames group by 1",
     "output_health": f"{F_} select recording, round(avg(mean_luma), 3) as mean, case when avg(mean_luma) < 5 then 'black' when avg(mean_luma) > 250 then 'white' else 'fine' end as health from v_frames group by 1",

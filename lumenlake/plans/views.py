@@ -56,6 +56,17 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("frame_id"), F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).alias("x"), level.alias("l"))
 
 
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Larger luma planes: 16 vectors in a row of ids side by side, four by four, are one of 32 by 32."""
+    px, tile = pixels(spark, sf_dir), F.col("frame_id") % 16
+    return px.select(F.floor(F.col("frame_id") / 16).alias("frame_id"), (F.floor(tile / 4) * 8 + F.col("y")).cast("int").alias("y"), (tile % 4 * 8 + F.col("x")).cast("int").alias("x"), "l", F.col("frame_id").alias("vec_id"))
+
+
+def nights(px: DataFrame) -> DataFrame:
+    """Planes as by night: every third a fifth as bright, every third half, others four fifths; lamps stay."""
+    return px.withColumn("l", F.when(F.col("l") >= 235, F.col("l")).otherwise(F.floor(F.col("l") * (2 + F.col("frame_id") % 3 * 3) / 10).cast("double")))
+
+
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Luma planes whole: frame_id and luma, 64 levels row by row."""
     e = table(spark, sf_dir, "embeddings")
@@ -82,3 +93,7 @@ select event_id as frame_id, user_id as recording, row_number() over (partition
 PIXELS = """v_pixels as (
 select vec_id as frame_id, label as recording, cast(floor(pos / 8) as int) as y, pos % 8 as x, least(255.0, greatest(0.0, floor((cast(v as double) + 0.3) * 425.0))) as l
 from (select vec_id, label, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as pos from embeddings))"""
+MOSAICS = """v_mosaics as (
+select frame_id // 16 as frame_id, cast((frame_id % 16) // 4 * 8 + y as int) as y, cast((frame_id % 16) % 4 * 8 + x as int) as x, l, frame_id as vec_id from v_pixels)"""
+NIGHTS = """v_nights as (
+select frame_id, y, x, case when l >= 235 then l else floor(l * (2 + frame_id % 3 * 3) / 10) end as l from {source})"""
