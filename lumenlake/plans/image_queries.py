@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.operators import blobs as B
+from lumenlake.operators import enhancement as E
+from lumenlake.operators import quality as Q
 from lumenlake.plans import views as V
 from lumenlake.sources import images as I
 from lumenlake.sources.shared import scratch
@@ -52,7 +54,74 @@ def image_luma(spark: SparkSession, sf: str) -> DataFrame:
     return whole.join(small, "frame_id").withColumn("frame_id", F.col("frame_id").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (light_blobs, luma_probe, light_source_verdict, image_luma)}
+LEAST, GAMMA, TILES = 200, 0.45, 4
+
+
+def _night(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.sized(V.nights(V.mosaics(spark, sf)).drop("vec_id"))
+
+
+def _lifted(c: str) -> Column:
+    return F.floor(F.round(255 * F.pow(F.col(c) / 255, F.lit(GAMMA)), 6)).cast("double")
+
+
+def flat_dark_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of the input on which noise is measured; darkest planes take one of the fallbacks."""
+    m = Q.flat_dark(_night(spark, sf), LEAST)
+    return m.groupBy("frame_id").agg(F.count_if("dark").alias("dark"), F.count_if("flat").alias("flat"), F.round(F.avg(F.when(F.col("flat"), F.col("l"))), 3).alias("level"))
+
+
+def noise_absolute(spark: SparkSession, sf: str) -> DataFrame:
+    """Noise of luma and colour on the input's flat dark pixels, before and after brightening each channel by a gamma."""
+    px = V.coloured(Q.flat_dark(_night(spark, sf), LEAST))
+    arms = F.explode(F.array(F.struct(F.lit("none").alias("arm"), *(F.col(c).alias(f"o{c}") for c in "bgr")), F.struct(F.lit("gamma").alias("arm"), *(_lifted(c).alias(f"o{c}") for c in "bgr"))))
+    out = px.select("frame_id", "y", "x", "flat", arms.alias("a")).select("frame_id", "y", "x", "flat", "a.*")
+    n = Q.colour_noise(out, ["frame_id", "arm"], ["ob", "og", "or"], "flat")
+    return n.select("frame_id", "arm", F.round("luma_noise", 3).alias("luma_noise"), F.round("chroma_noise", 3).alias("chroma_noise"))
+
+
+def tile_equalised(spark: SparkSession, sf: str) -> DataFrame:
+    return E.tile_equalised(_whole(spark, sf), TILES).select("frame_id", "y", "x", "o")
+
+
+def _whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Planes that tiles and cells divide, and that are larger than squares of cells."""
+    return _night(spark, sf).where((F.col("height") % 16 == 0) & (F.col("width") % 16 == 0))
+
+
+def contrast_gain(spark: SparkSession, sf: str) -> DataFrame:
+    """What arms add to contrast beyond an even gamma: none by a gamma, some by tiles."""
+    px = E.tile_equalised(_whole(spark, sf), TILES)
+    arms = F.explode(F.array(F.struct(F.lit("gamma").alias("arm"), _lifted("l").alias("o")), F.struct(F.lit("tiles").alias("arm"), F.col("o").alias("o"))))
+    gains = Q.contrast_gains(px.select("frame_id", "y", "x", "height", "width", "l", arms.alias("a")).select("frame_id", "y", "x", "height", "width", "l", "a.*"), LEAST)
+    return gains.select("frame_id", "arm", F.round("contrast_gain", 3).alias("contrast_gain"), F.round("ref_gamma", 4).alias("ref_gamma"))
+
+
+def structural_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Night planes, as they are and brightened, against those by day."""
+    day = V.mosaics(spark, sf).select("frame_id", "y", "x", F.col("l").alias("b"))
+    arms = F.explode(F.array(F.struct(F.lit("none").alias("arm"), F.col("l").alias("a")), F.struct(F.lit("gamma").alias("arm"), _lifted("l").alias("a"))))
+    both = _night(spark, sf).select("frame_id", "y", "x", "height", "width", arms.alias("v")).select("frame_id", "y", "x", "height", "width", "v.*").join(day, ["frame_id", "y", "x"])
+    return Q.similarity(both, ["frame_id", "arm"]).select("frame_id", "arm", F.round("ssim", 4).alias("ssim"), F.round("psnr", 3).alias("psnr"))
+
+
+def guided_filter(spark: SparkSession, sf: str) -> DataFrame:
+    px = _whole(spark, sf).withColumn("v", F.col("l") / 255)
+    return E.guided(px, "v").select("frame_id", "y", "x", F.round("smooth", 4).alias("smooth"))
+
+
+def light_divided(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean channels of planes divided by the light on them, and how many pixels stay as they are."""
+    out = E.divided_by_light(V.coloured(_whole(spark, sf)))
+    return out.groupBy("frame_id").agg(*(F.round(F.avg(f"o{c}"), 3).alias(c) for c in ("b", "g", "r")), F.count_if(F.col("ob") == F.col("b")).alias("same"))
+
+
+def darkened_planes(spark: SparkSession, sf: str) -> DataFrame:
+    return E.darkened(V.coloured(V.mosaics(spark, sf)), ["b", "g", "r"]).select("frame_id", "y", "x", "db", "dg", "dr")
+
+
+QUERIES = {f.__name__: f for f in (
+    light_blobs, luma_probe, light_source_verdict, image_luma, flat_dark_masks, noise_absolute, tile_equalised, contrast_gain, structural_similarity, guided_filter, light_divided, darkened_planes)}
 
 #: Pixels reach those lit around them; a blob's name is the first in reading order that reaches a pixel.
 REACH = """lit as (select frame_id, y, x from {source} where l >= 235),
@@ -63,6 +132,59 @@ PROBE = """p as (select frame_id, avg(l) as mean, 100 * avg((l <= 80)::int) as d
     g as (select frame_id, max(area) as big, count(*) as blobs from blob group by 1),
     probe as (select p.frame_id, mean, dark, crush, lamp, coalesce(100 * big / n, 0) as big, coalesce(blobs, 0) as blobs from p left join g using (frame_id))"""
 
+
+
+def _reflected(place: str, size: str) -> str:
+    return f"case when {place} < 0 then -({place}) when {place} >= {size} then 2 * ({size} - 1) - ({place}) else {place} end"
+
+
+def _around(name: str, source: str, key: str, values: dict[str, str], k: int, out: str, weight: str = "1") -> str:
+    """For each pixel of source, out of weighted sums of values of its square of k by k, borders mirrored: down columns, then along rows."""
+    span, same = f"range({-(k // 2)}, {k - k // 2})", " and ".join(f"q.{c} = p.{c}" for c in key.split(", "))
+    head = ", ".join(f"p.{c}" for c in key.split(", "))
+    down = ", ".join(f"sum({weight.format(d='p.d')} * ({e})) as {n}" for n, e in values.items())
+    along = ", ".join(f"sum({weight.format(d='p.d')} * q.{n}) as {n}" for n in values)
+    return f"""{name}_d as (select {head}, p.y, p.x, any_value(p.height) as height, any_value(p.width) as width, {down}
+            from (select *, {_reflected("y + d", "height")} as at_y from {source} cross join (select unnest({span}) as d)) p join {source} q on {same} and q.y = p.at_y and q.x = p.x group by all),
+        {name} as (select {key}, y, x, height, width, {out} from (select {head}, p.y, p.x, any_value(p.height) as height, any_value(p.width) as width, {along}
+            from (select *, {_reflected("x + d", "width")} as at_x from {name}_d cross join (select unnest({span}) as d)) p join {name}_d q on {same} and q.x = p.at_x and q.y = p.y group by all))"""
+
+
+SD = "sqrt(greatest(0, {v}2 / 81 - {v} / 81 * {v} / 81))"
+NIGHT = f"""{V.PIXELS}, {V.MOSAICS}, {V.NIGHTS.format(source="v_mosaics")}, z as (select frame_id, max(y) + 1 as height, max(x) + 1 as width from v_nights group by 1), night as (select n.*, height, width from v_nights n join z using (frame_id))"""
+DARK = """dk as (select frame_id, case when n >= 200 then l between 3 and 80 else l <= p60 end as dark, y, x, l from {source} join (select frame_id, count(*) filter (l between 3 and 80) as n, quantile_cont(l, 0.6) as p60 from {source} group by 1) using (frame_id))"""
+FLAT = f"""{DARK.format(source="night")}, {_around("dev", "night", "frame_id", {"s": "q.l", "s2": "q.l * q.l"}, 9, SD.format(v="s") + " as sd")},
+    f0 as (select dk.*, sd, count(*) filter (dark and sd <= 2) over (partition by frame_id) as n from dk join dev using (frame_id, y, x)),
+    f1 as (select f0.*, dark and sd <= case when n >= 200 then 2 else med end as flat from f0 join (select frame_id, quantile_cont(sd, 0.5) as med from f0 where dark group by 1) using (frame_id)),
+    f2 as (select p.frame_id, p.y, p.x, bool_and(q.flat) as flat from f1 p join f1 q on q.frame_id = p.frame_id and abs(q.y - p.y) <= 1 and abs(q.x - p.x) <= 1 group by 1, 2, 3),
+    masks as (select frame_id, y, x, l, dark, case when count(*) filter (f2.flat) over (partition by frame_id) >= 200 then f2.flat else dark end as flat from f2 join dk using (frame_id, y, x))"""
+LIN = lambda c: f"case when {c} <= 0.04045 * 255 then {c} / 255 / 12.92 else pow(({c} / 255 + 0.055) / 1.055, 2.4) end"
+SHAPE = lambda t: f"case when {t} > 0.008856 then pow({t}, 1.0::double / 3) else 7.787::double * {t} + 16::double / 116 end"
+WHOLE = lambda c: f"least(255.0::double, greatest(0.0::double, floor(round({c}, 6) + 0.5::double)))"
+LIFT = "floor(round(255 * pow({c} / 255, 0.45), 6))"
+WHOLE_NIGHT = f"{NIGHT}, wn as (select * from night where height % 16 = 0 and width % 16 = 0)"
+#: The curve of each tile, level by level, and the four that are nearest to a pixel.
+EQUAL = """tl as (select *, y * 4 // height as ty, x * 4 // width as tx, height * width / 16 as area from wn),
+    hs as (select frame_id, ty, tx, any_value(area) as area, greatest(1, floor(2.0 * any_value(area) / 256)) as most, list(l) as ls from tl group by 1, 2, 3),
+    lv as (select h.frame_id, ty, tx, area, most, v, coalesce(n, 0) as n from hs h cross join (select unnest(range(0, 256)) as v) left join (select frame_id, ty, tx, l as v, count(*) as n from tl group by 1, 2, 3, 4) c using (frame_id, ty, tx, v)),
+    ov as (select *, sum(least(n, most)) over (partition by frame_id, ty, tx order by v) as upto, sum(greatest(n - most, 0)) over (partition by frame_id, ty, tx) as extra from lv),
+    cv as (select frame_id, ty, tx, v, round_even(round((upto + floor(extra / 256) * (v + 1) + case when extra % 256 > 0 then least(extra % 256, floor(v / greatest(1, floor(256 / (extra % 256)))) + 1) else 0 end) * 255 / area, 6), 0) as c from ov),
+    pl as (select *, (y + 0.5::double) / (height / 4) - 0.5 as py, (x + 0.5::double) / (width / 4) - 0.5 as px from wn),
+    eq as (select pl.frame_id, pl.y, pl.x, any_value(pl.l) as l, any_value(pl.height) as height, any_value(pl.width) as width,
+            floor(round(255 * pow(least(255, greatest(0, round_even(round(sum(c * (case when i = 0 then 1 - (py - floor(py)) else py - floor(py) end) * (case when j = 0 then 1 - (px - floor(px)) else px - floor(px) end)), 6), 0))) / 255, 0.75), 6)) as o
+        from pl cross join (select unnest([0, 1]) as i) cross join (select unnest([0, 1]) as j) join cv on cv.frame_id = pl.frame_id and cv.ty = greatest(0, least(3, floor(py) + i)) and cv.tx = greatest(0, least(3, floor(px) + j)) and cv.v = pl.l group by 1, 2, 3)"""
+#: A line of the guide in each cell of four by four pixels, and the four that are nearest to a pixel.
+GUIDE = """ce as (select frame_id, y // 4 as y, x // 4 as x, avg({v}) as v, any_value(height) // 4 as height, any_value(width) // 4 as width from {source} group by 1, 2, 3), {around},
+    ln as (select frame_id, y, x, s2 / (s2 + 0.001) as a, m - s2 / (s2 + 0.001) * m as b from (select *, m2 - m * m as s2 from cm)),
+    gp as (select *, {v} as v, (y + 0.5::double) / 4 - 0.5 as py, (x + 0.5::double) / 4 - 0.5 as px from {source}),
+    sm as (select gp.frame_id, gp.y, gp.x, sum(w * ln.a) * any_value(gp.v) + sum(w * ln.b) as smooth from (
+            select gp.*, greatest(0, least(height // 4 - 1, floor(py) + i)) as gy, greatest(0, least(width // 4 - 1, floor(px) + j)) as gx,
+                (case when i = 0 then 1 - (py - floor(py)) else py - floor(py) end) * (case when j = 0 then 1 - (px - floor(px)) else px - floor(px) end) as w
+            from gp cross join (select unnest([0, 1]) as i) cross join (select unnest([0, 1]) as j)) gp join ln on ln.frame_id = gp.frame_id and ln.y = gp.gy and ln.x = gp.gx group by 1, 2, 3)"""
+CELLS = _around("cm", "ce", "frame_id", {"s": "q.v", "s2": "q.v * q.v"}, 4, "s / 16 as m, s2 / 16 as m2")
+NOISE = lambda c: f"sqrt(-2 * ln((('0x' || substr(md5('0:' || frame_id || ':' || y || ':' || x || ':{c}'), 1, 8))::bigint + 0.5::double) / 4294967296)) * cos(2 * pi() * (('0x' || substr(md5('0:' || frame_id || ':' || y || ':' || x || ':{c}'), 9, 8))::bigint + 0.5::double) / 4294967296)"
+DARKER = lambda c: f"floor(round(255 * pow(least(1, greatest(0, (e{c} + {NOISE(c)} * sqrt(e{c} + 16)) / 3000)), 1.0::double / 2.2), 6)) as d{c}"
+
 ORACLES = {
     "light_blobs": f"""with recursive {V.PIXELS}, {V.MOSAICS}, {REACH.format(source="v_mosaics")} select frame_id, cast(name // 100000 as int) as y, cast(name % 100000 as int) as x, area, top, bottom, "left", "right" from blob""",
     "luma_probe": f"""with recursive {V.PIXELS}, {V.MOSAICS}, {REACH.format(source="v_mosaics")}, {PROBE.format(source="v_mosaics")}
@@ -76,4 +198,37 @@ ORACLES = {
         q as (select frame_id, floor(avg(l) + 0.5) as l from k group by frame_id, y // 4, x // 4)
         select frame_id, round(avg(k.l), 3) as mean, cast(max(b) as int) as blue, cast(max(g) as int) as green, cast(max(r) as int) as red, any_value(s.blocks) as blocks, any_value(s.quarter_mean) as quarter_mean
         from k join (select frame_id, count(*) as blocks, round(avg(l), 3) as quarter_mean from q group by 1) s using (frame_id) group by frame_id""",
+    "flat_dark_masks": f"with {NIGHT}, {FLAT} select frame_id, count(*) filter (dark) as dark, count(*) filter (flat) as flat, round(avg(l) filter (flat), 3) as level from masks group by 1",
+    "noise_absolute": f"""with {NIGHT}, {FLAT}, {V.COLOURED.format(source="night")},
+        ch as (select frame_id, 'none' as arm, y, x, height, width, b, g, r from v_coloured union all select frame_id, 'gamma', y, x, height, width, {LIFT.format(c="b")}, {LIFT.format(c="g")}, {LIFT.format(c="r")} from v_coloured),
+        li as (select *, {LIN("b")} as lb, {LIN("g")} as lg, {LIN("r")} as lr from ch),
+        xyz as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as vx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb as vy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 as vz from li),
+        sh as (select *, {SHAPE("vx")} as fx, {SHAPE("vy")} as fy, {SHAPE("vz")} as fz from xyz),
+        lab as (select frame_id, arm, y, x, height, width, {WHOLE("(116 * fy - 16) * 2.55")} as l, {WHOLE("500 * (fx - fy) + 128")} as a, {WHOLE("200 * (fy - fz) + 128")} as b from sh),
+        {_around("ker", "lab", "frame_id, arm", {v: f"q.{v}" for v in "lab"}, 3, "abs(l) as l, abs(a) as a, abs(b) as b", "(1 - 3 * ({d} = 0)::int)")},
+        n as (select frame_id, arm, avg(ker.l) * sqrt(pi() / 2) / 6 as l, avg(ker.a) * sqrt(pi() / 2) / 6 as a, avg(ker.b) * sqrt(pi() / 2) / 6 as b from ker join masks using (frame_id, y, x) where flat group by 1, 2)
+        select frame_id, arm, round(l, 3) as luma_noise, round(sqrt(a * a + b * b) / sqrt(2), 3) as chroma_noise from n""",
+    "tile_equalised": f"with {WHOLE_NIGHT}, {EQUAL} select frame_id, y, x, o from eq",
+    "contrast_gain": f"""with recursive {WHOLE_NIGHT}, {EQUAL}, {DARK.format(source="wn")},
+        ar as (select frame_id, 'tiles' as arm, y, x, height, width, l, o from eq union all select frame_id, 'gamma', y, x, height, width, l, {LIFT.format(c="l")} from wn),
+        hl as (select frame_id, arm, list(l) as ls, avg(o) as goal from ar group by 1, 2),
+        bi(frame_id, arm, ls, goal, lo, hi, k) as (select frame_id, arm, ls, goal, 0.05::double, 6.0::double, 0 from hl
+            union all select frame_id, arm, ls, goal, case when dim then lo else m end, case when dim then m else hi end, k + 1 from (select *, (lo + hi) / 2 as m, list_avg(list_transform(ls, lambda v: pow(v / 255, (lo + hi) / 2) * 255)) < goal as dim from bi where k < 30)),
+        rf as (select ar.*, (lo + hi) / 2 as gamma, 255 * pow(l / 255, (lo + hi) / 2) as ref from ar join bi using (frame_id, arm) where k = 30),
+        {_around("dv", "rf", "frame_id, arm", {"s": "q.o", "s2": "q.o * q.o", "r": "q.ref", "r2": "q.ref * q.ref"}, 9, SD.format(v="s") + " as so, " + SD.format(v="r") + " as sr")},
+        cg as (select frame_id, arm, avg(so) / (avg(sr) + 1e-6) as gain from dv join dk using (frame_id, y, x) where dark group by 1, 2)
+        select g.frame_id, g.arm, round(gain, 3) as contrast_gain, round(gamma, 4) as ref_gamma from (select frame_id, arm, any_value(gamma) as gamma from rf group by 1, 2) g left join cg using (frame_id, arm)""",
+    "structural_similarity": f"""with {NIGHT}, pr as (select frame_id, arm, y, x, height, width, case when arm = 'none' then n.l else {LIFT.format(c="n.l")} end as a, m.l as b from night n join v_mosaics m using (frame_id, y, x) cross join (select unnest(['none', 'gamma']) as arm)),
+        {_around("mo", "pr", "frame_id, arm", {"sa": "q.a", "sb": "q.b", "saa": "q.a * q.a", "sbb": "q.b * q.b", "sab": "q.a * q.b"}, 7, "sa / 49 as ma, sb / 49 as mb, (saa - sa * sa / 49) / 48 as va, (sbb - sb * sb / 49) / 48 as vb, (sab - sa * sb / 49) / 48 as vab")},
+        s as (select frame_id, arm, avg((2 * ma * mb + 6.5025) * (2 * vab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) as ssim from mo where y between 3 and height - 4 and x between 3 and width - 4 group by 1, 2),
+        e as (select frame_id, arm, avg((a - b) * (a - b)) as e from pr group by 1, 2)
+        select e.frame_id, e.arm, round(ssim, 4) as ssim, case when e > 0 then round(10 * log10(65025 / e), 3) end as psnr from e left join s using (frame_id, arm)""",
+    "guided_filter": f"""with {WHOLE_NIGHT}, {GUIDE.format(source="wn", v="l / 255", around=CELLS)} select frame_id, y, x, round(smooth, 4) as smooth from sm""",
+    "light_divided": f"""with {WHOLE_NIGHT}, {V.COLOURED.format(source="wn")}, {GUIDE.format(source="v_coloured", v="greatest(b, g, r) / 255", around=CELLS)},
+        t as (select c.*, pow(least(1, greatest(0.15, smooth)), 0.8) as light from v_coloured c join sm using (frame_id, y, x)),
+        d as (select frame_id, b as was, least(255, floor(round(b / light, 6))) as b, least(255, floor(round(g / light, 6))) as g, least(255, floor(round(r / light, 6))) as r from t)
+        select frame_id, round(avg(b), 3) as b, round(avg(g), 3) as g, round(avg(r), 3) as r, count(*) filter (b = was) as same from d group by 1""",
+    "darkened_planes": f"""with {V.PIXELS}, {V.MOSAICS}, {V.COLOURED.format(source="v_mosaics")},
+        e as (select *, pow(b / 255, 2.2) * 0.35 * 3000 as eb, pow(g / 255, 2.2) * 0.35 * 3000 as eg, pow(r / 255, 2.2) * 0.35 * 3000 as er from v_coloured)
+        select frame_id, y, x, {", ".join(DARKER(c) for c in "bgr")} from e""",
 }

@@ -67,6 +67,12 @@ def nights(px: DataFrame) -> DataFrame:
     return px.withColumn("l", F.when(F.col("l") >= 235, F.col("l")).otherwise(F.floor(F.col("l") * (2 + F.col("frame_id") % 3 * 3) / 10).cast("double")))
 
 
+def coloured(px: DataFrame) -> DataFrame:
+    """Planes in colour: blue is the level, green and red are lower, by patterns of their own."""
+    l, y, x = F.col("l"), F.col("y"), F.col("x")
+    return px.withColumns({"b": l, "g": F.floor(l * 8 / 10).cast("double") + (x * 13 + y * 7) % 20, "r": F.floor(l * 6 / 10).cast("double") + (x * 5 + y * 17) % 40})
+
+
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Luma planes whole: frame_id and luma, 64 levels row by row."""
     e = table(spark, sf_dir, "embeddings")
@@ -97,3 +103,5 @@ MOSAICS = """v_mosaics as (
 select frame_id // 16 as frame_id, cast((frame_id % 16) // 4 * 8 + y as int) as y, cast((frame_id % 16) % 4 * 8 + x as int) as x, l, frame_id as vec_id from v_pixels)"""
 NIGHTS = """v_nights as (
 select frame_id, y, x, case when l >= 235 then l else floor(l * (2 + frame_id % 3 * 3) / 10) end as l from {source})"""
+COLOURED = """v_coloured as (
+select *, l as b, floor(l * 8 / 10) + (x * 13 + y * 7) % 20 as g, floor(l * 6 / 10) + (x * 5 + y * 17) % 40 as r from {source})"""
