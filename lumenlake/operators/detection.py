@@ -104,6 +104,38 @@ def average_precision(truth: DataFrame, preds: DataFrame, matches: DataFrame, po
     return best.groupBy("cls").agg((F.sum("p") / points).alias("ap"))
 
 
+#: The ten overlaps of a mean average precision.
+TEN = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
+
+
+def matches_by_overlap(pairs: DataFrame, thresholds: Sequence[float] = TEN) -> DataFrame:
+    """Matches (t, image_id, gt, pred, cls, conf, iou) at each least overlap t of overlaps() at the least of them: one join serves all."""
+    steps = F.explode(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= F.col("iou")))
+    dealt = pairs.withColumn("t", steps).withColumn("image_id", F.struct("t", "image_id"))
+    return greedy_matches(dealt).select("image_id.t", "image_id.image_id", "gt", "pred", "cls", "conf", "iou")
+
+
+def mean_average_precision(truth: DataFrame, preds: DataFrame, pairs: DataFrame, thresholds: Sequence[float] = TEN, points: int = 101) -> DataFrame:
+    """Per class: map50_95, the mean of its average precisions over thresholds; map50, and precision and recall where F1 at the first threshold is greatest.
+
+    pairs are overlaps() at the first threshold. A class without a match has 0 for both
+    means and null precision and recall. Curves have a row for each class, threshold and
+    confidence. Equal F1 go to the higher confidence.
+    """
+    n = truth.groupBy("cls").agg(F.count(F.lit(1)).alias("gt"))
+    tp = matches_by_overlap(pairs, thresholds).groupBy("cls", "t", "conf").agg(F.count(F.lit(1)).alias("tp"))
+    made = preds.groupBy("cls", "conf").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
+    run = W.partitionBy("cls", "t").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
+    sums = made.join(tp, ["cls", "t", "conf"], "left").na.fill(0, ["tp"]).select("cls", "t", "conf", F.sum("tp").over(run).alias("tp"), F.sum("n").over(run).alias("made"))
+    curve = sums.join(n, "cls").select("cls", "t", "conf", (F.col("tp") / F.col("gt")).alias("recall"), (F.col("tp") / F.col("made")).alias("precision"))
+    level = F.explode(F.sequence(F.lit(0), F.floor(F.col("recall") * (points - 1)).cast("int"))).alias("level")
+    best = curve.select("cls", "t", "precision", level).groupBy("cls", "t", "level").agg(F.max("precision").alias("p"))
+    means = best.groupBy("cls", "t").agg((F.sum("p") / points).alias("ap")).groupBy("cls").agg((F.sum("ap") / len(thresholds)).alias("map50_95"), F.max(F.when(F.col("t") == thresholds[0], F.col("ap"))).alias("map50"))
+    f1 = 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))
+    point = curve.where((F.col("t") == thresholds[0]) & (F.col("recall") > 0)).groupBy("cls").agg(F.max(F.struct(F.round(f1, 9).alias("f1"), "conf", "precision", "recall")).alias("p"))
+    return n.select("cls").join(means, "cls", "left").join(point, "cls", "left").select("cls", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("map50_95", "map50")), "p.precision", "p.recall")
+
+
 def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     """For each box of a the box of b in its image with the least L1 distance of corners; not exclusive."""
     x, y = a.alias("x"), b.alias("y")

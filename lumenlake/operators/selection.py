@@ -19,16 +19,16 @@ def name_number(stem: Column) -> tuple[Column, Column]:
     return F.regexp_replace(stem, r"\d+$", ""), F.when(digits == "", -1).otherwise(digits.cast("long"))
 
 
-def blocks(numbered: DataFrame, key: Sequence[str], number: str, gap: int = 30) -> DataFrame:
-    """Gaps and islands: runs of numbers of one key whose steps are at most gap; negative numbers stand alone.
+def in_blocks(numbered: DataFrame, key: Sequence[str], number: str, gap: int = 30, ties: Sequence[str] = ()) -> DataFrame:
+    """numbered with block, the running number of a row's island among those of its key: steps of numbers inside are at most gap.
 
-    Returns key, block (running number), first, last, n. Numbers are looked at in buckets of
-    SPAN; each bucket gets the last number before it and how many blocks have begun there, so
-    that a key which holds a whole table spreads over tasks.
+    Negative numbers stand alone; rows of one number go by ties. Numbers are looked at in
+    buckets of SPAN; each bucket gets the last number before it and how many blocks have
+    begun there, so that a key which holds a whole table spreads over tasks.
     """
     dealt = numbered.withColumn("__bucket", F.floor(F.col(number) / SPAN))
     before = W.partitionBy(*key).orderBy("__bucket")
-    inside = W.partitionBy(*key, "__bucket").orderBy(number)
+    inside = W.partitionBy(*key, "__bucket").orderBy(number, *ties)
 
     def joined(rows: DataFrame, ends: DataFrame) -> DataFrame:
         names = [f"__of{i}" for i in range(len(key) + 1)]
@@ -40,7 +40,12 @@ def blocks(numbered: DataFrame, key: Sequence[str], number: str, gap: int = 30)
     flagged = joined(dealt, last).withColumn("__new", F.when(step.isNull() | (step > gap) | (F.col(number) < 0), 1).otherwise(0)).drop("__prev")
     begun = flagged.groupBy(*key, "__bucket").agg(F.sum("__new").alias("__own")).select(*key, "__bucket", F.coalesce(F.sum("__own").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     running = joined(flagged, begun).withColumn("block", F.col("__start") + F.sum("__new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    return running.groupBy(*key, "block").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"))
+    return running.drop("__bucket", "__new", "__start")
+
+
+def blocks(numbered: DataFrame, key: Sequence[str], number: str, gap: int = 30) -> DataFrame:
+    """Gaps and islands: key, block (running number), first, last and n of every island of in_blocks()."""
+    return in_blocks(numbered, key, number, gap).groupBy(*key, "block").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from lumenlake.functions import geometry as G
 from lumenlake.functions import stats as S
 from lumenlake.operators import annotations as A
 from lumenlake.operators import detection as D
+from lumenlake.operators import segments as L
 from lumenlake.plans import views as V
 
 
@@ -92,6 +93,20 @@ def average_precision(spark: SparkSession, sf: str) -> DataFrame:
     return D.average_precision(*_matches(spark, sf)).select("cls", F.round("ap", 5).alias("ap"))
 
 
+def mean_average_precision(spark: SparkSession, sf: str) -> DataFrame:
+    truth, preds = _truth(spark, sf), _preds(spark, sf)
+    return D.mean_average_precision(truth, preds, D.overlaps(truth, preds, D.TEN[0])).select("cls", *(F.round(c, 5).alias(c) for c in ("map50_95", "map50", "precision", "recall")))
+
+
+def segment_matching(spark: SparkSession, sf: str) -> DataFrame:
+    """Lower edges of boxes as segments, rising by an eighth of the box; predicted ones rise by their class."""
+    x1, y1, x2, y2 = (F.col(c) for c in D.BOX)
+    truth = _truth(spark, sf).select("image_id", "gt", x1.alias("x1"), y2.alias("y1"), x2.alias("x2"), (y2 - (y2 - y1) / 8).alias("y2"))
+    found = _preds(spark, sf).where(x2 > x1).select("image_id", "pred", x1.alias("x1"), y2.alias("y1"), x2.alias("x2"), (y2 - (y2 - y1) * F.col("cls") / 16).alias("y2"))
+    m = L.segment_matches(L.segment_pairs(truth, found))
+    return m.select("image_id", "gt", "pred", F.round("overlap", 3).alias("overlap"), F.round("y_error", 3).alias("y_error"))
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """Six detectors: predictions of an image belong to the run that its order's key names."""
     hits = D.overlaps(_truth(spark, sf), _preds(spark, sf).filter(F.col("conf") >= D.CONF), D.NEAR)
@@ -122,7 +137,7 @@ def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    iou_pairs, nearest_box_parity, fp_rate_by_image, max_conf_curve, greedy_match, width_bin_recall, conf_sweep, fn_taxonomy, fp_taxonomy, average_precision, benchmark_pivot, baseline_deltas, regression_gate)}
+    iou_pairs, nearest_box_parity, fp_rate_by_image, max_conf_curve, greedy_match, width_bin_recall, conf_sweep, fn_taxonomy, fp_taxonomy, average_precision, mean_average_precision, segment_matching, benchmark_pivot, baseline_deltas, regression_gate)}
 
 T = f"""with recursive {V.BOXES}, {V.PREDS},
 gt as (select image_id, box_no as gt, case category_id when 1 then 1 else 2 end as cls, x1, y1, x2, y2 from v_clamped where x2 - x1 > 1 and y2 - y1 > 1),
@@ -172,4 +187,25 @@ ORACLES = {
         fr as (select 'run' || (o_orderkey % 6) as run, round(100 * count(*) filter (o_orderkey in (select image_id from p where conf >= 0.25 and cls = 2)) / count(*), 1) as fp_rate from orders group by 1),
         bs as (select * from pr join fr using (run)), z as (select recall, fp_rate from bs where run = 'run0')
         select bs.run, bs.recall, bs.fp_rate, round(bs.recall - z.recall, 4) as d_recall, round(bs.fp_rate - z.fp_rate, 4) as d_fp_rate, round(bs.recall - z.recall, 4) >= 0 and round(bs.fp_rate - z.fp_rate, 4) <= 0 as passed from bs, z""",
+    "mean_average_precision": f"""{T}, th as (select unnest({list(D.TEN)}::double[]) as t),
+        q as (select t, image_id, gt, pred, cls, conf, row_number() over (partition by t, image_id order by conf desc, pred, iou desc, gt) as k from u, th where gt_cls = cls and iou >= t),
+        r(t, image_id, k, gts, ps) as (select distinct t, image_id, 0::bigint, []::bigint[], []::bigint[] from q
+            union all select q.t, q.image_id, q.k, case when list_contains(gts, q.gt) or list_contains(ps, q.pred) then gts else list_append(gts, q.gt) end, case when list_contains(gts, q.gt) or list_contains(ps, q.pred) then ps else list_append(ps, q.pred) end
+            from r join q on q.t = r.t and q.image_id = r.image_id and q.k = r.k + 1),
+        l as (select t, image_id, arg_max(ps, k) as ps from r group by 1, 2), m as (select t, image_id, unnest(ps) as pred from l),
+        h as (select th.t, p.cls, p.conf, count(*) as n, count(m.pred) as tp from p cross join th left join m on m.t = th.t and m.image_id = p.image_id and m.pred = p.pred group by 1, 2, 3),
+        c as (select t, cls, conf, sum(tp) over w as tp, sum(n) over w as made from h window w as (partition by t, cls order by conf desc rows unbounded preceding)), g as (select cls, count(*) as gt from gt group by 1),
+        e as (select t, cls, conf, tp / gt as recall, tp / made as prec from c join g using (cls)),
+        b as (select t, cls, level, max(prec) as p from e, range(101) x(level) where level <= floor(recall * 100) group by 1, 2, 3), ap as (select t, cls, sum(p) / 101 as ap from b group by 1, 2),
+        f as (select cls, prec, recall, row_number() over (partition by cls order by round(2 * prec * recall / (prec + recall), 9) desc, conf desc) as k from e where t = 0.5 and recall > 0)
+        select g.cls, round(coalesce(sum(ap) / 10, 0), 5) as map50_95, round(coalesce(max(ap) filter (t = 0.5), 0), 5) as map50, round(any_value(f.prec), 5) as precision, round(any_value(f.recall), 5) as recall
+        from g left join ap using (cls) left join f on f.cls = g.cls and f.k = 1 group by 1""",
+    "segment_matching": f"""{T}, sa as (select image_id, gt, x1, x2, y2 as ya, y2 - (y2 - y1) / 8 as yb from gt), sb as (select image_id, pred, x1, x2, y2 as ya, y2 - (y2 - y1) * cls / 16 as yb from p where x2 > x1),
+        d as (select image_id, gt, pred, least(a.x2, b.x2) - greatest(a.x1, b.x1) as ov, abs((a.ya + a.yb) / 2 - (b.ya + b.yb) / 2) as err, abs(degrees(atan2(a.yb - a.ya, a.x2 - a.x1)) - degrees(atan2(b.yb - b.ya, b.x2 - b.x1))) as turn from sa a join sb b using (image_id)),
+        q as (select *, row_number() over (partition by image_id order by ov desc, pred, err, gt) as k from d where ov >= 30 and err <= 10 and least(turn, 180 - turn) <= 15),
+        r(image_id, k, gts, ps) as (select distinct image_id, 0::bigint, []::bigint[], []::bigint[] from q
+            union all select q.image_id, q.k, case when list_contains(gts, q.gt) or list_contains(ps, q.pred) then gts else list_append(gts, q.gt) end, case when list_contains(gts, q.gt) or list_contains(ps, q.pred) then ps else list_append(ps, q.pred) end
+            from r join q on q.image_id = r.image_id and q.k = r.k + 1),
+        l as (select image_id, arg_max(gts, k) as gts, arg_max(ps, k) as ps from r group by 1), m as (select image_id, unnest(gts) as gt, unnest(ps) as pred from l)
+        select image_id, gt, pred, round(ov, 3) as overlap, round(err, 3) as y_error from m join d using (image_id, gt, pred)""",
 }

@@ -94,6 +94,20 @@ def motion_denoise(spark: SparkSession, sf: str) -> DataFrame:
     return T.denoised(V.planes(spark, sf), SIDE).select("recording", "frame_id", F.round(mean("luma"), 3).alias("mean_in"), F.round(mean("out"), 3).alias("mean_out"))
 
 
+def motion_denoise_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Denoising that begins anew where a recording has a gap of over 25 frame numbers."""
+    runs = T.split_at_gaps(V.planes(spark, sf), "frame_id", 25).drop("seq")
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    return T.denoised(runs, SIDE).select("recording.recording", "recording.run", "frame_id", F.round(mean("luma"), 3).alias("mean_in"), F.round(mean("out"), 3).alias("mean_out"))
+
+
+def two_path_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed frames and held detections of runs between gaps of six hours."""
+    frames = V.frames(spark, sf).withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    p = T.two_paths(frames, "at", 6 * 3600)
+    return p.select("recording", "run", "frame_id", "seq", F.round("shown", 3).alias("shown"), "held")
+
+
 def tone_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """Brightened planes whose tone curve is smoothed over the recording, from every second pixel of either direction."""
     px = _px(spark, sf).withColumn("o", F.floor(255 * F.pow(F.col("l") / 255, F.lit(ARMS.GAMMA))).cast("double"))
@@ -225,7 +239,7 @@ def stream_held_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     pixel_histogram, agcwd_curve, local_std_interior, dark_mask_stats, glare_core, saturation_rates, tone_curve_bins, gamma_match, frame_diff_flicker, hold_last_detection, detect_stride,
-    flicker_amplification, static_mask_sigma, iir_smoothing, tone_smoothing, motion_denoise, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
+    flicker_amplification, static_mask_sigma, iir_smoothing, tone_smoothing, motion_denoise, motion_denoise_runs, two_path_sequence, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
 
 X = f"with {V.PIXELS}"
 FR = f"with {V.FRAMES}"
@@ -333,3 +347,15 @@ ORACLES |= {
     "stream_ema_state": ORACLES["iir_smoothing"].replace("select recording, frame_id, round(ema, 3) as ema from r", "select recording, max(seq) as frames, round(arg_max(ema, seq), 3) as ema from r group by 1"),
     "stream_held_detection": f"{FR} select recording, arg_max(detection, seq) filter (detection is not null) as held from v_frames group by 1",
 }
+ORACLES |= {
+    "motion_denoise_runs": ORACLES["motion_denoise"].replace(NUMBERED, """g as (select vec_id as frame_id, label, case when vec_id - lag(vec_id) over (partition by label order by vec_id) <= 25 then 0 else 1 end as fresh from embeddings),
+        w as (select frame_id, {'recording': label, 'run': (sum(fresh) over (partition by label order by frame_id))::int} as recording from g),
+        n as (select *, row_number() over (partition by recording order by frame_id) as seq from w)""").replace("select recording, frame_id, round(list_avg(luma)", "select recording.recording as recording, recording.run as run, frame_id, round(list_avg(luma)"),
+    "two_path_sequence": f"""with recursive {V.FRAMES}, g as (select *, case when epoch(ts)::bigint - lag(epoch(ts)::bigint) over (partition by recording order by ts, frame_id) <= 21600 then 0 else 1 end as fresh from v_frames),
+        w as (select recording, frame_id, ts, mean_luma, detection, (sum(fresh) over (partition by recording order by ts, frame_id rows unbounded preceding))::int as run from g),
+        n as (select *, row_number() over (partition by recording, run order by ts, frame_id) as nr from w),
+        a as (select 1 - exp(-2 * pi() * 0.5 / 16) as a),
+        e as (select recording, run, nr, frame_id, mean_luma as ema from n where nr = 1 union all select n.recording, n.run, n.nr, n.frame_id, a * n.mean_luma + (1 - a) * e.ema from e join n on n.recording = e.recording and n.run = e.run and n.nr = e.nr + 1, a),
+        h as (select frame_id, last_value(case when (nr - 1) % 3 = 0 then detection end ignore nulls) over (partition by recording, run order by nr rows unbounded preceding) as held from n)
+        select recording, run, frame_id, nr::int as seq, round(ema, 3) as shown, held from e join h using (frame_id)""",
+}
