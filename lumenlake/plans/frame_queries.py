@@ -183,29 +183,6 @@ def gate_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return med.select("arm", "size", *(S.gate_verdict(ms, r).alias(r) for r in ("band", "double", "plain", "near")))
 
 
-def resolution_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
-    """How far the core metric moves with resolution, and whether the verdict of the gate turns, with borderline and without."""
-    med = _timings(spark, sf).groupBy("arm", "size").agg(F.percentile("ms", 0.5).alias("ms"), F.avg("core").alias("core"))
-    judged = med.withColumn("verdict", S.gate_verdict(F.col("ms"), "band"))
-    firm = F.when(F.col("verdict") != "borderline", F.col("verdict"))
-    return judged.groupBy("arm").agg(F.round(F.max("core") - F.min("core"), 4).alias("core_range"), (F.size(F.collect_set("verdict")) > 1).alias("verdict_flips"), (F.size(F.collect_set(firm)) > 1).alias("gate_flips"))
-
-
-def arm_winners(spark: SparkSession, sf: str) -> DataFrame:
-    """Arms that pass the speed gate at a size and have the least core metric there, borderline ones marked."""
-    med = _timings(spark, sf).groupBy("arm", "size").agg(F.percentile("ms", 0.5).alias("ms"), F.round(F.avg("core"), 6).alias("core"))
-    judged = med.withColumn("verdict", S.gate_verdict(F.col("ms"), "band")).filter("verdict in ('OK', 'borderline')")
-    return judged.withColumn("rank", F.row_number().over(W.partitionBy("size").orderBy("core", "arm"))).filter("rank = 1").select("size", "arm", "verdict")
-
-
-def method_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Per arm: median time, core metric against the first arm, and whether it falls."""
-    one = _timings(spark, sf).groupBy("arm").agg(F.round(F.percentile("ms", 0.5), 3).alias("ms"), F.avg("core").alias("core"))
-    base = one.filter("arm = 'click'").select(F.col("core").alias("base"))
-    delta = F.round(F.col("core") - F.col("base"), 4)
-    return one.crossJoin(F.broadcast(base)).select("arm", "ms", delta.alias("delta"), F.when(delta < 0, "better").otherwise("no better").alias("verdict"))
-
-
 def event_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     e = V.table(spark, sf, "events")
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
@@ -239,7 +216,7 @@ def stream_held_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     pixel_histogram, agcwd_curve, local_std_interior, dark_mask_stats, glare_core, saturation_rates, tone_curve_bins, gamma_match, frame_diff_flicker, hold_last_detection, detect_stride,
-    flicker_amplification, static_mask_sigma, iir_smoothing, tone_smoothing, motion_denoise, motion_denoise_runs, two_path_sequence, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, resolution_sensitivity, arm_winners, method_summary, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
+    flicker_amplification, static_mask_sigma, iir_smoothing, tone_smoothing, motion_denoise, motion_denoise_runs, two_path_sequence, arm_metrics, arm_axes, glare_zone, extreme_spots, most_saturated, motion_detail, smoothing_sweep, arm_size_matrix, gate_verdicts, event_tumbling, event_sessions, stream_event_counts, stream_ema_state, stream_held_detection)}
 
 X = f"with {V.PIXELS}"
 FR = f"with {V.FRAMES}"
@@ -275,9 +252,6 @@ ORACLES = {
     "iir_smoothing": f"with recursive {V.FRAMES}, a as (select 1 - exp(-2 * pi() * 0.5 / 16) as a), r as (select recording, seq, mean_luma as ema, frame_id from v_frames where seq = 1 union all select f.recording, f.seq, a * f.mean_luma + (1 - a) * r.ema, f.frame_id from r join v_frames f on f.recording = r.recording and f.seq = r.seq + 1, a) select recording, frame_id, round(ema, 3) as ema from r",
     "arm_size_matrix": f"{TM} select arm, round(quantile_cont(ms, 0.5) filter (size = '720p'), 3) as ms_720p, round(quantile_cont(ms, 0.5) filter (size = '480p'), 3) as ms_480p, round(quantile_cont(ms, 0.5) filter (size = '360p'), 3) as ms_360p from t group by 1",
     "gate_verdicts": f"{TM}, m as (select arm, size, round(quantile_cont(ms, 0.5), 3) as ms from t group by 1, 2) select arm, size, {', '.join(f'{sql} as {k}' for k, sql in GATE.items())} from m",
-    "resolution_sensitivity": f"{TM}, m as (select arm, size, quantile_cont(ms, 0.5) as ms, avg(core) as core from t group by 1, 2), v as (select *, {GATE['band']} as verdict from m) select arm, round(max(core) - min(core), 4) as core_range, count(distinct verdict) > 1 as verdict_flips, count(distinct case when verdict <> 'borderline' then verdict end) > 1 as gate_flips from v group by 1",
-    "arm_winners": f"{TM}, m as (select arm, size, quantile_cont(ms, 0.5) as ms, round(avg(core), 6) as core from t group by 1, 2), v as (select *, {GATE['band']} as verdict from m) select size, arm, verdict from v where verdict in ('OK', 'borderline') qualify row_number() over (partition by size order by core, arm) = 1",
-    "method_summary": f"{TM}, m as (select arm, round(quantile_cont(ms, 0.5), 3) as ms, avg(core) as core from t group by 1), d as (select m.arm, m.ms, round(m.core - b.core, 4) as delta from m, (select core from m where arm = 'click') b) select *, case when delta < 0 then 'better' else 'no better' end as verdict from d",
     "event_tumbling": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "event_sessions": "with d as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 6 hours then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from d) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from s group by user_id, k",
 }

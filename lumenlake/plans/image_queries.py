@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators import blobs as B
 from lumenlake.operators import enhancement as E
+from lumenlake.operators import matrix as M
 from lumenlake.operators import quality as Q
 from lumenlake.plans import views as V
 from lumenlake.sources import images as I
-from lumenlake.sources.shared import scratch
+from lumenlake.sources.shared import cut, scratch
 
 
 def light_blobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,8 +121,59 @@ def darkened_planes(spark: SparkSession, sf: str) -> DataFrame:
     return E.darkened(V.coloured(V.mosaics(spark, sf)), ["b", "g", "r"]).select("frame_id", "y", "x", "db", "dg", "dr")
 
 
+#: Arms of the matrix; the last needs a sequence, and so is no arm for single planes.
+ARMS = M.Arms({"none": [], "gamma": [M.gamma(GAMMA)], "A1": [M.tiles(TILES)], "L1": [M.light()], "A1+ts": [M.tiles(TILES)]}, temporal=["A1+ts"])
+STILL = ("none", "gamma", "A1", "L1")
+LEAST_MASKED, LEAST_LAMPS = 60, 4
+
+
+def _measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every arm on every plane at two sizes; a frame is named by both."""
+    whole = V.coloured(_whole(spark, sf)).select("frame_id", "y", "x", "b", "g", "r")
+    named = lambda px, size: px.withColumn("frame_id", F.struct(F.lit(size).alias("size"), "frame_id"))
+    px = cut(Q.sized(named(whole, "32").union(named(M.half(whole), "16"))))
+    return M.measured(px, ARMS.applied(px, STILL), LEAST_MASKED, LEAST_LAMPS).withColumn("size", F.col("frame_id.size"))
+
+
+def _matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(M.summed(_measures(spark, sf), ["arm", "size"]))
+
+
+def _times(spark: SparkSession, sf: str) -> DataFrame:
+    """Median times of arms at both sizes: events are timed runs of one arm at one size."""
+    e, n = V.table(spark, sf, "events"), F.col("event_id")
+    arm, size = F.element_at(F.array(*map(F.lit, STILL)), (n % 4 + 1).cast("int")), F.when(F.floor(n / 4) % 2 == 0, "32").otherwise("16")
+    return e.select(arm.alias("arm"), size.alias("size"), (F.col("value") * F.when(F.floor(n / 4) % 2 == 0, 4).otherwise(1) / 10).alias("ms")).groupBy("arm", "size").agg(F.percentile("ms", 0.5).alias("ms"))
+
+
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return M.axes(_matrix(spark, sf)).join(_times(spark, sf), ["arm", "size"], "left")
+
+
+def bench_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Arms by size: means of all measures on the input's masks, and which of three axes they hold."""
+    j = M.axes(_matrix(spark, sf))
+    return j.select("arm", "size", "frames", "glare_core_n", *(F.round(c, 2).alias(c) for c in (*M.MEASURES, "norm_contrast")), "ok_glare", "ok_contrast", "ok_noise")
+
+
+def resolution_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    s = M.sensitivity(_judged(spark, sf))
+    return s.select("arm", F.round("core_range", 2).alias("core_range"), F.round("contrast_range", 2).alias("contrast_range"), "glare_flips", "gate_flips")
+
+
+def arm_winners(spark: SparkSession, sf: str) -> DataFrame:
+    return M.winners(_judged(spark, sf)).select("arm", "size", F.round("ms", 3).alias("ms"), F.round("contrast_gain", 2).alias("contrast_gain"), "verdict")
+
+
+def method_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Per arm at full size: median time, what it does to lamps, saturation and contrast, and whether lamps fall."""
+    j = _judged(spark, sf).where("size = '32'")
+    glare = F.col("glare_core_after") - F.col("glare_core_before")
+    return j.select("arm", F.round("ms", 3).alias("ms"), F.round(glare, 2).alias("glare"), F.round(F.col("sat_after") - F.col("sat_before"), 2).alias("saturation"), F.round("norm_contrast", 2).alias("contrast"), F.when(F.round(glare, 6) < 0, "better").otherwise("no better").alias("verdict"))
+
+
 QUERIES = {f.__name__: f for f in (
-    light_blobs, luma_probe, light_source_verdict, image_luma, flat_dark_masks, noise_absolute, tile_equalised, contrast_gain, structural_similarity, guided_filter, light_divided, darkened_planes)}
+    bench_matrix, resolution_sensitivity, arm_winners, method_summary, light_blobs, luma_probe, light_source_verdict, image_luma, flat_dark_masks, noise_absolute, tile_equalised, contrast_gain, structural_similarity, guided_filter, light_divided, darkened_planes)}
 
 #: Pixels reach those lit around them; a blob's name is the first in reading order that reaches a pixel.
 REACH = """lit as (select frame_id, y, x from {source} where l >= 235),
@@ -152,17 +204,35 @@ def _around(name: str, source: str, key: str, values: dict[str, str], k: int, ou
 
 SD = "sqrt(greatest(0, {v}2 / 81 - {v} / 81 * {v} / 81))"
 NIGHT = f"""{V.PIXELS}, {V.MOSAICS}, {V.NIGHTS.format(source="v_mosaics")}, z as (select frame_id, max(y) + 1 as height, max(x) + 1 as width from v_nights group by 1), night as (select n.*, height, width from v_nights n join z using (frame_id))"""
-DARK = """dk as (select frame_id, case when n >= 200 then l between 3 and 80 else l <= p60 end as dark, y, x, l from {source} join (select frame_id, count(*) filter (l between 3 and 80) as n, quantile_cont(l, 0.6) as p60 from {source} group by 1) using (frame_id))"""
-FLAT = f"""{DARK.format(source="night")}, {_around("dev", "night", "frame_id", {"s": "q.l", "s2": "q.l * q.l"}, 9, SD.format(v="s") + " as sd")},
+DARK = """dk as (select frame_id, case when n >= {least} then l between 3 and 80 else l <= p60 end as dark, y, x, l from {source} join (select frame_id, count(*) filter (l between 3 and 80) as n, quantile_cont(l, 0.6) as p60 from {source} group by 1) using (frame_id))"""
+
+
+def _flat(source: str, least: int) -> str:
+    """masks: dark and flat pixels of source."""
+    return f"""{DARK.format(source=source, least=least)}, {_around("dev", source, "frame_id", {"s": "q.l", "s2": "q.l * q.l"}, 9, SD.format(v="s") + " as sd")},
     f0 as (select dk.*, sd, count(*) filter (dark and sd <= 2) over (partition by frame_id) as n from dk join dev using (frame_id, y, x)),
-    f1 as (select f0.*, dark and sd <= case when n >= 200 then 2 else med end as flat from f0 join (select frame_id, quantile_cont(sd, 0.5) as med from f0 where dark group by 1) using (frame_id)),
+    f1 as (select f0.*, dark and sd <= case when n >= {least} then 2 else med end as flat from f0 join (select frame_id, quantile_cont(sd, 0.5) as med from f0 where dark group by 1) using (frame_id)),
     f2 as (select p.frame_id, p.y, p.x, bool_and(q.flat) as flat from f1 p join f1 q on q.frame_id = p.frame_id and abs(q.y - p.y) <= 1 and abs(q.x - p.x) <= 1 group by 1, 2, 3),
-    masks as (select frame_id, y, x, l, dark, case when count(*) filter (f2.flat) over (partition by frame_id) >= 200 then f2.flat else dark end as flat from f2 join dk using (frame_id, y, x))"""
+    masks as (select frame_id, y, x, l, dark, case when count(*) filter (f2.flat) over (partition by frame_id) >= {least} then f2.flat else dark end as flat from f2 join dk using (frame_id, y, x))"""
+
+
 LIN = lambda c: f"case when {c} <= 0.04045 * 255 then {c} / 255 / 12.92 else pow(({c} / 255 + 0.055) / 1.055, 2.4) end"
 SHAPE = lambda t: f"case when {t} > 0.008856 then pow({t}, 1.0::double / 3) else 7.787::double * {t} + 16::double / 116 end"
 WHOLE = lambda c: f"least(255.0::double, greatest(0.0::double, floor(round({c}, 6) + 0.5::double)))"
 LIFT = "floor(round(255 * pow({c} / 255, 0.45), 6))"
 WHOLE_NIGHT = f"{NIGHT}, wn as (select * from night where height % 16 = 0 and width % 16 = 0)"
+
+
+def _noise(name: str, source: str) -> str:
+    """Noise l, a and b of each frame_id and arm of source (y, x, height, width, b, g, r) on flat pixels of masks."""
+    return f"""{name}_li as (select *, {LIN("b")} as lb, {LIN("g")} as lg, {LIN("r")} as lr from {source}),
+        {name}_xyz as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as vx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb as vy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 as vz from {name}_li),
+        {name}_sh as (select *, {SHAPE("vx")} as fx, {SHAPE("vy")} as fy, {SHAPE("vz")} as fz from {name}_xyz),
+        {name}_lab as (select frame_id, arm, y, x, height, width, {WHOLE("(116 * fy - 16) * 2.55")} as l, {WHOLE("500 * (fx - fy) + 128")} as a, {WHOLE("200 * (fy - fz) + 128")} as b from {name}_sh),
+        {_around(f"{name}_ker", f"{name}_lab", "frame_id, arm", {v: f"q.{v}" for v in "lab"}, 3, "abs(l) as l, abs(a) as a, abs(b) as b", "(1 - 3 * ({d} = 0)::int)")},
+        {name} as (select frame_id, arm, avg(k.l) * sqrt(pi() / 2) / 6 as l, avg(k.a) * sqrt(pi() / 2) / 6 as a, avg(k.b) * sqrt(pi() / 2) / 6 as b from {name}_ker k join masks using (frame_id, y, x) where flat group by 1, 2)"""
+
+
 #: The curve of each tile, level by level, and the four that are nearest to a pixel.
 EQUAL = """tl as (select *, y * 4 // height as ty, x * 4 // width as tx, height * width / 16 as area from wn),
     hs as (select frame_id, ty, tx, any_value(area) as area, greatest(1, floor(2.0 * any_value(area) / 256)) as most, list(l) as ls from tl group by 1, 2, 3),
@@ -182,6 +252,17 @@ GUIDE = """ce as (select frame_id, y // 4 as y, x // 4 as x, avg({v}) as v, any_
                 (case when i = 0 then 1 - (py - floor(py)) else py - floor(py) end) * (case when j = 0 then 1 - (px - floor(px)) else px - floor(px) end) as w
             from gp cross join (select unnest([0, 1]) as i) cross join (select unnest([0, 1]) as j)) gp join ln on ln.frame_id = gp.frame_id and ln.y = gp.gy and ln.x = gp.gx group by 1, 2, 3)"""
 CELLS = _around("cm", "ce", "frame_id", {"s": "q.v", "s2": "q.v * q.v"}, 4, "s / 16 as m, s2 / 16 as m2")
+
+
+def _against_gamma(source: str) -> str:
+    """rf: source (frame_id, arm, y, x, height, width, l, o) with ref, l by the gamma that gives the mean of o; dv: deviations so and sr of o and ref."""
+    return f"""hl as (select frame_id, arm, list(l) as ls, avg(o) as goal from {source} group by 1, 2),
+        bi(frame_id, arm, ls, goal, lo, hi, k) as (select frame_id, arm, ls, goal, 0.05::double, 6.0::double, 0 from hl
+            union all select frame_id, arm, ls, goal, case when dim then lo else m end, case when dim then m else hi end, k + 1 from (select *, (lo + hi) / 2 as m, list_avg(list_transform(ls, lambda v: pow(v / 255, (lo + hi) / 2) * 255)) < goal as dim from bi where k < 30)),
+        rf as (select ar.*, (lo + hi) / 2 as gamma, 255 * pow(l / 255, (lo + hi) / 2) as ref from {source} ar join bi using (frame_id, arm) where k = 30),
+        {_around("dv", "rf", "frame_id, arm", {"s": "q.o", "s2": "q.o * q.o", "r": "q.ref", "r2": "q.ref * q.ref"}, 9, SD.format(v="s") + " as so, " + SD.format(v="r") + " as sr")}"""
+
+
 NOISE = lambda c: f"sqrt(-2 * ln((('0x' || substr(md5('0:' || frame_id || ':' || y || ':' || x || ':{c}'), 1, 8))::bigint + 0.5::double) / 4294967296)) * cos(2 * pi() * (('0x' || substr(md5('0:' || frame_id || ':' || y || ':' || x || ':{c}'), 9, 8))::bigint + 0.5::double) / 4294967296)"
 DARKER = lambda c: f"floor(round(255 * pow(least(1, greatest(0, (e{c} + {NOISE(c)} * sqrt(e{c} + 16)) / 3000)), 1.0::double / 2.2), 6)) as d{c}"
 
@@ -198,24 +279,15 @@ ORACLES = {
         q as (select frame_id, floor(avg(l) + 0.5) as l from k group by frame_id, y // 4, x // 4)
         select frame_id, round(avg(k.l), 3) as mean, cast(max(b) as int) as blue, cast(max(g) as int) as green, cast(max(r) as int) as red, any_value(s.blocks) as blocks, any_value(s.quarter_mean) as quarter_mean
         from k join (select frame_id, count(*) as blocks, round(avg(l), 3) as quarter_mean from q group by 1) s using (frame_id) group by frame_id""",
-    "flat_dark_masks": f"with {NIGHT}, {FLAT} select frame_id, count(*) filter (dark) as dark, count(*) filter (flat) as flat, round(avg(l) filter (flat), 3) as level from masks group by 1",
-    "noise_absolute": f"""with {NIGHT}, {FLAT}, {V.COLOURED.format(source="night")},
+    "flat_dark_masks": f"with {NIGHT}, {_flat('night', 200)} select frame_id, count(*) filter (dark) as dark, count(*) filter (flat) as flat, round(avg(l) filter (flat), 3) as level from masks group by 1",
+    "noise_absolute": f"""with {NIGHT}, {_flat('night', 200)}, {V.COLOURED.format(source="night")},
         ch as (select frame_id, 'none' as arm, y, x, height, width, b, g, r from v_coloured union all select frame_id, 'gamma', y, x, height, width, {LIFT.format(c="b")}, {LIFT.format(c="g")}, {LIFT.format(c="r")} from v_coloured),
-        li as (select *, {LIN("b")} as lb, {LIN("g")} as lg, {LIN("r")} as lr from ch),
-        xyz as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as vx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb as vy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 as vz from li),
-        sh as (select *, {SHAPE("vx")} as fx, {SHAPE("vy")} as fy, {SHAPE("vz")} as fz from xyz),
-        lab as (select frame_id, arm, y, x, height, width, {WHOLE("(116 * fy - 16) * 2.55")} as l, {WHOLE("500 * (fx - fy) + 128")} as a, {WHOLE("200 * (fy - fz) + 128")} as b from sh),
-        {_around("ker", "lab", "frame_id, arm", {v: f"q.{v}" for v in "lab"}, 3, "abs(l) as l, abs(a) as a, abs(b) as b", "(1 - 3 * ({d} = 0)::int)")},
-        n as (select frame_id, arm, avg(ker.l) * sqrt(pi() / 2) / 6 as l, avg(ker.a) * sqrt(pi() / 2) / 6 as a, avg(ker.b) * sqrt(pi() / 2) / 6 as b from ker join masks using (frame_id, y, x) where flat group by 1, 2)
+        {_noise("n", "ch")}
         select frame_id, arm, round(l, 3) as luma_noise, round(sqrt(a * a + b * b) / sqrt(2), 3) as chroma_noise from n""",
     "tile_equalised": f"with {WHOLE_NIGHT}, {EQUAL} select frame_id, y, x, o from eq",
-    "contrast_gain": f"""with recursive {WHOLE_NIGHT}, {EQUAL}, {DARK.format(source="wn")},
+    "contrast_gain": f"""with recursive {WHOLE_NIGHT}, {EQUAL}, {DARK.format(source="wn", least=200)},
         ar as (select frame_id, 'tiles' as arm, y, x, height, width, l, o from eq union all select frame_id, 'gamma', y, x, height, width, l, {LIFT.format(c="l")} from wn),
-        hl as (select frame_id, arm, list(l) as ls, avg(o) as goal from ar group by 1, 2),
-        bi(frame_id, arm, ls, goal, lo, hi, k) as (select frame_id, arm, ls, goal, 0.05::double, 6.0::double, 0 from hl
-            union all select frame_id, arm, ls, goal, case when dim then lo else m end, case when dim then m else hi end, k + 1 from (select *, (lo + hi) / 2 as m, list_avg(list_transform(ls, lambda v: pow(v / 255, (lo + hi) / 2) * 255)) < goal as dim from bi where k < 30)),
-        rf as (select ar.*, (lo + hi) / 2 as gamma, 255 * pow(l / 255, (lo + hi) / 2) as ref from ar join bi using (frame_id, arm) where k = 30),
-        {_around("dv", "rf", "frame_id, arm", {"s": "q.o", "s2": "q.o * q.o", "r": "q.ref", "r2": "q.ref * q.ref"}, 9, SD.format(v="s") + " as so, " + SD.format(v="r") + " as sr")},
+        {_against_gamma("ar")},
         cg as (select frame_id, arm, avg(so) / (avg(sr) + 1e-6) as gain from dv join dk using (frame_id, y, x) where dark group by 1, 2)
         select g.frame_id, g.arm, round(gain, 3) as contrast_gain, round(gamma, 4) as ref_gamma from (select frame_id, arm, any_value(gamma) as gamma from rf group by 1, 2) g left join cg using (frame_id, arm)""",
     "structural_similarity": f"""with {NIGHT}, pr as (select frame_id, arm, y, x, height, width, case when arm = 'none' then n.l else {LIFT.format(c="n.l")} end as a, m.l as b from night n join v_mosaics m using (frame_id, y, x) cross join (select unnest(['none', 'gamma']) as arm)),
@@ -232,3 +304,40 @@ ORACLES = {
         e as (select *, pow(b / 255, 2.2) * 0.35 * 3000 as eb, pow(g / 255, 2.2) * 0.35 * 3000 as eg, pow(r / 255, 2.2) * 0.35 * 3000 as er from v_coloured)
         select frame_id, y, x, {", ".join(DARKER(c) for c in "bgr")} from e""",
 }
+
+LUMA = "floor((1868 * {b} + 9617 * {g} + 4899 * {r} + 8192) / 16384)"
+CLIPPED = "least(255, greatest(0, floor(round({v}, 6))))"
+#: Every measure of every arm at both sizes; the half-size planes have numbers of their own.
+MATRIX = f"""with recursive {WHOLE_NIGHT}, {V.COLOURED.format(source="wn")},
+    sizes as (select frame_id, y, x, b, g, r, 32 as height, 32 as width from v_coloured union all select 1000000 + frame_id, y // 2, x // 2, floor(avg(b) + 0.5), floor(avg(g) + 0.5), floor(avg(r) + 0.5), 16, 16 from v_coloured group by frame_id, y // 2, x // 2),
+    pic as (select *, {LUMA.format(b="b", g="g", r="r")} as l from sizes),
+    {EQUAL.replace("from wn", "from pic")}, {GUIDE.format(source="pic", v="greatest(b, g, r) / 255", around=CELLS)},
+    t as (select c.*, pow(least(1, greatest(0.15, smooth)), 0.8) as light from pic c join sm using (frame_id, y, x)),
+    outs as (select frame_id, 'none' as arm, y, x, height, width, b, g, r from pic union all select frame_id, 'gamma', y, x, height, width, {", ".join(LIFT.format(c=c) for c in "bgr")} from pic
+        union all select frame_id, 'A1', pic.y, pic.x, pic.height, pic.width, {", ".join(CLIPPED.format(v=f"{c} * o / greatest(pic.l, 1)") for c in "bgr")} from pic join eq using (frame_id, y, x)
+        union all select frame_id, 'L1', y, x, height, width, {", ".join(CLIPPED.format(v=f"{c} / light") for c in "bgr")} from t),
+    ar as (select o.frame_id, arm, o.y, o.x, o.height, o.width, pic.l, {LUMA.format(b="o.b", g="o.g", r="o.r")} as o from outs o join pic using (frame_id, y, x)),
+    {_flat("pic", 60)}, {_noise("na", "outs")},
+    {_against_gamma("ar")}, {_around("di", "ar", "frame_id, arm", {"s": "q.l", "s2": "q.l * q.l"}, 9, SD.format(v="s") + " as si")},
+    {_around("im", "ar", "frame_id, arm", {"i": "q.l", "o": "q.o"}, 3, "abs(i) as i, abs(o) as o", "(1 - 3 * ({d} = 0)::int)")},
+    top as (select frame_id, quantile_cont(l, 0.99) as top from pic group by 1),
+    a1 as (select frame_id, arm, avg(l) filter (l >= top) as glare_before, avg(o) filter (l >= top) as glare_after, 100 * avg((l >= 250)::int) as sat_before, 100 * avg((o >= 250)::int) as sat_after,
+        case when count(*) filter (l >= 235) >= 4 then quantile_cont(l, 0.5) filter (l >= 235) end as glare_core_before, case when count(*) filter (l >= 235) >= 4 then quantile_cont(o, 0.5) filter (l >= 235) end as glare_core_after, (avg(o) + 1e-6) / (avg(l) + 1e-6) as gain
+        from ar join top using (frame_id) group by 1, 2),
+    a2 as (select frame_id, arm, avg(so) / (avg(si) + 1e-6) as contrast, avg(so) / (avg(sr) + 1e-6) as contrast_gain from dv join di using (frame_id, arm, y, x) join dk using (frame_id, y, x) where dark group by 1, 2),
+    a3 as (select frame_id, arm, any_value(gamma) as ref_gamma from rf group by 1, 2),
+    a4 as (select frame_id, arm, (sum(o) * sqrt(pi() / 2) / 6 / any_value((height - 2) * (width - 2)) + 1e-6) / (sum(i) * sqrt(pi() / 2) / 6 / any_value((height - 2) * (width - 2)) + 1e-6) as amp from im group by 1, 2),
+    ms as (select frame_id, arm, case when frame_id >= 1000000 then '16' else '32' end as size, * exclude (frame_id, arm, amp, l, a, b), amp / gain as noise_amp, na.l as noise_luma_after, sqrt(na.a * na.a + na.b * na.b) / sqrt(2) as noise_chroma_after
+        from a1 join a2 using (frame_id, arm) join a3 using (frame_id, arm) join a4 using (frame_id, arm) join na using (frame_id, arm)),
+    m2 as (select ms.*, u.noise_luma_after as noise_luma_before, u.noise_chroma_after as noise_chroma_before from ms join ms u on u.frame_id = ms.frame_id and u.arm = 'none'),
+    mx as (select arm, size, count(*) as frames, count(glare_core_before) as glare_core_n, {", ".join(f"avg({m}) as {m}" for m in M.MEASURES)}, avg(contrast) / avg(gain) as norm_contrast from m2 group by 1, 2),
+    ax as (select mx.*, case when glare_core_n > 0 then glare_core_after < glare_core_before * 0.95 end as ok_glare, contrast_gain > 1 as ok_contrast, noise_chroma_after <= base as ok_noise from mx join (select size, max(noise_chroma_before) as base from mx where arm = 'none' group by 1) using (size)),
+    tm as (select arm, size, quantile_cont(ms, 0.5) as ms from (select ['none', 'gamma', 'A1', 'L1'][event_id % 4 + 1] as arm, case when event_id // 4 % 2 = 0 then '32' else '16' end as size, value * (case when event_id // 4 % 2 = 0 then 4 else 1 end) / 10 as ms from events) group by 1, 2),
+    jd as (select ax.*, ms, case when ms < 0.05 then '—' when ms <= 15 then 'OK' when ms < 25 then 'borderline' else 'fail' end as gate from ax left join tm using (arm, size))"""
+ORACLES |= {
+    "bench_matrix": f"{MATRIX} select arm, size, frames, glare_core_n, {', '.join(f'round({c}, 2) as {c}' for c in (*M.MEASURES, 'norm_contrast'))}, ok_glare, ok_contrast, ok_noise from ax",
+    "resolution_sensitivity": f"""{MATRIX} select arm, case when count(*) filter (glare_core_n > 0) >= 2 then round(max(glare_core_after) filter (glare_core_n > 0) - min(glare_core_after) filter (glare_core_n > 0), 2) end as core_range,
+        round(max(contrast_gain) - min(contrast_gain), 2) as contrast_range, count(distinct ok_glare) > 1 as glare_flips, count(distinct gate) filter (gate <> 'borderline') > 1 as gate_flips from jd group by 1""",
+    "arm_winners": f"{MATRIX} select arm, size, round(ms, 3) as ms, round(contrast_gain, 2) as contrast_gain, gate as verdict from jd where arm <> 'none' and ok_glare and ok_contrast and ok_noise and gate in ('OK', 'borderline')",
+    "method_summary": f"{MATRIX} select arm, round(ms, 3) as ms, round(glare_core_after - glare_core_before, 2) as glare, round(sat_after - sat_before, 2) as saturation, round(norm_contrast, 2) as contrast, case when round(glare_core_after - glare_core_before, 6) < 0 then 'better' else 'no better' end as verdict from jd where size = '32'",
+}
