@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,9 +30,9 @@ DIGIT_WORDS = {
 AT_WORDS, DOT_WORDS, PLUS_WORDS = "at ät arroba arobase klammeraffe", "dot punkt punto point", "plus más mas"
 #: Dot words that go with an at word in running text, where the wrong pair is prose: "at this point blank".
 SPOKEN = {"at": "dot punkt", "ät": "dot punkt", "klammeraffe": "dot punkt", "arroba": "dot punto", "arobase": "dot point"}
-#: Words that are no name, host or top domain around an at sign that is only a word or stands apart.
+#: Articles, pronouns, prepositions and the like, which are no name or host around an at sign that is only a word or stands apart. Top domains are free.
 FUNCTION_WORDS = frozenset(
-    "a an the this that these those and or but of on if as we he she they his her its our their with for from into was were are been not be been looking look looked arrive arrived arrives stay stayed meet met "
+    "a an the this that these those and or but of on if as we he she they his her its our their with for from into was were are been not be "
     "der die das den dem des ein eine einen einem und oder von vom zum zur mit für ist sind war nicht "
     "el los las una unos unas y o del con por para es son era no que "
     "le les des du et ou avec pour est sont dans ce cette qui".split())
@@ -244,7 +244,7 @@ class Tokens:
         spoken = SPOKEN.get(at, DOT_WORDS).split()
         if any(w in DOT_WORDS.split() and w not in spoken for i, w in bare.items() if i > a + len(name)):
             return False
-        return FUNCTION_WORDS.isdisjoint([name.lower(), labels[0], labels[-1]] if at != "@" else [name.lower()])
+        return FUNCTION_WORDS.isdisjoint([name.lower(), labels[0]] if at != "@" else [name.lower()])
 
 
 def _split_words(said: str) -> list[str]:
@@ -286,14 +286,21 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
         kept, norm = range(len(text)), text
     tokens = Tokens(norm)
     found = [*(base_spans(norm) if odd else ()), *(tokens.spans() if tokens.out is not norm else ())]
-    taken = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    # Plain spans of a kind lie apart, and so do added ones, as longer ones come first: both stay sorted.
+    plain = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
+    plain = {k: ([a for a, _ in spans], [b for _, b in spans]) for k, spans in plain.items()}
+    added: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}
     out = [(*s, True) for s in base]
     for kind, a, b in sorted(found, key=lambda s: (s[1] - s[2], s)):
         a, b = kept[a], kept[b - 1] + 1
-        over = [(x, y) for x, y in taken[kind] if x < b and a < y]
-        if all(a <= x and y <= b and (x, y) != (a, b) for x, y in over):
-            taken[kind].append((a, b))
-            out.append((kind, a, b, False))
+        (starts, ends), (own_starts, own_ends) = plain[kind], added[kind]
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        at = bisect_right(own_ends, a)
+        if at < bisect_left(own_starts, b) or i < j and (starts[i] < a or ends[j - 1] > b or (starts[i], ends[i]) == (a, b)):
+            continue
+        own_starts.insert(at, a)
+        own_ends.insert(at, b)
+        out.append((kind, a, b, False))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

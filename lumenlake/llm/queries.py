@@ -176,7 +176,7 @@ ORACLES: dict[str, str] = {
         post as (select id, k1 as pos from r where i <= n - 49 union select id, k2 from r where i <= n - 49),
         keyed as (select post.id, pos, s from post join y on y.id = post.id and y.i = pos),
         hot as (select id, pos from keyed where s in (select s from keyed group by s having count(distinct id) > 1)),
-        runs as (select r.id, r.i from r join hot a on a.id = r.id and a.pos = r.k1 join hot b on b.id = r.id and b.pos = r.k2 where r.i <= r.n - 49),
+        runs as (select r.id, r.i from r left join hot a on a.id = r.id and a.pos = r.k1 left join hot b on b.id = r.id and b.pos = r.k2 where r.i <= r.n - 49 and (a.pos is not null or b.pos is not null)),
         cand as (select id, sx, after from an where sx <= n - 49 and exists (select 1 from runs where runs.id = an.id and runs.i between an.sx - 7 and an.sx + 7)),
         par as (select c.id, c.sx, any_value(f.s) as a, any_value(g.s) as b, list_sort(list(y.s)) as held from cand c join y f on f.id = c.id and f.i = c.sx join y g on g.id = c.id and g.i = c.after join y on y.id = c.id and y.i between c.sx and c.sx + 44 group by c.id, c.sx),
         cl as (select row_number() over (order by rep, a, b) as c, *, list_distinct(held) as sh from (select a, b, held, min({'id': id, 'sx': sx}) as rep, max(id) as last, count(*) as copies from par group by 1, 2, 3)),
