@@ -44,11 +44,11 @@ select s.w, list(s.tok order by s.p) as toks from s join (select w, max(it) as i
 #: The same recursion for long pieces, whose rounds are many: rows (w, p, q, tok, id), with the rank at which a token
 #: merges with the next one, if it does, and none where tok is -1. A round looks at the words that the last one changed
 #: and contracts each word's leftmost pair of least rank, and further such pairs at a distance, but where the new token
-#: could merge at a lesser rank yet. In a run of pairs that overlap, every fourth is at a distance and in step with the
+#: could merge at a lesser rank yet with what the word's bytes can make. In a run of pairs that overlap, every fourth is at a distance and in step with the
 #: leftmost. It gives the rows that this changes alone: the new token, the one before it and the one that is gone.
 CONTRACT_LONG = """
 with recursive s(w, p, q, tok, id, alone) using key (w, p) as (
-    select x.w, x.p, x.p + 1, x.tok, g.id, g.alone from start x left join start y on y.w = x.w and y.p = x.p + 1 left join merges g on g.l = x.tok and g.r = y.tok
+    select x.w, x.p, x.p + 1, x.tok, g.id, g.alone from start x left join start y on y.w = x.w and y.p = x.p + 1 left join merges_within g on g.l = x.tok and g.r = y.tok
     union (
         with live as materialized (select * from recurring.s where tok >= 0 and w in (select w from s)),
         least as (select w, min(id) as id from live group by w),
@@ -59,8 +59,8 @@ with recursive s(w, p, q, tok, id, alone) using key (w, p) as (
         chains as (select *, sum(case when before = p then 0 else 1 end) over (partition by w order by p) as chain from (
             select w, p, mid, q, id, lag(q) over (partition by w order by p) as before from apart)),
         won as materialized (select * from (select *, row_number() over (partition by w, chain order by p) as nth from chains) where nth % 2 = 1)
-        select x.w, x.p, x.q, x.id, g.id, g.alone from won x left join live y on y.w = x.w and y.p = x.q left join merges g on g.l = x.id and g.r = y.tok
-        union all select y.w, y.p, y.q, y.tok, g.id, g.alone from won x join live y on y.w = x.w and y.q = x.p left join merges g on g.l = y.tok and g.r = x.id
+        select x.w, x.p, x.q, x.id, g.id, g.alone from won x left join live y on y.w = x.w and y.p = x.q left join merges_within g on g.l = x.id and g.r = y.tok
+        union all select y.w, y.p, y.q, y.tok, g.id, g.alone from won x join live y on y.w = x.w and y.q = x.p left join merges_within g on g.l = y.tok and g.r = x.id
         union all select w, mid, mid, -1, null, null from won))
 select w, list(tok order by p) as toks from s where tok >= 0 group by w
 """
@@ -76,6 +76,13 @@ select m.l, m.r, m.id, lesser.id is not null as alone from m left join lesser us
 DECODE = "select seg, unhex(string_agg(h, '')) as bytes from (select seg, h from ids join vocab using (id) order by p) group by seg order by seg"
 
 
+def _bits(some: bytes) -> np.ndarray:
+    """256 bits, those of these bytes set."""
+    flags = np.zeros(256, dtype=np.uint8)
+    flags[list(some)] = 1
+    return np.packbits(flags).view(np.uint64)
+
+
 class Coder:
     """One worker's tables and the units that it has met; what it keeps is bounded and only saves work."""
 
@@ -97,15 +104,45 @@ class Coder:
         self.db.execute("create table vocab as select * from given")
         self.db.unregister("given")
         self.db.execute(MERGES)
+        self.merges = self.db.execute("select l, r, id from merges").fetchnumpy()
+        # For each token, one bit for each byte that it holds.
+        self.held = np.zeros((1 + max(self.vocab.values()), 4), dtype=np.uint64)
+        for t, i in self.vocab.items():
+            self.held[i] = _bits(t)
         self.pieces: dict[str, bytes] = {}
 
+    def _merges_within(self, some: np.ndarray) -> pa.Table:
+        """The merges of tokens that hold none but these bytes; a token is alone where one of them, at a lesser rank, takes it in."""
+        left, right, made = (self.merges[c] for c in ("l", "r", "id"))
+        own = ~(self.held[made] & ~some).any(axis=1)
+        left, right, made = left[own], right[own], made[own]
+        least = np.full(len(self.held), np.iinfo(np.int32).max)
+        np.minimum.at(least, left, made)
+        np.minimum.at(least, right, made)
+        return pa.table({"l": left, "r": right, "id": made, "alone": least[made] < made})
+
     def _contract(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Long words go by the bytes that they hold: what can't arise of these needn't be waited for."""
+        if max(map(len, words)) < LONG:
+            return self._run(CONTRACT, words)
+        groups: dict[bytes, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(bytes(sorted(set(w))), []).append(i)
+        out = [b""] * len(words)
+        for some, those in groups.items():
+            self.db.register("merges_within", self._merges_within(_bits(some)))
+            for i, ids in zip(those, self._run(CONTRACT_LONG, [words[i] for i in those])):
+                out[i] = ids
+            self.db.unregister("merges_within")
+        return out
+
+    def _run(self, query: str, words: list[bytes]) -> list[bytes]:
         length = np.array([len(w) for w in words])
         tok = self.bytes_[np.frombuffer(b"".join(words), dtype=np.uint8)]
         begin = np.repeat(np.cumsum(length) - length, length)
         start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), length), "p": (np.arange(len(tok)) - begin).astype(np.int32), "tok": tok})
         self.db.register("start", start)
-        out = self.db.sql(CONTRACT if length.max() < LONG else CONTRACT_LONG).to_arrow_table()
+        out = self.db.sql(query).to_arrow_table()
         self.db.unregister("start")
         lists = out["toks"].combine_chunks()
         flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(lists.value_lengths().to_numpy()).tolist()
