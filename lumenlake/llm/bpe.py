@@ -24,7 +24,7 @@ MAX_RANKS_BYTES = 64 << 20
 #: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds; bytes from which a piece's rounds give changed tokens alone.
 BYTES, WORK, LONG = 1 << 19, 1 << 24, 64
 #: Pieces that a worker keeps, of so many characters at most, which only saves work; characters and tokens handled together.
-KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 700_000, 64, 8_000_000, 1 << 16, 500_000
+KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 200_000, 64, 2_000_000, 1 << 16, 500_000
 
 #: Token-position rows (w, p, q, tok): a token of word w from byte p to q. Each round joins neighbours
 #: with the merge table and contracts each word's leftmost pair of least rank; words without a pair stop.
