@@ -97,3 +97,10 @@ def fitted(width: Column, height: Column, most: int) -> tuple[Column, Column]:
     """Width and height scaled down to at most `most` pixels of width; smaller sizes stay, and heights are cut, not rounded."""
     scale = F.lit(float(most)) / width
     return F.when(width > most, F.lit(most)).otherwise(F.floor(width)), F.when(width > most, F.floor(height * scale)).otherwise(F.floor(height))
+
+
+def longest_side(width: Column, height: Column, most: int) -> tuple[Column, Column]:
+    """Width and height whose longer one is `most` at most: never enlarged, rounded half to even, 1 at least."""
+    scale = F.lit(float(most)) / F.greatest(width, height)
+    side = lambda v: F.when(scale < 1, F.greatest(F.lit(1), F.bround(v * scale).cast("int"))).otherwise(v.cast("int"))
+    return side(width), side(height)

@@ -181,3 +181,11 @@ def decoded_head(raw: Column, classes: int) -> Column:
     """(cls, conf) of an anchor's raw values (cx, cy, w, h, score of each class): the best score, the first of equals."""
     scores = F.slice(raw, F.lit(5), F.lit(classes))
     return F.struct((F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias("cls"), F.array_max(scores).alias("conf"))
+
+
+def decoded_boxes(anchors: DataFrame, classes: int, least: float = CONF) -> DataFrame:
+    """anchors (raw besides other columns) less raw, with cls, conf and corners x1, y1, x2, y2; anchors whose best score is below least go."""
+    head = anchors.withColumn("__h", decoded_head(F.col("raw"), classes)).where(F.col("__h.conf") >= least)
+    cx, cy, w, h = (F.col("raw")[i] for i in range(4))
+    corners = {"x1": cx - w / 2, "y1": cy - h / 2, "x2": cx + w / 2, "y2": cy + h / 2}
+    return head.select(*(c for c in anchors.columns if c != "raw"), "__h.cls", "__h.conf", *(c.alias(n) for n, c in corners.items()))

@@ -41,9 +41,9 @@ def checksums(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, boxes) of a COCO-style document; a recording without a number is `none`."""
-    doc = spark.read.schema(COCO).json(path, multiLine=True)
+def coco(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(images, boxes) of a COCO-style document, or of many, one a line; a recording without a number is `none`."""
+    doc = spark.read.schema(COCO).json(path, multiLine=not lines)
     images = doc.select(F.explode("images").alias("i")).select(
         F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height", F.coalesce(F.col("i.recordings_id").cast("long").cast("string"), F.lit("none")).alias("recording"))
     a = doc.select(F.posexplode("annotations").alias("box_no", "a"))
@@ -101,6 +101,16 @@ def _tokens(spark: SparkSession, path: str) -> DataFrame:
     return t.filter(F.size("t") >= 5).select(stem(F.col("file")).alias("image"), F.try_element_at("t", F.lit(1)).cast("double").cast("int").alias("cls"), "t")
 
 
+def label_table(spark: SparkSession, path: str) -> DataFrame:
+    """split, image, cls, cx, cy, w, h of label texts in JSON lines, as sinks.write_labels() puts them down; cls and box are null for background."""
+    raw = spark.read.schema("split string, image string, text string").json(path)
+    lines = raw.select("split", "image", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    t = F.split(F.trim("line"), r"\s+")
+    full = F.size(t) >= 5
+    value = lambda i: F.when(full, F.get(t, F.lit(i)).cast("double"))
+    return lines.select("split", "image", value(0).cast("int").alias("cls"), *(value(i).alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)))
+
+
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     """image, cls, cx, cy, w, h of label files; lines of fewer than five tokens are none. Empty files have no row: join from the images."""
     return _tokens(spark, path).select("image", "cls", *(F.col("t")[i].cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"), 1)))

@@ -2,11 +2,11 @@ import os
 
 import pytest
 
-from lumenlake.plans import annotation_queries, dataset_queries, detection_queries, frame_queries, image_queries
+from lumenlake.plans import annotation_queries, dataset_queries, detection_queries, exchange_queries, frame_queries, image_queries
 from tests.compare import database, same
 
 SF = "/root/testdata/sf0.001"
-MODULES = (annotation_queries, dataset_queries, detection_queries, frame_queries, image_queries)
+MODULES = (annotation_queries, dataset_queries, detection_queries, exchange_queries, frame_queries, image_queries)
 CASES = [(m, name) for m in MODULES for name in m.QUERIES]
 
 
