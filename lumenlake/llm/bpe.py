@@ -21,8 +21,8 @@ from lumenlake.llm.common import by_place
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A rank file may be so large, as it is broadcast to every executor.
 MAX_RANKS_BYTES = 64 << 20
-#: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds; bytes from which a piece's rounds give changed tokens alone.
-BYTES, WORK, LONG = 1 << 19, 1 << 24, 64
+#: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds; bytes from which a piece's rounds give changed tokens alone, and from which it goes with others of the same bytes only.
+BYTES, WORK, LONG, OWN = 1 << 19, 1 << 24, 64, 256
 #: Pieces that a worker keeps, of so many characters at most, which only saves work; characters and tokens handled together.
 KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 200_000, 64, 2_000_000, 1 << 16, 500_000
 
@@ -122,15 +122,15 @@ class Coder:
         return pa.table({"l": left, "r": right, "id": made, "alone": least[made] < made})
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word. Long words go by the bytes that they hold: what can't arise of these needn't be waited for."""
+        """The ids of each word. Long words go by the bytes that they hold, what can't arise of these needn't be waited for; those whose rounds are few go together."""
         if max(map(len, words)) < LONG:
             return self._run(CONTRACT, words)
-        groups: dict[bytes, list[int]] = {}
+        groups: dict[frozenset[int], list[int]] = {}
         for i, w in enumerate(words):
-            groups.setdefault(bytes(sorted(set(w))), []).append(i)
+            groups.setdefault(frozenset(w if len(w) >= OWN else ()), []).append(i)
         out = [b""] * len(words)
         for some, those in groups.items():
-            self.db.register("merges_within", self._merges_within(_bits(some)))
+            self.db.register("merges_within", self._merges_within(_bits(bytes(some or set().union(*(words[i] for i in those))))))
             for i, ids in zip(those, self._run(CONTRACT_LONG, [words[i] for i in those])):
                 out[i] = ids
             self.db.unregister("merges_within")
