@@ -55,16 +55,18 @@ def conf_sweep(truth: DataFrame, preds: DataFrame, matches: DataFrame, images: i
     return both.select(F.col("t").alias("conf"), "cls", "gt", "tp", F.round(F.col("tp") / F.col("gt"), 4).alias("recall"), fp.alias("fp"), F.round(fp / images, 4).alias("fp_per_image"))
 
 
-def missed(truth: DataFrame, preds: DataFrame, matches: DataFrame, conf: float = CONF) -> DataFrame:
+def missed(truth: DataFrame, preds: DataFrame, matches: DataFrame, conf: float = CONF, pairs: DataFrame | None = None) -> DataFrame:
     """Truths without a match and why: nearmiss, lowconf, merged or blind, in this order.
 
     nearmiss: the best overlap with a prediction of the class lies in [0.3, 0.5). lowconf: one
     under the threshold overlaps by 0.5. merged: the best overlapping prediction went to
-    another truth. blind: none of these.
+    another truth. blind: none of these. pairs are overlaps() of all truths and predictions of
+    a class, where they are at hand.
     """
     won = matches.filter(F.col("conf") >= conf).select("image_id", "gt", "pred")
     lost = truth.join(won.select("image_id", "gt"), ["image_id", "gt"], "left_anti")
-    near = overlaps(lost, preds, 1e-9).join(won.select("image_id", "pred", F.lit(True).alias("taken")), ["image_id", "pred"], "left")
+    met = overlaps(lost, preds, 1e-9) if pairs is None else pairs.join(lost.select("image_id", "gt"), ["image_id", "gt"], "left_semi")
+    near = met.join(won.select("image_id", "pred", F.lit(True).alias("taken")), ["image_id", "pred"], "left")
     sure = F.col("conf") >= conf
     best = F.max(F.when(sure, F.struct("iou", (-F.col("pred")).alias("o"), F.coalesce("taken", F.lit(False)).alias("taken"))))
     seen = near.groupBy("image_id", "gt").agg(best.alias("best"), F.max(F.when(~sure, F.col("iou"))).alias("low"))
@@ -150,9 +152,9 @@ def fp_rate(images: DataFrame, preds: DataFrame, key: Sequence[str], firing: Col
 
 
 def with_baseline(df: DataFrame, key: str, baseline: str, metrics: Sequence[str]) -> DataFrame:
-    """df with delta columns against the row whose key is baseline; df has one row per key."""
-    base = df.filter(F.col(key) == baseline).select(*(F.col(m).alias(f"__{m}") for m in metrics))
-    return df.join(base, how="left").select(*df.columns, *(F.round(F.col(m) - F.col(f"__{m}"), 4).alias(f"d_{m}") for m in metrics))
+    """df with delta columns against the row whose key is baseline, null without one; of rows that repeat that key the greatest values count."""
+    base = df.filter(F.col(key) == baseline).agg(*(F.max(m).alias(f"__{m}") for m in metrics))
+    return df.crossJoin(F.broadcast(base)).select(*df.columns, *(F.round(F.col(m) - F.col(f"__{m}"), 4).alias(f"d_{m}") for m in metrics))
 
 
 def error_benchmark(errors: DataFrame, images: int) -> DataFrame:

@@ -118,6 +118,6 @@ def positives_with_background(df: DataFrame, split: str, key: str, positive: Col
     totals = drawn.groupBy(F.col(split).alias("__split")).agg(F.count_if("positive").alias("__total"))
     last = picked.groupBy(F.col(split).alias("__of")).agg(F.max(F.when(F.col("__rank") == n - 1, F.col("__draw"))).alias("__last"))
     ends = totals.join(last, F.col("__split") == F.col("__of"), "left").select("__split", F.floor(F.least(F.col("__total"), F.lit(n)) * share).alias("__most"), "__last")
-    before = ranked.filter(~F.col("positive")).join(F.broadcast(ends), F.col(split) == F.col("__split"))
+    before = ranked.filter(~F.col("positive")).join(ends, F.col(split) == F.col("__split"))
     negatives = before.filter((F.col("__rank") < F.col("__most")) & (F.col("__last").isNull() | (F.col("__draw") < F.col("__last"))))
     return picked.unionByName(negatives.select(picked.columns)).drop("__rank", "__n", "__draw")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,10 +66,11 @@ def unlabeled_person_filter(spark: SparkSession, sf: str) -> DataFrame:
     return A.select_frames(flags, drop_unlabelled=True).groupBy("recording").agg(F.count(F.lit(1)).alias("frames"), F.count_if("has_ped").alias("positive"))
 
 
-def _images(spark: SparkSession, sf: str) -> DataFrame:
+def _images(spark: SparkSession, sf: str, which: Column | None = None) -> DataFrame:
     """The manifest of images: orders, as lines may be missing for one and an order for a line."""
     key = F.col("o_orderkey")
-    return V.table(spark, sf, "orders").select(key.alias("image_id"), F.when(key % 6 == 5, "none").otherwise((34 + key % 6).cast("string")).alias("recording"))
+    orders = V.table(spark, sf, "orders")
+    return (orders if which is None else orders.where(which)).select(key.alias("image_id"), F.when(key % 6 == 5, "none").otherwise((34 + key % 6).cast("string")).alias("recording"))
 
 
 def pair_integrity(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +90,7 @@ def dedupe_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _available(spark: SparkSession, sf: str) -> DataFrame:
     """Images whose order isn't pending."""
-    return _images(spark, sf).join(V.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("image_id")), "image_id", "left_semi")
+    return _images(spark, sf, F.col("o_orderstatus") != "P")
 
 
 def recording_semi_join(spark: SparkSession, sf: str) -> DataFrame:

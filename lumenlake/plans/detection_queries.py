@@ -12,6 +12,7 @@ from lumenlake.operators import annotations as A
 from lumenlake.operators import detection as D
 from lumenlake.operators import segments as L
 from lumenlake.plans import views as V
+from lumenlake.sources.shared import cut
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,8 +80,9 @@ def conf_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fn_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    truth, preds, matches = _matches(spark, sf)
-    lost = D.missed(truth, preds, matches)
+    truth, preds = _truth(spark, sf), _preds(spark, sf)
+    pairs = cut(D.overlaps(truth, preds, 1e-9))
+    lost = D.missed(truth, preds, D.greedy_matches(pairs.where(F.col("iou") >= D.MATCH)), pairs=pairs)
     return lost.groupBy("cls", "reason", S.width_bin((F.col("x2") - F.col("x1")) * 640 / V.WIDTH).alias("width_bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,12 +11,18 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
 def scratch(spark: SparkSession, name: str = "cut") -> str:
-    """A fresh folder in the one that the session names; on a single machine without that setting a temporary one will do."""
+    """A path for a fresh folder in the one that the session names; on a single machine without that setting a temporary one will do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return f"{(root or os.path.join(tempfile.gettempdir(), 'lumenlake-shared')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(root or os.path.join(tempfile.gettempdir(), 'lumenlake-shared')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN:
+        made.append((spark, path))
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -24,12 +30,9 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_OPEN: list[list[tuple[SparkSession, str]]] = []
-
-
 @contextmanager
 def cuts_removed() -> Iterator[None]:
-    """Deletes, at its end, the tables that operators wrote inside it. What reads them has to be written by then."""
+    """Deletes, at its end, the folders that operators wrote inside it. What reads them has to be written by then."""
     made: list[tuple[SparkSession, str]] = []
     _OPEN.append(made)
     try:
@@ -42,8 +45,6 @@ def cuts_removed() -> Iterator[None]:
 
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder and read back."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    for made in _OPEN:
-        made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

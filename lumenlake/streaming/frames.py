@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the one that driver and executors share, which the session names; on a single machine a temporary one will do."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return f"{(root or os.path.join(tempfile.gettempdir(), 'lumenlake-shared')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from lumenlake.sources.shared import remove, scratch
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +51,8 @@ def smoothed(stream: DataFrame, alpha: float, late: str = "2 hours", idle_hours:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, ema, ts, ids, values = state.get if state.exists else (0, 0.0, [], [], [])
         held = pd.DataFrame({"at": np.array(ts, dtype=np.int64), "event_id": np.array(ids, dtype=np.int64), "value": np.array(values, dtype=np.float64)})
-        fresh = [] if state.hasTimedOut else [b[["at", "event_id", "value"]] for b in batches]
-        held = pd.concat([held, *fresh]).sort_values(["at", "event_id"])
+        fresh = [] if state.hasTimedOut else [b[["at", "event_id", "value"]] for b in batches if len(b)]
+        held = pd.concat([held, *fresh] if len(held) else fresh or [held]).sort_values(["at", "event_id"])
         held["value"] = held["value"].clip(upper=255.0)
         mark = state.getCurrentWatermarkMs()
         past = held[held["at"] < mark]
@@ -105,9 +97,9 @@ def held(stream: DataFrame, late: str = "2 hours", idle_hours: int = 24 * 365) -
 
 
 def to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that is there now: each batch is written to the shared folder, with its number; an empty table without any."""
+    """What a stream gives for all that is there now: each batch is written to the shared folder, with its number; an empty table without any. Its checkpoints go when it has ended."""
     spark = stream.sparkSession
-    out, note = scratch(spark), scratch(spark)
+    out, note = scratch(spark, "stream"), scratch(spark, "stream")
     numbers: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
@@ -117,6 +109,7 @@ def to_table(stream: DataFrame, mode: str) -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", note).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
+    remove(spark, note)
     if not numbers:
         return spark.createDataFrame([], stream.schema.add("batch", "int"))
     return spark.read.parquet(out).drop("part")
