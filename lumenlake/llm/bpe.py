@@ -24,7 +24,7 @@ MAX_RANKS_BYTES = 64 << 20
 #: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds; bytes from which a piece's rounds give changed tokens alone, and from which it goes with others of the same bytes only.
 BYTES, WORK, LONG, OWN = 1 << 19, 1 << 24, 64, 256
 #: Pieces that a worker keeps, of so many characters at most, which only saves work; characters and tokens handled together.
-KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 200_000, 64, 2_000_000, 1 << 16, 500_000
+KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 700_000, 64, 8_000_000, 1 << 16, 500_000
 
 #: Token-position rows (w, p, q, tok): a token of word w from byte p to q. Each round joins neighbours
 #: with the merge table and contracts each word's leftmost pair of least rank; words without a pair stop.
@@ -110,6 +110,7 @@ class Coder:
         for t, i in self.vocab.items():
             self.held[i] = _bits(t)
         self.pieces: dict[str, bytes] = {}
+        self.kept = KEPT
 
     def _merges_within(self, some: np.ndarray) -> pa.Table:
         """The merges of tokens that hold none but these bytes; a token is alone where one of them, at a lesser rank, takes it in."""
@@ -214,7 +215,7 @@ class Coder:
         own; where white space of one unit would run on into the next, the text's pieces are
         found in the whole text instead.
         """
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > self.kept:
             self.pieces.clear()
         cut = [None if self.entangled(t) else t.split(" ") for t in texts]
         split = {u: self._split(u) for u in set().union(*(u[1:] for u in cut if u))}
@@ -264,7 +265,7 @@ def read_ranks(path: str) -> bytes:
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, kept_pieces: int = KEPT, chars: int = CHARS) -> DataFrame:
     """docs less text, with n_tokens and ids (array of int), or digests of the ids and of what they decode to.
 
     Every whole text is split by pattern and each piece encoded by the ranks, as the public
@@ -277,6 +278,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False)
     Nothing is shuffled. A partition's distinct pieces go through the recursive query, in
     groups of about equal length whose bytes and rounds are bounded, so that memory is; a
     single piece, however long, is a group. Documents are put together from their pieces.
+    A worker keeps the ids of kept_pieces short pieces and codes texts of chars characters
+    together; less of both takes less memory and more time, and gives the same ids.
     """
     given = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     new = {"n_tokens": T.LongType(), **({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else {"ids": T.ArrayType(T.IntegerType(), False)})}
@@ -285,10 +288,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(given.value, pattern)
+        coder.kept = kept_pieces
         for batch in batches:
             texts = batch.column(0)
             size = np.cumsum(np.maximum(1, np.nan_to_num(np.array(pa.compute.binary_length(texts).to_pylist(), dtype=float))))
-            ends = [*(np.flatnonzero(np.diff(size // CHARS)) + 1).tolist(), len(texts)]
+            ends = [*(np.flatnonzero(np.diff(size // chars)) + 1).tolist(), len(texts)]
             at = 0
             for end in ends:
                 part = batch.slice(at, end - at)
