@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document; text gives way to n_tokens and ids. Workers, which other stages use too, keep less than they might."""
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, kept_pieces=200_000, chars=2_000_000)
+    """Token ids of every document, decoded again; text gives way to n_tokens, ids and decoded. Workers, which other stages use too, keep less than they might."""
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, kept_pieces=200_000, chars=2_000_000, decoded=True)
 
 
 STAGES = [

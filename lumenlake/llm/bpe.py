@@ -265,15 +265,16 @@ def read_ranks(path: str) -> bytes:
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, kept_pieces: int = KEPT, chars: int = CHARS) -> DataFrame:
-    """docs less text, with n_tokens and ids (array of int), or digests of the ids and of what they decode to.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, kept_pieces: int = KEPT, chars: int = CHARS, decoded: bool = False) -> DataFrame:
+    """docs less text, with n_tokens and ids (array of int), and the bytes that they decode to if asked for, or digests of both.
 
     Every whole text is split by pattern and each piece encoded by the ranks, as the public
-    library for such rank files does without special tokens. With digest, ids are decoded
-    again and the result has ids_sha256 (of ids as little-endian unsigned 32-bit integers)
-    and decoded_sha256 instead of ids. A null text counts as empty and has no ids. Other
-    columns pass through, but for those named like a new one, which are replaced. Repeated
-    rows are coded alike; an empty table stays empty.
+    library for such rank files does without special tokens. With decoded, ids are decoded
+    again and their bytes returned too (decoded, binary); with digest, the result has
+    ids_sha256 (of ids as little-endian unsigned 32-bit integers) and decoded_sha256 instead
+    of both. A null text counts as empty and has no ids. Other columns pass through, but for
+    those named like a new one, which are replaced. Repeated rows are coded alike; an empty
+    table stays empty.
 
     Nothing is shuffled. A partition's distinct pieces go through the recursive query, in
     groups of about equal length whose bytes and rounds are bounded, so that memory is; a
@@ -282,7 +283,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False,
     together; less of both takes less memory and more time, and gives the same ids.
     """
     given = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    new = {"n_tokens": T.LongType(), **({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else {"ids": T.ArrayType(T.IntegerType(), False)})}
+    real = {"ids": T.ArrayType(T.IntegerType(), False), **({"decoded": T.BinaryType()} if decoded else {})}
+    new = {"n_tokens": T.LongType(), **({"ids_sha256": T.StringType(), "decoded_sha256": T.StringType()} if digest else real)}
     kept = [c for c in docs.columns if c not in (*new, "text")]
     schema = T.StructType([*docs.select(*(f"`{c}`" for c in kept)).schema.fields, *(T.StructField(k, v) for k, v in new.items())])
 
@@ -303,6 +305,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False,
                 else:
                     offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                     columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))]
+                    if decoded:
+                        columns.append(pa.array(coder.decode(ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], names=[*kept, *new])
                 at = end
 

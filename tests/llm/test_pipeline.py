@@ -155,6 +155,22 @@ def test_coding_stage_round_trips(spark, staged):
     assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in bpe.decode(coded, path).collect()) == Counter((r[0], r[1]) for r in staged[4])
 
 
+def test_coding_stage_decodes(spark):
+    """The stage itself decodes what it has coded, long and odd texts too."""
+    texts = [None, "", " \t\n", "über den Fluß 文字 😀", "x" * 3000, " ".join(f"word{i}" for i in range(30_000)), "the same", "the same"]
+    docs = spark.createDataFrame([(i, t, None, "a", None) for i, t in enumerate(texts)], SCHEMA).repartition(2)
+    got = corpus_pipeline.byte_bpe(spark, docs, "")
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded"]
+    rows = got.collect()
+    assert sorted((r.doc_id, bytes(r.decoded).decode()) for r in rows) == [(i, t or "") for i, t in enumerate(texts)]
+    back = bpe.decode(got.select("doc_id", "ids"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {r.doc_id: bytes(r.decoded) for r in rows}
+
+
+def test_last_stage_decodes_the_mix(staged):
+    assert Counter((r.doc_id, bytes(r.decoded).decode()) for r in staged[5]) == Counter((r[0], r[1]) for r in staged[4])
+
+
 def test_run_is_the_stages_one_after_another(spark, corpus, staged, tmp_path):
     spark.createDataFrame(corpus, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     key = lambda rows: Counter((r.doc_id, r.n_tokens, tuple(r.ids)) for r in rows)
