@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
 import duckdb
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,22 +24,22 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MAX_RANKS_BYTES = 64 << 20
 #: What one recursive query takes: bytes, and bytes times its longest piece, which bounds its rounds; bytes from which a piece's rounds give changed tokens alone, and from which it goes with others of the same bytes only.
 BYTES, WORK, LONG, OWN = 1 << 19, 1 << 24, 64, 256
-#: Pieces that a worker keeps, of so many characters at most, which only saves work; characters and tokens handled together.
+#: Pieces that a worker keeps, and half as many units that aren't letters alone, of so many characters at most, which only saves work; characters and tokens handled together.
 KEPT, KEPT_CHARS, CHARS, SEGMENT, TOKENS = 700_000, 64, 8_000_000, 1 << 16, 500_000
 
-#: Token-position rows (w, p, q, tok): a token of word w from byte p to q. Each round joins neighbours
-#: with the merge table and contracts each word's leftmost pair of least rank; words without a pair stop.
-CONTRACT = f"""
+#: Token-position rows (w, p, q, tok): a token of word w from byte p to q, with a byte left out between words. Each round
+#: joins neighbours with the merge table and contracts each word's leftmost pair of least rank; words without a pair stop.
+#: A pair is one number: its rank, p, below 2^23 by BYTES, and its length, below 2^8 by LONG.
+CONTRACT = """
 with recursive s(w, p, q, tok, it) as (
     select w, p, p + 1, tok, 0 from start
     union all (
-        with pairs as (
-            select x.w, x.p, y.q, g.id from s x join s y on y.w = x.w and y.p = x.q join merges g on g.l = x.tok and g.r = y.tok),
-        best as (
-            select w, arg_min(p, id::bigint * {1 << 20} + p) as p, arg_min(q, id::bigint * {1 << 20} + p) as q, min(id) as id from pairs group by w)
+        with least as (
+            select x.w, min((g.id::bigint << 32) | (x.p << 8) | (y.q - x.p)) as pair from s x join s y on y.p = x.q join merges g on g.l = x.tok and g.r = y.tok group by x.w),
+        best as (select w, (pair >> 32)::int as id, ((pair >> 8) & 16777215)::int as p, ((pair >> 8) & 16777215)::int + (pair & 255)::int as q from least)
         select s.w, s.p, case when s.p = b.p then b.q else s.q end, case when s.p = b.p then b.id else s.tok end, s.it + 1
         from s join best b on s.w = b.w where s.p <= b.p or s.p >= b.q))
-select s.w, list(s.tok order by s.p) as toks from s join (select w, max(it) as it from s group by w) using (w, it) group by s.w
+select s.p, s.tok from s join (select w, max(it) as it from s group by w) using (w, it) order by s.p
 """
 
 #: The same recursion for long pieces, whose rounds are many: rows (w, p, q, tok, id), with the rank at which a token
@@ -62,7 +63,7 @@ with recursive s(w, p, q, tok, id, alone) using key (w, p) as (
         select x.w, x.p, x.q, x.id, g.id, g.alone from won x left join live y on y.w = x.w and y.p = x.q left join merges_within g on g.l = x.id and g.r = y.tok
         union all select y.w, y.p, y.q, y.tok, g.id, g.alone from won x join live y on y.w = x.w and y.q = x.p left join merges_within g on g.l = y.tok and g.r = x.id
         union all select w, mid, mid, -1, null, null from won))
-select w, list(tok order by p) as toks from s where tok >= 0 group by w
+select p, tok from s where tok >= 0 order by p
 """
 MERGES = """
 create table merges as
@@ -90,7 +91,7 @@ class Coder:
         pairs = [line.split() for line in ranks.splitlines() if line.strip()]
         self.vocab = {base64.b64decode(t): int(r) for t, r in pairs}
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]")).findall
-        self.entangled = regex.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)").search
+        self.entangled = re.compile(rf" (?<=[{SPACE}] )(?:[{SPACE}]|\Z)").search
         self.bytes_ = np.array([self.vocab[bytes([i])] for i in range(256)], dtype=np.int32)
         self.twos, self.threes = np.zeros(1 << 16, dtype=bool), np.zeros(1 << 24, dtype=bool)
         for t in self.vocab:
@@ -110,6 +111,7 @@ class Coder:
         for t, i in self.vocab.items():
             self.held[i] = _bits(t)
         self.pieces: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.kept = KEPT
 
     def _merges_within(self, some: np.ndarray) -> pa.Table:
@@ -139,18 +141,14 @@ class Coder:
 
     def _run(self, query: str, words: list[bytes]) -> list[bytes]:
         length = np.array([len(w) for w in words])
-        tok = self.bytes_[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        begin = np.repeat(np.cumsum(length) - length, length)
-        start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), length), "p": (np.arange(len(tok)) - begin).astype(np.int32), "tok": tok})
+        w = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        start = pa.table({"w": w, "p": np.arange(len(w), dtype=np.int32) + w, "tok": self.bytes_[np.frombuffer(b"".join(words), dtype=np.uint8)]})
         self.db.register("start", start)
-        out = self.db.sql(query).to_arrow_table()
+        out = self.db.sql(query).fetchnumpy()
         self.db.unregister("start")
-        lists = out["toks"].combine_chunks()
-        flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), np.cumsum(lists.value_lengths().to_numpy()).tolist()
-        found, at = [b""] * len(words), 0
-        for w, end in zip(out["w"].to_pylist(), ends):
-            found[w], at = flat[4 * at : 4 * end], end
-        return found
+        ends = (4 * np.searchsorted(out["p"], np.cumsum(length) + np.arange(len(words)))).tolist()
+        flat = out["tok"].astype("<u4").tobytes()
+        return [flat[at:end] for at, end in zip([0, *ends], ends)]
 
     def _split(self, unit: str) -> list[str]:
         """The pieces of a space and a unit; letters alone are one, and so is a stop or comma behind them."""
@@ -217,18 +215,39 @@ class Coder:
         """
         if len(self.pieces) > self.kept:
             self.pieces.clear()
-        cut = [None if self.entangled(t) else t.split(" ") for t in texts]
-        split = {u: self._split(u) for u in set().union(*(u[1:] for u in cut if u))}
-        loose = [self.find(t if u is None else u[0]) for t, u in zip(texts, cut)]
+        if len(self.units) > self.kept // 2:
+            self.units.clear()
+        # Each text as units, of which the first, or the whole text, stands for itself; equal others meet in one code.
+        whole = [t if self.entangled(t) else None for t in texts]
+        units = pc.split_pattern(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()), " ")
+        begin, flat = units.offsets.to_numpy(), units.flatten()
+        first = np.zeros(len(flat), dtype=bool)
+        first[begin[:-1]] = True
+        loose = [self.find(u if w is None else w) for u, w in zip(flat.take(begin[:-1]).to_pylist(), whole)]
+        rest = flat.filter(pa.array(~first)).dictionary_encode()
+        code = np.empty(len(flat), dtype=np.int64)
+        code[~first] = rest.indices.to_numpy()
+        code[first] = len(rest.dictionary) + np.arange(len(texts))
+        found = pa.array(self._ids(rest.dictionary.to_numpy(zero_copy_only=False).tolist(), loose), pa.large_binary()).take(pa.array(code))
+        ends, flat = np.frombuffer(found.buffers()[1], dtype=np.int64)[begin].tolist(), found.buffers()[2].to_pybytes()
+        return [flat[at:end] for at, end in zip(ends, ends[1:])]
+
+    def _ids(self, units: list[str], loose: list[list[str]]) -> list[bytes]:
+        """The ids of a space and each unit, then those of each list of pieces. What isn't kept from before is split and learnt."""
+        of, known = self.pieces.get, self.units.get
+        ids = [of(f" {u}") if u.isalpha() else known(u) for u in units]
+        split = {i: self._split(units[i]) for i, x in enumerate(ids) if x is None}
         learnt = self._learn(set().union(*split.values(), *loose).difference(self.pieces))
         self.pieces.update(learnt)
-        of = self.pieces.__getitem__
-        unit = {u: b"".join(map(of, parts)) for u, parts in split.items()}.__getitem__
-        out = [b"".join(map(of, first)) + (b"".join(map(unit, u[1:])) if u else b"") for first, u in zip(loose, cut)]
+        for i, parts in split.items():
+            ids[i] = b"".join(map(of, parts))
+            if len(units[i]) <= KEPT_CHARS and not units[i].isalpha():
+                self.units[units[i]] = ids[i]
+        ids += [b"".join(map(of, parts)) for parts in loose]
         for piece in learnt:
             if len(piece) > KEPT_CHARS:
                 del self.pieces[piece]
-        return out
+        return ids
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes that each run of ids stands for: positions join the vocabulary and are put together in order."""
@@ -279,8 +298,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False,
     Nothing is shuffled. A partition's distinct pieces go through the recursive query, in
     groups of about equal length whose bytes and rounds are bounded, so that memory is; a
     single piece, however long, is a group. Documents are put together from their pieces.
-    A worker keeps the ids of kept_pieces short pieces and codes texts of chars characters
-    together; less of both takes less memory and more time, and gives the same ids.
+    A worker keeps the ids of kept_pieces short pieces and of half as many short units, and codes
+    texts of chars characters together; less of both takes less memory and more time, and gives the same ids.
     """
     given = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     real = {"ids": T.ArrayType(T.IntegerType(), False), **({"decoded": T.BinaryType()} if decoded else {})}
@@ -293,7 +312,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False,
         coder.kept = kept_pieces
         for batch in batches:
             texts = batch.column(0)
-            size = np.cumsum(np.maximum(1, np.nan_to_num(np.array(pa.compute.binary_length(texts).to_pylist(), dtype=float))))
+            size = np.cumsum(np.maximum(1, np.nan_to_num(np.array(pc.binary_length(texts).to_pylist(), dtype=float))))
             ends = [*(np.flatnonzero(np.diff(size // chars)) + 1).tolist(), len(texts)]
             at = 0
             for end in ends:

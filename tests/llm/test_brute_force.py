@@ -57,6 +57,27 @@ def test_bpe_of_many_long_pieces():
     assert coder.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_splits_and_learns_nothing_twice(monkeypatch):
+    """What a worker has met it keeps, units of several pieces too; with room for fewer, and where nothing is kept, ids are the same."""
+    coder = bpe.Coder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
+    enc, rng = reference_encoder(coder), random.Random(7)
+    bits = ["the", "Die", "é", "漢字", "42", "'ll", "--", "###", ".", ",", "½", "😀", "\n", "\x85", "\u1680", "x" * 70, " ", " ", "  "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(50))) for _ in range(400)]
+    want = [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+    for kept in (0, 40, bpe.KEPT):
+        coder.kept = kept
+        assert [x for at in range(0, len(texts), 50) for x in coder.encode(texts[at : at + 50])] == want
+        assert [coder.encode([t]) for t in ("", " ", "\n a")] == [[b""], *([np.array(enc.encode_ordinary(t), dtype="<u4").tobytes()] for t in (" ", "\n a"))]
+        assert coder.encode([]) == []
+    short = [" ".join(f"{w}{end}" for w in ("", "one", "two", "thrhaou", "4") for end in ("", ".", ",###", ".\nOn")) for _ in range(3)]
+    ids = coder.encode(short)
+    split, learnt = [], []
+    monkeypatch.setattr(coder, "_split", split.append)
+    monkeypatch.setattr(coder, "_contract", learnt.append)
+    assert coder.encode(short) == ids == [np.array(enc.encode_ordinary(t), dtype="<u4").tobytes() for t in short]
+    assert not split and not learnt
+
+
 @needs_tables
 def test_bpe_digests_and_decoding(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
