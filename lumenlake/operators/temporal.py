@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,25 +133,26 @@ def denoised(planes: DataFrame, width: int, least: float = 0.25, threshold: floa
     return ordered.mapInArrow(run, f"recording {kind}, frame_id long, luma array<double>, out array<double>")
 
 
-def split_at_gaps(frames: DataFrame, at: str, gap: int, order: str = "frame_id") -> DataFrame:
+def split_at_gaps(frames: DataFrame, at: str, gap: int, order: Sequence[str] = ("frame_id",)) -> DataFrame:
     """frames with recording a struct of recording and run: stretches without a step of `at` (whole numbers) beyond gap, and seq, the place in the run.
 
     State that is kept by recording then begins anew at gaps, and a recording's runs go to
     different tasks. Frames of one time go by `order`.
     """
-    runs = selection.in_blocks(frames.withColumn("recording", F.struct("recording")), ["recording"], at, gap, [order])
+    runs = selection.in_blocks(frames.withColumn("recording", F.struct("recording")), ["recording"], at, gap, order)
     named = runs.withColumn("recording", F.struct("recording.recording", F.col("block").cast("int").alias("run"))).drop("block")
-    return named.withColumn("seq", F.row_number().over(W.partitionBy("recording").orderBy(at, order)))
+    return named.withColumn("seq", F.row_number().over(W.partitionBy("recording").orderBy(at, *order)))
 
 
-def two_paths(frames: DataFrame, at: str, gap: int, every: int = 3, alpha: float | None = None) -> DataFrame:
+def two_paths(frames: DataFrame, at: str, gap: int, every: int = 3, alpha: float | None = None, order: Sequence[str] = ("frame_id",)) -> DataFrame:
     """(recording, run, frame_id, seq, shown, held): what is shown of each frame, and the detection that is drawn on it.
 
     The display path smooths mean_luma over a run. The detection path looks at every
     `every`-th raw frame of a run and holds what it found until the next; both meet by
-    frame_id, of which each is one row, so that neither waits for the other.
+    frame_id, of which each is one row, so that neither waits for the other. Frames of one
+    time go by `order`.
     """
-    runs = split_at_gaps(frames, at, gap)
+    runs = split_at_gaps(frames, at, gap, order)
     shown = smoothed(runs.select("recording", "frame_id", "seq", "mean_luma"), "mean_luma", smoothing() if alpha is None else alpha)
     detected = runs.select("frame_id", held(runs, "detection", every).alias("held"))
     both = shown.join(detected, "frame_id")

@@ -102,9 +102,9 @@ def motion_denoise_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_path_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    """Smoothed frames and held detections of runs between gaps of six hours."""
-    frames = V.frames(spark, sf).withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
-    p = T.two_paths(frames, "at", 6 * 3600)
+    """Smoothed frames and held detections of runs between gaps of six hours, of times in whole seconds, the nearest."""
+    frames = V.frames(spark, sf).withColumn("at", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
+    p = T.two_paths(frames, "at", 6 * 3600, order=["ts", "frame_id"])
     return p.select("recording", "run", "frame_id", "seq", F.round("shown", 3).alias("shown"), "held")
 
 

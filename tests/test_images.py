@@ -316,3 +316,20 @@ def test_sequences_begin_anew_at_gaps(spark, monkeypatch):
     planes = df.select("recording", "frame_id", "at", F.array(*[F.col("mean_luma")] * 9).alias("luma"))
     out = {r.frame_id: r.out[0] for r in T.denoised(T.split_at_gaps(planes, "at", 5).drop("seq"), 3).where("recording.recording = 1").collect()}
     assert out[100] == 0 and out[105] == 10 and out[108] == 30 and out[101] < 1
+
+
+def test_runs_break_by_the_nearest_second_and_go_by_time(spark, tmp_path):
+    import datetime as dt
+
+    from lumenlake.plans import frame_queries
+    from tests.compare import database, same
+
+    start, rows = dt.datetime(2024, 1, 1), []
+    # gaps near 21,600 seconds, each of a user of its own; and two frames of one second whose ids fall as time rises
+    for user, first, gap in ((1, 0.4, 21600.2), (2, 0.0, 21600.9), (3, 0.6, 21600.2), (4, 0.4, 0.05)):
+        rows += [(10 * user + 1, start + dt.timedelta(seconds=first), user, "view", 10.0), (10 * user, start + dt.timedelta(seconds=first + gap), user, "click", 90.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = frame_queries.two_path_sequence(spark, str(tmp_path))
+    same(got, database(str(tmp_path)), frame_queries.ORACLES["two_path_sequence"])
+    assert {r.frame_id: (r.run, r.seq) for r in got.collect()} == {11: (1, 1), 10: (2, 1), 21: (1, 1), 20: (2, 1), 31: (1, 1), 30: (1, 2), 41: (1, 1), 40: (1, 2)}
