@@ -26,7 +26,7 @@ def overlaps(truth: DataFrame, preds: DataFrame, least: float, same_class: bool
     value = G.iou(tuple(F.col(f"a.{c}") for c in BOX), tuple(F.col(f"b.{c}") for c in BOX))
     on = (F.col("a.image_id") == F.col("b.image_id")) & (value >= least)
     if same_class:
-        on = on & (F.col("a.cls") == F.col("b.cls"))
+        on = on & F.col("b.cls").between(F.col("a.cls"), F.col("a.cls"))  # no further key, so that rows dealt by image stay
     return a.join(b, on).select(F.col("a.image_id").alias("image_id"), "gt", "pred", F.col("a.cls").alias("gt_cls"), F.col("b.cls").alias("cls"), "conf", value.alias("iou"))
 
 
@@ -55,6 +55,13 @@ def conf_sweep(truth: DataFrame, preds: DataFrame, matches: DataFrame, images: i
     return both.select(F.col("t").alias("conf"), "cls", "gt", "tp", F.round(F.col("tp") / F.col("gt"), 4).alias("recall"), fp.alias("fp"), F.round(fp / images, 4).alias("fp_per_image"))
 
 
+def _beside(a: DataFrame, b: DataFrame, number: str, how: str) -> DataFrame:
+    """a joined with b (image_id, number, ...) on both. The image alone is the key, by which both lie already after any step here, so that no row moves again."""
+    b = b.withColumnsRenamed({"image_id": "__image", number: "__number"})
+    joined = a.join(b, (F.col("image_id") == F.col("__image")) & F.col(number).between(F.col("__number"), F.col("__number")), how)
+    return joined.drop("__image", "__number")
+
+
 def missed(truth: DataFrame, preds: DataFrame, matches: DataFrame, conf: float = CONF, pairs: DataFrame | None = None) -> DataFrame:
     """Truths without a match and why: nearmiss, lowconf, merged or blind, in this order.
 
@@ -64,15 +71,17 @@ def missed(truth: DataFrame, preds: DataFrame, matches: DataFrame, conf: float =
     a class, where they are at hand.
     """
     won = matches.filter(F.col("conf") >= conf).select("image_id", "gt", "pred")
-    lost = truth.join(won.select("image_id", "gt"), ["image_id", "gt"], "left_anti")
-    met = overlaps(lost, preds, 1e-9) if pairs is None else pairs.join(lost.select("image_id", "gt"), ["image_id", "gt"], "left_semi")
-    near = met.join(won.select("image_id", "pred", F.lit(True).alias("taken")), ["image_id", "pred"], "left")
+    # a truth of no image meets nothing; the others are read, and dealt, as predictions are
+    nowhere, truth = truth.where("image_id is null"), truth.where("image_id is not null")
+    lost = _beside(truth, won.select("image_id", "gt"), "gt", "left_anti")
+    met = overlaps(lost, preds, 1e-9) if pairs is None else _beside(pairs, lost.select("image_id", "gt"), "gt", "left_semi")
+    near = _beside(met, won.select("image_id", "pred", F.lit(True).alias("taken")), "pred", "left")
     sure = F.col("conf") >= conf
     best = F.max(F.when(sure, F.struct("iou", (-F.col("pred")).alias("o"), F.coalesce("taken", F.lit(False)).alias("taken"))))
     seen = near.groupBy("image_id", "gt").agg(best.alias("best"), F.max(F.when(~sure, F.col("iou"))).alias("low"))
     iou = F.coalesce(F.col("best.iou"), F.lit(0.0))
     reason = F.when((iou >= NEAR) & (iou < MATCH), "nearmiss").when(F.col("low") >= MATCH, "lowconf").when(F.col("best.taken"), "merged").otherwise("blind")
-    return lost.join(seen, ["image_id", "gt"], "left").withColumn("reason", reason)
+    return _beside(lost, seen, "gt", "left").withColumn("reason", reason).unionByName(nowhere.withColumn("reason", F.lit("blind")), allowMissingColumns=True)
 
 
 def false_alarms(truth: DataFrame, preds: DataFrame, matches: DataFrame, conf: float = CONF) -> DataFrame:

@@ -12,7 +12,6 @@ from lumenlake.operators import annotations as A
 from lumenlake.operators import detection as D
 from lumenlake.operators import segments as L
 from lumenlake.plans import views as V
-from lumenlake.sources.shared import cut
 
 
 def _truth(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,8 +20,9 @@ def _truth(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _preds(spark: SparkSession, sf: str) -> DataFrame:
-    p = V.preds(spark, sf)
-    return p.withColumn("pred", F.row_number().over(W.partitionBy("image_id").orderBy("x1", "y1", "x2", "y2", "conf", "cls")))
+    """Predictions by number; equal ones go by their line, which is at hand where truths are numbered from the same shuffle."""
+    p = V.preds(spark, sf, "box_no")
+    return p.withColumn("pred", F.row_number().over(W.partitionBy("image_id").orderBy("x1", "y1", "x2", "y2", "conf", "cls", "box_no"))).drop("box_no")
 
 
 def _matches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -81,7 +81,7 @@ def conf_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 def fn_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     truth, preds = _truth(spark, sf), _preds(spark, sf)
-    pairs = cut(D.overlaps(truth, preds, 1e-9))
+    pairs = D.overlaps(truth, preds, 1e-9)
     lost = D.missed(truth, preds, D.greedy_matches(pairs.where(F.col("iou") >= D.MATCH)), pairs=pairs)
     return lost.groupBy("cls", "reason", S.width_bin((F.col("x2") - F.col("x1")) * 640 / V.WIDTH).alias("width_bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,28 +17,33 @@ def _xy() -> tuple:
     return (F.col("l_partkey") * 37) % 2000 - 40, (F.col("l_suppkey") * 53) % 1120 - 20
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with box_no, their number in the order. Boxes and predictions that both come from these are numbered and joined after one shuffle."""
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *order).withColumn("box_no", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations: lines of an order are boxes of an image; some leave the frame, some are degenerate."""
     x, y = _xy()
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     key = F.col("l_orderkey")
     category = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 4).when(F.col("l_linestatus") == "F", 2).otherwise(3)
-    return table(spark, sf_dir, "lineitem").select(
-        key.alias("image_id"), F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).alias("box_no"),
+    return lines(spark, sf_dir).select(
+        key.alias("image_id"), "box_no",
         F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), x.alias("x"), y.alias("y"),
         (F.col("l_quantity") * 6 - 5).alias("bw"), (F.col("l_quantity") * 9 - 8).alias("bh"), category.alias("category_id"),
         (F.col("l_linenumber") == 7).alias("ignore_flag"), F.when(key % 6 == 5, "none").otherwise((34 + key % 6).cast("string")).alias("recording"))
 
 
-def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector output: jittered boxes with a confidence; lines of high tax are displaced."""
+def preds(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """Detector output: jittered boxes with a confidence; lines of high tax are displaced. Columns of lines() that are named are kept."""
     x, y = _xy()
     shift = F.when(F.col("l_tax") >= 0.07, 700).otherwise((F.col("l_linenumber") - 4) * 4)
     x1, y1 = x + shift, y + (F.col("l_linenumber") % 3) * 3
     conf = ((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + F.col("l_linenumber") * 31) % 1000) / 1000.0
-    return table(spark, sf_dir, "lineitem").select(
+    return (lines(spark, sf_dir) if kept else table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("image_id"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity") * 6 - 5).alias("x2"), (y1 + F.col("l_quantity") * 9 - 8).alias("y2"),
-        conf.alias("conf"), F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("cls"))
+        conf.alias("conf"), F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("cls"), *kept)
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Packed training sets, target sizes, decoded heads, label tables and the folders that operators leave."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lumenlake.functions import geometry as G
 from lumenlake.operators import detection as D
 from lumenlake.operators import packaging as PK
 from lumenlake.operators import selection as SEL
+from lumenlake.plans import detection_queries
 from lumenlake.sources import annotations as SRC
 from lumenlake.sources import shared, sinks
 
@@ -80,3 +82,9 @@ def test_folders_go_when_they_are_no_longer_read(spark):
         spark.range(3).write.parquet(path)
         assert df.count() == 5 and os.path.isdir(path)
     assert not os.path.exists(path) and not any(os.path.exists(f.removeprefix("file:").removeprefix("//")) for f in df.inputFiles())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_missed_boxes_move_their_lines_once(spark):
+    plan = detection_queries.fn_taxonomy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) == {"l_orderkey", "cls"} and "cut-" not in plan
