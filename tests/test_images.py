@@ -333,3 +333,24 @@ def test_runs_break_by_the_nearest_second_and_go_by_time(spark, tmp_path):
     got = frame_queries.two_path_sequence(spark, str(tmp_path))
     same(got, database(str(tmp_path)), frame_queries.ORACLES["two_path_sequence"])
     assert {r.frame_id: (r.run, r.seq) for r in got.collect()} == {11: (1, 1), 10: (2, 1), 21: (1, 1), 20: (2, 1), 31: (1, 1), 30: (1, 2), 41: (1, 1), 40: (1, 2)}
+
+
+def test_many_vectors_share_an_image_file(spark, tmp_path, monkeypatch):
+    import glob
+
+    from lumenlake.plans import image_queries
+    from tests.compare import database, same
+
+    monkeypatch.setattr(image_queries, "SHEET", 8)
+    rng = np.random.default_rng(8)
+    spark.createDataFrame([(1000003 * i, [float(v) for v in rng.normal(0, 0.3, 64)], i % 3) for i in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/bitmaps-*/**/part-*", recursive=True))
+    before = found()
+    same(image_queries.image_luma(spark, str(tmp_path)), database(str(tmp_path)), image_queries.ORACLES["image_luma"])
+    assert 300 / 8 <= len(found() - before) < 60
+
+
+def test_strips_of_images(spark):
+    whole = spark.createDataFrame([("a", 5, 2, 1, bytes(range(10)))], "name string, height int, width int, n_channels int, data binary")
+    got = [(r.name, r.strip, r.height, r.width, bytes(r.data)) for r in I.strips(whole, 2).orderBy("strip").collect()]
+    assert got == [("a", 0, 2, 2, bytes(range(4))), ("a", 1, 2, 2, bytes(range(4, 8))), ("a", 2, 1, 2, bytes([8, 9]))]
