@@ -354,3 +354,16 @@ def test_strips_of_images(spark):
     whole = spark.createDataFrame([("a", 5, 2, 1, bytes(range(10)))], "name string, height int, width int, n_channels int, data binary")
     got = [(r.name, r.strip, r.height, r.width, bytes(r.data)) for r in I.strips(whole, 2).orderBy("strip").collect()]
     assert got == [("a", 0, 2, 2, bytes(range(4))), ("a", 1, 2, 2, bytes(range(4, 8))), ("a", 2, 1, 2, bytes([8, 9]))]
+
+
+def test_noise_of_planes_that_lack_pixels(spark, tmp_path):
+    from lumenlake.plans import image_queries
+    from tests.compare import database, same
+
+    # of 16 vectors that make a plane, some are missing at its end, in its middle, or all but two that meet at a corner
+    rng = np.random.default_rng(9)
+    ids = [*range(7), *(16 + i for i in range(16) if i not in (5, 10)), 32, 37, *range(48, 64)]
+    spark.createDataFrame([(i, [float(v) for v in rng.normal(-0.1, 0.02 + 0.1 * (i % 2), 64)], i % 3) for i in ids], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = database(str(tmp_path))
+    for name in ("noise_absolute", "flat_dark_masks", "structural_similarity"):
+        same(image_queries.QUERIES[name](spark, str(tmp_path)), con, image_queries.ORACLES[name])
