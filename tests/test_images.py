@@ -1,6 +1,7 @@
 """Operators on planes against plain NumPy, and files of images."""
 
 import math
+import os
 import struct
 
 import numpy as np
@@ -367,3 +368,14 @@ def test_noise_of_planes_that_lack_pixels(spark, tmp_path):
     con = database(str(tmp_path))
     for name in ("noise_absolute", "flat_dark_masks", "structural_similarity"):
         same(image_queries.QUERIES[name](spark, str(tmp_path)), con, image_queries.ORACLES[name])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_the_matrix_deals_vectors_and_no_pixels(spark):
+    import re
+
+    from lumenlake.plans import image_queries
+
+    plan = image_queries._measures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange (\w+).*?, (ENSURE_REQUIREMENTS|REPARTITION_BY_NUM)", plan)
+    assert dealt and {how for _, how in dealt} == {"REPARTITION_BY_NUM"} and "cut-" not in plan
